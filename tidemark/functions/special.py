@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _STEPS = 500
 _TINY = 1e-300
@@ -69,6 +70,6 @@ def chi2_tail(statistic, dof) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail_column(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(chi2_tail(statistic.to_numpy(float), dof.to_numpy(float)))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.registry import rows
+from tidemark.registry import rows, text
 
-QUERIES = {**rows.QUERIES}
+QUERIES = {**rows.QUERIES, **text.QUERIES}
