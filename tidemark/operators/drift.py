@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.special import chi2_tail
-from tidemark.plans.scan import with_halo, with_position
+from tidemark.plans.scan import block_of, with_halo, with_position
 from tidemark.plans.staging import stage
 from tidemark.schemas import DRIFT_LOG
 
@@ -212,6 +212,12 @@ def _blocks(rows: DataFrame, settings: DriftSettings) -> DataFrame:
     return with_halo(slim, settings.reach, block_rows=settings.block_rows)
 
 
+def _paired(blocks: DataFrame, per_block: DataFrame):
+    """Each block with its one-row companion; both sides hash on (shard, block)."""
+    companion = per_block.withColumnsRenamed({"shard": "_shard", "block": "_block"})
+    return blocks.groupBy("shard", "block").cogroup(companion.groupBy("_shard", "_block"))
+
+
 def _widths(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("shard").agg(F.count(F.lit(1)).cast("int").alias("width"))
 
@@ -238,7 +244,8 @@ def drift_fixed(rows: DataFrame, vocab: DataFrame, settings: DriftSettings = Dri
     blocks = _blocks(rows, settings)
 
     def test(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
+        if left.empty or right.empty:
+            # A block which holds nothing but copies of the last rows.
             return pd.DataFrame({f.name: [] for f in DRIFT_LOG.fields})
         one = right.iloc[0]
         width = int(one["width"]) if pd.notna(one["width"]) else 0
@@ -253,13 +260,8 @@ def drift_fixed(rows: DataFrame, vocab: DataFrame, settings: DriftSettings = Dri
         return log[[f.name for f in DRIFT_LOG.fields]]
 
     # The static side is repeated per block, so that a shard is not one group.
-    places = blocks.select("shard", "block").distinct()
-    per_block = places.join(static, "shard")
-    return (
-        blocks.groupBy("shard", "block")
-        .cogroup(per_block.groupBy("shard", "block"))
-        .applyInPandas(test, DRIFT_LOG)
-    )
+    places = rows.select("shard", block_of("pos", settings.block_rows).alias("block")).distinct()
+    return _paired(blocks, places.join(static, "shard")).applyInPandas(test, DRIFT_LOG)
 
 
 def _state_frame(state: dict | None, shard, block) -> pd.DataFrame:
@@ -313,7 +315,7 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
 
     def tests(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         log: list = []
-        if not left.empty:
+        if not (left.empty or right.empty):
             width = left["width"].iloc[0]
             block = _Block(left, int(width) if pd.notna(width) else 0)
             _walk(block, _read_state(right), settings, log)
@@ -322,12 +324,8 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
         return out
 
     def ends(starts: DataFrame) -> DataFrame:
-        return (
-            blocks.join(starts.select("shard", "block"), ["shard", "block"], "left_semi")
-            .groupBy("shard", "block")
-            .cogroup(starts.groupBy("shard", "block"))
-            .applyInPandas(carry, state_schema)
-        )
+        wanted = blocks.join(starts.select("shard", "block"), ["shard", "block"], "left_semi")
+        return _paired(wanted, starts).applyInPandas(carry, state_schema)
 
     places = blocks.where(~F.col("halo")).select("shard", "block").distinct()
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in _STATE.fields]
@@ -364,11 +362,7 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
             .unionByName(dirty.select(*names)),
             "drift-starts",
         )
-    return (
-        blocks.groupBy("shard", "block")
-        .cogroup(starts.groupBy("shard", "block"))
-        .applyInPandas(tests, DRIFT_LOG)
-    )
+    return _paired(blocks, starts).applyInPandas(tests, DRIFT_LOG)
 
 
 def model_epochs(log: DataFrame) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.registry import rows, text
+from tidemark.registry import models, rows, text
 
-QUERIES = {**rows.QUERIES, **text.QUERIES}
+QUERIES = {**rows.QUERIES, **text.QUERIES, **models.QUERIES}
