@@ -48,9 +48,14 @@ CHARACTERS = [
 
 
 def any_of(items: list[str]) -> str:
-    """Pattern of any of the given strings; longer ones are tried first."""
-    escaped = [
-        "".join(c if c.isalnum() or not c.isascii() else "\\" + c for c in item)
-        for item in sorted(items, key=lambda s: (-len(s), s))
-    ]
-    return "(?i)(?:" + "|".join(escaped) + ")"
+    """Pattern of any of the given strings, upper or lower case.
+
+    Longer strings are tried first; the single characters become one class.
+    """
+
+    def plain(text: str) -> str:
+        return "".join(c if c.isalnum() or not c.isascii() else "\\" + c for c in text)
+
+    longer = sorted((i for i in items if len(i) > 1), key=lambda s: (-len(s), s))
+    single = "[" + "".join(plain(i) for i in items if len(i) == 1) + "]"
+    return "|".join([*(f"(?i:{plain(i)})" for i in longer), single])

@@ -39,17 +39,23 @@ def lemmatize(text: Column | str, lemmas: Mapping[str, str] = LEMMAS) -> Column:
     The mapping is a literal, meant for an irregular-forms table; the set test skips the
     map look-up for the other words.
     """
-    table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
+    return F.array_join(F.transform(runs(text), lambda run: _lemma(run, lemmas)), "")
 
-    def one(run: Column) -> Column:
-        key = F.lower(run)
-        return F.when(key.isin(*lemmas), F.try_element_at(table, key)).otherwise(run)
 
-    return F.array_join(F.transform(runs(text), one), "")
+def _lemma(run: Column, lemmas: Mapping[str, str]) -> Column:
+    if not lemmas:
+        return run
+    table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
+    key = F.lower(run)
+    return F.when(key.isin(*lemmas), F.try_element_at(table, key)).otherwise(run)
 
 
-def drop_stop_words(text: Column | str, words: Sequence[str] = STOP_WORDS) -> Column:
-    """Blank out listed words, whatever their case.
+def drop_stop_words(
+    text: Column | str,
+    words: Sequence[str] = STOP_WORDS,
+    lemmas: Mapping[str, str] | None = None,
+) -> Column:
+    """Blank out listed words, whatever their case; with ``lemmas``, replace forms first.
 
     Contractions need no entry of their own: their parts (``don`` and ``t``) are listed and
     the apostrophe goes with the punctuation.
@@ -57,7 +63,8 @@ def drop_stop_words(text: Column | str, words: Sequence[str] = STOP_WORDS) -> Co
     listed = sorted({w.lower() for w in words})
 
     def one(run: Column) -> Column:
-        return F.when(F.lower(run).isin(*listed), " ").otherwise(run)
+        form = _lemma(run, lemmas or {})
+        return F.when(F.lower(form).isin(*listed), " ").otherwise(form)
 
     return squeeze(F.array_join(F.transform(runs(text), one), ""))
 
@@ -89,10 +96,7 @@ def clean_text(
     lemmas: Mapping[str, str] | None = LEMMAS,
 ) -> Column:
     """The whole cleaning chain in its fixed order."""
-    out = strip_links(text)
-    if lemmas:
-        out = lemmatize(out, lemmas)
-    return keep_words(strip_symbols(drop_stop_words(out, stop_words)))
+    return keep_words(strip_symbols(drop_stop_words(strip_links(text), stop_words, lemmas)))
 
 
 def tokens(text: Column | str) -> Column:
@@ -101,7 +105,10 @@ def tokens(text: Column | str) -> Column:
 
 
 def ngrams(words: Column | str) -> Column:
-    """1-grams followed by 2-grams of a word array."""
+    """1-grams followed by 2-grams of a word array.
+
+    The array is used several times over: give a column, not the expression which makes it.
+    """
     w = _c(words)
     pairs = F.zip_with(
         F.slice(w, F.lit(1), F.size(w) - 1),

@@ -16,19 +16,24 @@ MIN_DF, MAX_DF = 0.1, 0.7
 MIN_COUNT = 6
 
 
+def _exploded(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    # The words are a column of their own, so that each text is cut into words once.
+    words = df.select(*keys, tokens(text).alias("_words"))
+    return words.select(*keys, F.explode(ngrams("_words")).alias("term"))
+
+
 def term_rows(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """One row per key and different 1- or 2-gram, with its count.
 
     The terms of a text sit in one task, so the partial aggregate leaves one row per
     different term before anything is shuffled.
     """
-    exploded = df.select(*keys, F.explode(ngrams(tokens(text))).alias("term"))
+    exploded = _exploded(df, keys, text)
     return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def vocabulary(
     df: DataFrame,
-    id_column: str,
     text: str = "text",
     group: Sequence[str] = (),
     min_df: float = MIN_DF,
@@ -41,11 +46,10 @@ def vocabulary(
     """
     # The empty term stands for the text itself, so its count is the number of texts.
     found = (
-        df.select(
-            *group,
-            id_column,
-            F.explode(F.array_union(ngrams(tokens(text)), F.array(F.lit("")))).alias("term"),
-        )
+        # Few rows with much text: without this they could all lie in one task.
+        df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+        .select(*group, tokens(text).alias("_words"))
+        .select(*group, F.explode(F.array_union(ngrams("_words"), F.array(F.lit("")))).alias("term"))
         .groupBy(*group, "term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -67,7 +71,7 @@ def vocabulary_counts(
 ) -> DataFrame:
     """Counts per text of the vocabulary's terms only (sparse: no zero rows)."""
     wanted = vocab.select(*group, "term")
-    exploded = df.select(*dict.fromkeys([*group, *keys]), F.explode(ngrams(tokens(text))).alias("term"))
+    exploded = _exploded(df, list(dict.fromkeys([*group, *keys])), text)
     # The vocabulary is bounded (see above); the size rule of the optimizer still decides.
     kept = exploded.join(wanted, [*group, "term"], "left_semi")
     return kept.groupBy(*dict.fromkeys([*group, *keys]), "term").agg(F.count(F.lit(1)).alias("cnt"))

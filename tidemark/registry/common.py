@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text_measures as M
 from tidemark.plans.scan import with_position
-from tidemark.sources.reviews import reviews, table
+from tidemark.sources.reviews import reviews, table, texts
 
 __all__ = [
     "DOC_MEASURES", "FEW_SHARDS", "GRAMS", "REVIEWS", "STREAM", "STUMP", "documents_placed",
     "few_shards_sql", "measured_reviews", "reviews", "stream", "stump_predictions", "table",
-    "with_ctes",
+    "texts", "with_ctes",
 ]
 
 #: Shards in the drift queries: few, so that a shard outlasts the cold start at small scale.
@@ -31,7 +31,7 @@ def documents_placed(spark: SparkSession, folder: str) -> DataFrame:
 
 def measured_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews with two integer measures of their text."""
-    docs = table(spark, folder, "documents").select(
+    docs = texts(spark, folder, "documents").select(
         "doc_id", M.word_count("text").alias("word_count"), M.char_count("text").alias("char_counts")
     )
     return reviews(spark, folder).join(docs, "doc_id")

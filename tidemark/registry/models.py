@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import balance, bayes, drift, grid, hoeffding, metrics
 from tidemark.operators import ngrams as N
-from tidemark.plans.staging import new_path
+from tidemark.plans.staging import new_path, stage
 from tidemark.registry.common import (
     FEW_SHARDS,
     GRAMS,
@@ -16,6 +16,7 @@ from tidemark.registry.common import (
     reviews,
     stream,
     table,
+    texts,
     with_ctes,
 )
 from tidemark.registry.text import TAIL
@@ -103,15 +104,15 @@ def hoeffding_split(spark, d):
 def drift_input(spark, d, shards=FEW_SHARDS):
     """Hits of the one-level rule and the n-grams of each review's text, per shard.
 
-    Texts are shared between reviews here, so each is counted once per shard.
+    Texts are shared between reviews here, so each is cut into n-grams once.
     """
     rows = _shards(spark, d, shards).select("shard", "pos", "doc_id", "label", "product_id", "cents")
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d, "documents").select("doc_id", "text")
     first = rows.where(F.col("pos") < N.COLD_START).join(docs, "doc_id")
-    vocab = N.vocabulary(first, "pos", group=["shard"])
-    used = rows.select("shard", "doc_id").distinct().join(docs, "doc_id")
-    counts = N.vocabulary_counts(used, vocab, ["shard", "doc_id"], group=["shard"])
-    terms = drift.sparse_terms(counts, vocab, ["shard", "doc_id"], ["shard"])
+    vocab = stage(N.vocabulary(first, group=["shard"]), "vocabulary")
+    counts = N.vocabulary_counts(docs, vocab.select("term").distinct(), ["doc_id"])
+    per_shard = rows.select("shard", "doc_id").distinct().join(counts, "doc_id")
+    terms = drift.sparse_terms(per_shard, vocab, ["shard", "doc_id"], ["shard"])
     right = F.when((F.col("product_id") == 0) | (F.col("cents") < 1500), "nofake").otherwise("fake")
     hits = rows.select("shard", "pos", "doc_id", (F.col("label") == right).cast("int").alias("hit"))
     return hits.join(terms, ["shard", "doc_id"], "left"), vocab

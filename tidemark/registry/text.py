@@ -10,14 +10,14 @@ from tidemark.functions import text_measures as M
 from tidemark.functions import words as W
 from tidemark.operators import lexicon as L
 from tidemark.operators import ngrams as N
-from tidemark.registry.common import GRAMS, documents_placed, table, with_ctes
+from tidemark.registry.common import GRAMS, documents_placed, texts, with_ctes
 
 WINDOW = 250
 STEP = 50
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return texts(spark, d, "documents").select("doc_id", "text")
 
 
 def word_count(spark, d):
@@ -27,11 +27,11 @@ def word_count(spark, d):
 
 
 def url_count(spark, d):
-    return table(spark, d, "pages").select("page_id", M.url_count("html").alias("urls"))
+    return texts(spark, d, "pages").select("page_id", M.url_count("html").alias("urls"))
 
 
 def strip_links(spark, d):
-    pages = table(spark, d, "pages").select("page_id", X.strip_links("html").alias("stripped"))
+    pages = texts(spark, d, "pages").select("page_id", X.strip_links("html").alias("stripped"))
     docs = _docs(spark, d).select((-F.col("doc_id") - 1).alias("page_id"), X.strip_links("text").alias("stripped"))
     return pages.unionByName(docs)
 
@@ -112,7 +112,7 @@ def ngrams(spark, d):
 
 
 def _vocabulary(placed):
-    return N.vocabulary(placed.where(F.col("pos") < N.COLD_START), "doc_id")
+    return N.vocabulary(placed.where(F.col("pos") < N.COLD_START))
 
 
 def ngram_vocab(spark, d):

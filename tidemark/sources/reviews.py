@@ -10,6 +10,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows cost much to work on.
+
+    A table in fewer pieces than there are cores (one small file, one row group) is spread
+    over them; a table of many files is left as it is, without a shuffle.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reviews_from(events: DataFrame, n_documents: int) -> DataFrame:
     return events.select(
         F.col("event_id").alias("review_id"),
