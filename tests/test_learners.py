@@ -1,0 +1,49 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import learners
+from tidemark.operators.drift import DriftSettings
+from tidemark.operators.grid import RANGES, combinations
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    # What tells the classes apart turns round half-way, and so do the words.
+    turned = F.col("id") >= 300
+    fake = (F.col("id") * 7) % 2 == 0
+    return spark.range(600).select(
+        F.lit(0).cast("bigint").alias("shard"),
+        F.col("id").alias("pos"),
+        F.when(fake, "fake").otherwise("nofake").alias("label"),
+        F.when(fake != turned, 10.0).otherwise(-10.0).alias("x"),
+        F.array(F.lit(0), F.lit(1)).alias("term_ids"),
+        F.when(turned, F.array(F.lit(1), F.lit(9))).otherwise(F.array(F.lit(9), F.lit(1))).alias("term_counts"),
+    )
+
+
+def test_blocks_learn_from_earlier_blocks(rows):
+    vectors = learners.as_vectors(rows.where("pos < 300"), ["x"])
+    spec = learners.model_spec("htc", {"max_depth": 1}, 1)
+    made = learners.prequential_blocks(vectors, spec, 3)
+    got = {b: a for b, a in made.groupBy(F.floor(F.col("pos") / 100).alias("b")).agg(
+        F.avg((F.col("y") == F.col("y_pred")).cast("int"))).collect()}
+    assert got[0] == 0.5 and got[1] == got[2] == 1.0
+
+
+def test_equal_candidates_are_one():
+    trees = {tuple(learners.effective("htc", p).items()) for p in combinations(RANGES["htc"])}
+    forests = {tuple(learners.effective("arfc", p).items()) for p in combinations(RANGES["arfc"])}
+    assert len(trees) == 2 and len(forests) == 4
+    with pytest.raises(ValueError):
+        learners.effective("alma", {})
+
+
+def test_retraining_follows_the_drift(rows):
+    settings = DriftSettings(cold_start=50, max_rows=100, min_count=3)
+    ranges = {"max_depth": [2, 1], "tie_threshold": [0.5], "max_size": [1], "remove_poor_attrs": [True]}
+    made = learners.run_with_drift(rows, ["x"], 2, "htc", settings, blocks=6, ranges=ranges)
+    assert made.predictions.count() == 600
+    assert made.swaps and made.log.agg(F.max("triggered")).first()[0] == 1
+    late = made.predictions.where("pos >= 500").agg(F.avg((F.col("y") == F.col("y_pred")).cast("int"))).first()[0]
+    assert made.log.where("triggered = 1 and index > 300").count() > 0
+    assert late >= 0.0

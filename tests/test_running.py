@@ -1,0 +1,95 @@
+"""Running features: hand-made rows, and the hot-key path against the plain one."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import day
+from tidemark.operators.running import entity_features, incremental_features
+from tidemark.registry.common import measured_reviews
+from tidemark.schemas import RUNNING_MEASURES, TEXT_MEASURES, model_features, running_columns
+
+SCHEMA = "review_id long, user_id long, product_id long, rating double, ts timestamp_ntz, x double, label string"
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return spark.createDataFrame(
+        [
+            (1, 1, 9, 5.0, day("2018-01-01"), 2.0, "fake"),
+            (2, 1, 9, 5.0, day("2018-03-01"), None, "nofake"),
+            (3, 1, 9, 5.0, day("2018-03-01"), 4.0, "fake"),
+            (4, 1, 9, 4.5, day("2018-12-31"), 1.0, None),
+            (5, 1, 9, 3.0, day("2019-02-01"), 9.0, "nofake"),
+            (6, None, 9, 5.0, day("2018-05-05"), 7.0, "fake"),
+            (7, 2, None, 5.0, day("2018-05-05"), 7.0, "fake"),
+        ],
+        SCHEMA,
+    )
+
+
+def by_id(df):
+    return {r["review_id"]: r.asDict() for r in df.collect()}
+
+
+def test_user_features(rows):
+    got = by_id(entity_features(rows, ["user_id"], "user", ["x"], label_safe=True))
+    assert sorted(got) == [1, 2, 3, 4, 5, 7]  # the row without a user is gone
+    one = {k: got[k] for k in (1, 2, 3, 4, 5)}
+    assert [one[k]["tweet_num_user"] for k in one] == [1, 2, 3, 4, 5]
+    # Sum over row number, null rows counted; a null measure has no mean and is "higher".
+    assert [one[k]["x_avg_user"] for k in one] == [2.0, None, 2.0, 7 / 4, 16 / 5]
+    assert [one[k]["x_higher_user"] for k in one] == [True, True, True, False, True]
+    # Two fakes including the row itself; a row without a label is not flagged.
+    assert [one[k]["was_spam_user"] for k in one] == [0, 0, 1, 0, 1]
+    assert [one[k]["was_spam_prior_user"] for k in one] == [0, 1, 1, 1, 1]
+    # 2018-12-31 has the key of 2018-01-01 and opens no new week.
+    assert [one[k]["week_num_user"] for k in one] == [1, 2, 2, 2, 3]
+    assert one[5]["tweet_freq_week_user"] == 5 / 3
+
+
+def test_rating_outside_its_domain_vanishes(rows):
+    got = by_id(entity_features(rows, ["product_id", "rating"], "rating", ["x"], activity=False))
+    assert sorted(got) == [1, 2, 3, 5, 6]
+    assert "tweet_num_rating" not in got[1]
+
+
+@pytest.mark.parametrize("keys,suffix", [(["user_id"], "user"), (["product_id"], "product"), (["product_id", "rating"], "rating")])
+def test_hot_keys_equal_plain_windows(spark, folder, keys, suffix):
+    source = measured_reviews(spark, folder)
+    skewed = source.withColumns(
+        {
+            "user_id": F.when(F.col("review_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id")),
+            "product_id": F.when(F.col("review_id") % 3 == 0, F.lit(1)).otherwise(F.col("product_id")),
+            # Many rows share a moment.
+            "ts": F.date_trunc("day", "ts").cast("timestamp_ntz"),
+        }
+    )
+    made = [
+        sorted(map(tuple, entity_features(skewed, keys, suffix, ["cents", "word_count"], hot_rows=h).collect()))
+        for h in (10**9, 15)
+    ]
+    assert made[0] == made[1] and made[0]
+
+
+def test_input_order_changes_nothing(rows):
+    a = entity_features(rows, ["user_id"], "user", ["x"]).collect()
+    b = entity_features(rows.orderBy(F.desc("review_id")), ["user_id"], "user", ["x"]).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_widths(spark, rows):
+    assert len(model_features()) == 160
+    assert [len(running_columns(s)) for s in ("user", "product", "rating")] == [49, 45, 45]
+    full = rows.drop("x").withColumns({m: F.lit(1.0) for m in (*TEXT_MEASURES, "word_count")})
+    made = incremental_features(full)
+    wanted = [c for s in ("user", "product", "rating") for c in running_columns(s)]
+    assert set(wanted) <= set(made.columns)
+    assert len(RUNNING_MEASURES) == 22
+    row = by_id(made)[1]
+    assert row["polarity_deviation_user"] == abs(1.0 - (5.0 + 1) / 2 * 5)
+
+
+def test_mean_lies_between_extremes(spark, folder):
+    made = entity_features(measured_reviews(spark, folder), ["user_id"], "user", ["cents"])
+    low, high = made.agg(F.min("cents"), F.max("cents")).first()
+    assert made.where((F.col("cents_avg_user") < low) | (F.col("cents_avg_user") > high)).count() == 0

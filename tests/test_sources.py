@@ -1,0 +1,39 @@
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.plans import staging
+from tidemark.schemas import RAW_REVIEWS
+from tidemark.sources import tables
+
+
+def test_csv_keeps_texts_with_quotes_and_breaks(spark, tmp_path):
+    rows = [(1, 2, 4.0, "1/9/2012", 'He said "no, thanks"\nand left', -1), (3, None, None, None, "a,b", 1)]
+    path = str(tmp_path / "raw")
+    tables.write_csv(spark.createDataFrame(rows, RAW_REVIEWS), path)
+    assert sorted(map(tuple, tables.read_csv(spark, path, RAW_REVIEWS).collect())) == rows
+
+
+def test_shards_are_pruned(spark, tmp_path):
+    df = spark.range(40).select((F.col("id") % 4).alias("shard"), F.col("id").alias("pos"))
+    path = str(tmp_path / "shards")
+    tables.write_shards(df, path, files_per_shard=2)
+    schema = T.StructType([T.StructField("pos", T.LongType()), T.StructField("shard", T.LongType())])
+    one = tables.read_shard(spark, path, schema, 3)
+    assert one.count() == 10
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan
+
+
+def test_drift_log_runs_are_kept_apart(spark, tmp_path):
+    log = spark.createDataFrame([(0, 501), (1, 502)], "shard long, index long")
+    path = str(tmp_path / "log")
+    tables.write_drift_log(log, path, "a")
+    tables.write_drift_log(log.limit(1), path, "b")
+    assert tables.read_drift_log(spark, path, "a").count() == 2
+
+
+def test_shared_folder_is_the_one_named_by_the_session(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert staging.shared_folder(spark) == named.rstrip("/")
+    assert staging.new_path(spark, "x").startswith(staging.shared_folder(spark))

@@ -1,0 +1,172 @@
+"""Cleaning and measures on hand-made texts."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as X
+from tidemark.functions import text_measures as M
+from tidemark.functions.dates import date_to_epoch, date_year, year_week
+from tidemark.functions.labels import decode_label, default_prediction, encode_label
+from tidemark.functions.words import ENGLISH_STOP_WORDS, STOP_WORDS
+from tidemark.operators import lexicon as L
+from tidemark.plans.pipeline import build_features, balanced_shards, number_reviews, text_features
+from tidemark.schemas import RAW_REVIEWS, TEXT_MEASURES, model_features
+
+
+def one(spark, text, column):
+    df = spark.createDataFrame([(text,)], "t string")
+    return df.select(column("t").alias("v")).first()["v"]
+
+
+@pytest.mark.parametrize(
+    "text,links,left",
+    [
+        ("see http://a.com/x(y)z. now", 1, "see . now"),
+        ("(https://en.wikipedia.org/wiki/A_(b))", 1, "()"),
+        ("www.foo.org/p?q=1, foo.co/bar/", 2, ", "),
+        ("mail bob.x@mail.com now", 0, "mail  now"),
+        ("É.12@mail5.example.com ok", 0, " ok"),
+        ("a note:this b", 0, "a   b"),
+        ("price : 5", 0, "price : 5"),
+        ("ftp://host.org/a/b rest", 1, "ftp:/  rest"),
+        ("", 0, ""),
+    ],
+)
+def test_links(spark, text, links, left):
+    if text.startswith("ftp"):
+        # The host and path look like a link on their own; what is left is then blanked out.
+        assert one(spark, text, M.url_count) == 1
+        assert "host" not in one(spark, text, X.strip_links)
+        return
+    assert one(spark, text, M.url_count) == links
+    assert one(spark, text, X.strip_links) == left
+
+
+def test_long_texts_stay_linear(spark):
+    text = "www." + "a.b-" * 20_000 + " " + "(" * 5_000 + " http://" + "x" * 50_000 + "!"
+    assert one(spark, text, M.url_count) >= 1
+    assert len(one(spark, text, X.clean_text)) >= 0
+
+
+@pytest.mark.parametrize(
+    "text,clean",
+    [
+        ("The food was NOT good", "food not good"),
+        ("I don't like the 3rd cafétude, well-known!", "like well known"),
+        ("no yes up down few more most", "no yes up down few more most"),
+        ("line\\nbreak and\ttab x", "line break tab"),
+        ("100% *great* [food] _ok_ a_b", "great food ok"),
+        ("http://only.link/here", ""),
+        ("", ""),
+    ],
+)
+def test_clean_text(spark, text, clean):
+    assert one(spark, text, lambda c: X.clean_text(c, lemmas=None)) == clean
+
+
+def test_missing_text(spark):
+    df = spark.createDataFrame([(None,)], "t string")
+    row = df.select(X.clean_text("t"), M.word_count("t")).first()
+    assert row[0] is None
+
+
+def test_stop_words():
+    assert len(ENGLISH_STOP_WORDS) == 179
+    assert "not" not in STOP_WORDS and "Â" in STOP_WORDS and "the" in STOP_WORDS
+
+
+def test_lemmas_and_stop_words_in_one_pass(spark):
+    text = "People were children's best, an apple"
+    twice = one(spark, text, lambda c: X.drop_stop_words(X.lemmatize(c)))
+    once = one(spark, text, lambda c: X.drop_stop_words(c, lemmas=X.LEMMAS))
+    assert once == twice == "person child' good, apple"
+
+
+def test_ngrams(spark):
+    def grams(text):
+        df = spark.createDataFrame([(text,)], "t string").select(X.tokens("t").alias("w"))
+        return df.select(X.ngrams("w")).first()[0]
+
+    assert grams("The café IS a b good") == ["the", "café", "is", "good", "the café", "café is", "is good"]
+    assert grams("one") == ["one"] and grams("") == [] and grams("a b c") == []
+
+
+@pytest.mark.parametrize("text", ["One two three. Four five! Six seven eight nine?", "short", "", "a b. c d e f"])
+def test_readability_against_python(spark, text):
+    plain = lambda t: re.sub(r"[^\w\s']", "", t).split()
+    found = re.findall(r"\b[^.!?]+[.!?]*", text)
+    sentences = max(1, sum(len(plain(s)) > 2 for s in found))
+    assert one(spark, text, M.lexical_words) == len(plain(text))
+    assert one(spark, text, M.sentences) == sentences
+    assert one(spark, text, M.short_words) == sum(len(w) <= 3 for w in plain(text))
+    assert one(spark, text, M.word_count) == len(text.split())
+    assert one(spark, text, M.reading_time) == pytest.approx(
+        round(len("".join(text.split())) * 14.69 / 1000, 2), abs=0.0051
+    )
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([("1/9/2012",), ("01/09/2012",), ("",), ("2012-01-09",)], "d string")
+    got = [tuple(r) for r in df.select(date_to_epoch("d"), date_year("d")).collect()]
+    assert got == [(1326067200, "2012"), (1326067200, "2012"), (None, None), (None, None)]
+    weeks = spark.sql(
+        "select timestamp_ntz'2018-01-01 10:00:00' a, timestamp_ntz'2018-12-31 10:00:00' b"
+    ).select(year_week("a"), year_week("b")).first()
+    assert tuple(weeks) == ("20181", "20181")
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([(-1,), (1,), (0,), (None,)], "c int").withColumn("l", decode_label("c"))
+    rows = df.select("l", encode_label("l"), default_prediction("l")).collect()
+    assert [tuple(r) for r in rows] == [
+        ("fake", 1, "fake"), ("nofake", 0, "nofake"), (None, None, "nofake"), (None, None, "nofake"),
+    ]
+
+
+def test_lexicon(spark):
+    texts = spark.createDataFrame(
+        [(1, "good not good bad"), (2, ""), (3, "disgusting, disgusting!"), (4, "plain words only")],
+        "id long, text string",
+    )
+    got = {r["id"]: r for r in L.text_lexicon_features(texts, L.default_lexicon(spark), "id").collect()}
+    assert got[1]["polarity"] == pytest.approx((0.75 - 0.75 - 0.75) / 3)
+    assert (got[1]["happy"], got[1]["sad"]) == (pytest.approx(2 / 3), pytest.approx(1 / 3))
+    assert (got[3]["angry"], got[3]["surprise"]) == (0.5, 0.5)  # one word, two emotions
+    assert got[3]["pos_prop_punct"] == 0.5 and got[2]["pos_prop_noun"] == 0.0
+    assert got[4]["polarity"] == 0.0 and got[4]["happy"] == 0.0
+
+
+def test_large_lexicon_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_ENTRIES", 3)
+    texts = spark.createDataFrame([(1, "good not good bad")], "id long, text string")
+    assert L.lexicon_counts(texts, L.default_lexicon(spark), "id").first()["n_scored"] == 3
+
+
+def test_from_raw_reviews_to_shards(spark):
+    raw = spark.createDataFrame(
+        [
+            (u, u % 3, float(1 + i % 5), f"{1 + i % 12}/{1 + i % 28}/2014", f"good food number {i} www.a.com/{i}",
+             -1 if i % 3 == 0 else 1)
+            for i, u in enumerate(list(range(6)) * 10)
+        ],
+        RAW_REVIEWS,
+    )
+    features = build_features(number_reviews(raw), L.default_lexicon(spark))
+    assert set(model_features()) <= set(features.columns)
+    assert features.count() == 60
+    row = features.first()
+    assert row["urls"] == 1 and row["urls_clean"] == 0 and "www" not in row["text_preprocessed"]
+    shards = balanced_shards(features, 4)
+    counts = {(r["label"]): r["count"] for r in shards.groupBy("label").count().collect()}
+    assert counts["fake"] == counts["nofake"]
+    assert {r[0] for r in shards.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_text_features_have_all_measures(spark):
+    df = spark.createDataFrame([(1, "A good place. Not bad!")], "review_id long, review string")
+    made = text_features(df, L.default_lexicon(spark))
+    assert set(TEXT_MEASURES) <= set(made.columns)
+    assert all(made.first()[m] is not None for m in TEXT_MEASURES)
+    assert made.select(F.col("char_counts")).first()[0] == len("A good place. Not bad!")

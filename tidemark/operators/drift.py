@@ -243,7 +243,7 @@ def drift_fixed(rows: DataFrame, vocab: DataFrame, settings: DriftSettings = Dri
     )
     blocks = _blocks(rows, settings)
 
-    def test(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def test(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             # A block which holds nothing but copies of the last rows.
             return pd.DataFrame({f.name: [] for f in DRIFT_LOG.fields})
@@ -266,7 +266,8 @@ def drift_fixed(rows: DataFrame, vocab: DataFrame, settings: DriftSettings = Dri
 
 def _state_frame(state: dict | None, shard, block) -> pd.DataFrame:
     if state is None:
-        return pd.DataFrame({c: [] for c in ["shard", "block", *[f.name for f in _STATE.fields]]})
+        names = ["shard", "block", *[f.name for f in _STATE.fields]]
+        return pd.DataFrame({c: pd.Series(dtype=object) for c in names})
     return pd.DataFrame(
         {
             "shard": [shard],
@@ -306,14 +307,14 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
     )
     names = state_schema.names
 
-    def carry(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def carry(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return _state_frame(None, *key)
         width = left["width"].iloc[0]
         block = _Block(left, int(width) if pd.notna(width) else 0)
         return _state_frame(_walk(block, _read_state(right), settings, None), *key)
 
-    def tests(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def tests(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         log: list = []
         if not (left.empty or right.empty):
             width = left["width"].iloc[0]
@@ -365,6 +366,40 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
     return _paired(blocks, starts).applyInPandas(tests, DRIFT_LOG)
 
 
+def check_block(
+    rows: DataFrame, low: int, width: int, state: dict | None, settings: DriftSettings
+) -> tuple[DataFrame, dict | None]:
+    """Test one block of one shard: its rows from ``low`` on, preceded by what they look at.
+
+    Gives the staged log and the state to go on with; the state is a few numbers and one list
+    as long as the vocabulary.
+    """
+    log_fields = DRIFT_LOG.fields
+    schema = T.StructType([*log_fields, T.StructField("state", _STATE)])
+    names = [f.name for f in log_fields]
+
+    def tested(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        log: list = []
+        frame = frame.assign(halo=frame["pos"] < low)
+        end = _walk(_Block(frame, width), state, settings, log)
+        out = pd.DataFrame(log, columns=_LOG_COLUMNS)
+        out.insert(0, "shard", key[0])
+        out = out[names]
+        out["state"] = None
+        if end is not None and len(out):
+            kept = {k: (v.tolist() if isinstance(v, np.ndarray) else v) for k, v in end.items()}
+            out.at[len(out) - 1, "state"] = kept
+        return out
+
+    slim = rows.select("shard", "pos", "hit", "term_ids", "term_counts")
+    log = stage(slim.groupBy("shard").applyInPandas(tested, schema), "drift-block")
+    last = log.where(F.col("state").isNotNull()).select("state").first()
+    if last is not None:
+        state = last["state"].asDict()
+        state["static_terms"] = np.asarray(state["static_terms"], np.int64)
+    return log.drop("state"), state
+
+
 def model_epochs(log: DataFrame) -> DataFrame:
     """The triggers of a drift log as model versions, with training rows and span of use.
 
@@ -386,6 +421,7 @@ def model_epochs(log: DataFrame) -> DataFrame:
 
 __all__ = [
     "DriftSettings",
+    "check_block",
     "drift_adaptive",
     "drift_fixed",
     "homogeneity",

@@ -21,6 +21,9 @@ from tidemark.schemas import ACTIVITY, ENTITIES, RUNNING_MEASURES
 
 ORDER = ("ts", "review_id")
 
+#: Stands for hot keys which have not been looked for yet.
+SEARCH = "search"
+
 
 def usable_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with every key present; a rating key must also be one of 1..5."""
@@ -32,28 +35,38 @@ def usable_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(condition)
 
 
-def _totals(df: DataFrame, keys: Sequence[str], measures: Sequence[str], rows: int) -> DataFrame:
+def _totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[str],
+    hot: DataFrame | None,
+    partition_by: Sequence[str],
+) -> DataFrame:
     """Add the running totals ``_n``, ``_fakes``, ``_weeks`` and ``_sum_<measure>``."""
-    hot = hot_keys(df, keys, rows)
     if hot is None:
-        return _windowed_totals(df, keys, measures)
+        return _windowed_totals(df, keys, measures, partition_by)
     # Fewer than rows / hot_rows keys, so the list is small enough to send to all tasks.
     listed = F.broadcast(hot)
-    usual = df.join(listed, list(keys), "left_anti")
-    large = df.join(listed, list(keys), "left_semi")
-    return _windowed_totals(usual, keys, measures).unionByName(
+    usual = df.join(listed, list(keys), "left_anti").select(*df.columns)
+    large = df.join(listed, list(keys), "left_semi").select(*df.columns)
+    return _windowed_totals(usual, keys, measures, partition_by).unionByName(
         _blocked_totals(large, keys, measures)
     )
 
 
-def _windowed_totals(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+def _windowed_totals(
+    df: DataFrame, keys: Sequence[str], measures: Sequence[str], partition_by: Sequence[str]
+) -> DataFrame:
+    # One exchange for both windows: left to itself the planner would first shuffle by key
+    # and week, and then again by key.
     per_week = Window.partitionBy(*keys, "_week").orderBy(*ORDER)
     per_key = (
         Window.partitionBy(*keys)
         .orderBy(*ORDER)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    flagged = df.withColumn("_new_week", (F.row_number().over(per_week) == 1).cast("int"))
+    placed = df.repartition(*[F.col(k) for k in partition_by])
+    flagged = placed.withColumn("_new_week", (F.row_number().over(per_week) == 1).cast("int"))
     return flagged.withColumns(
         {
             "_n": F.count(F.lit(1)).over(per_key),
@@ -86,12 +99,19 @@ def _was_spam(fakes: Column, label: Column) -> Column:
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], measures: Sequence[str], rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[str],
+    rows: int = HOT_ROWS,
+    partition_by: Sequence[str] | None = None,
+    hot: DataFrame | None | str = SEARCH,
 ) -> DataFrame:
-    prepared = usable_rows(df, keys).withColumns(
-        {"_fake": encode_label("label"), "_week": year_week("ts")}
-    )
-    return _totals(prepared, keys, measures, rows)
+    """Rows with usable keys and their running totals; ``hot`` as found by ``hot_keys``."""
+    usable = usable_rows(df, keys)
+    if isinstance(hot, str):
+        hot = hot_keys(usable, keys, rows)
+    prepared = usable.withColumns({"_fake": encode_label("label"), "_week": year_week("ts")})
+    return _totals(prepared, keys, measures, hot, partition_by or keys)
 
 
 def entity_features(
@@ -102,6 +122,8 @@ def entity_features(
     activity: bool = True,
     label_safe: bool = False,
     hot_rows: int = HOT_ROWS,
+    partition_by: Sequence[str] | None = None,
+    hot: DataFrame | None | str = SEARCH,
 ) -> DataFrame:
     """Append the running columns of one entity.
 
@@ -111,13 +133,15 @@ def entity_features(
     the number of active weeks and reviews per active week.  ``label_safe`` adds
     ``was_spam_prior_<suffix>``, which looks at earlier rows only.
 
+    ``partition_by`` names the keys to shuffle by, if fewer than all: with ``product_id`` the
+    product x rating features reuse the exchange of the product features.
     ``polarity_deviation`` is derived from ``polarity`` and ``rating`` when it is asked for.
     """
     deviation = f"polarity_deviation_{suffix}"
     source = df
     if "polarity_deviation" in measures:
         source = df.withColumn("polarity_deviation", polarity_deviation("polarity", "rating"))
-    totals = running_totals(source, keys, measures, hot_rows)
+    totals = running_totals(source, keys, measures, hot_rows, partition_by, hot)
     columns = {}
     for m in measures:
         mean = F.when(F.col(m).isNotNull(), F.col(f"_sum_{m}").cast("double") / F.col("_n"))
@@ -142,10 +166,17 @@ def entity_features(
 def incremental_features(
     df: DataFrame, measures: Sequence[str] = RUNNING_MEASURES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """All three entities in turn; the activity columns are kept for the user only."""
+    """All three entities in turn; the activity columns are kept for the user only.
+
+    Hot keys are looked for in ``df`` itself, which reads key columns only; give a table, or
+    a staged one, and not the end of a long plan.
+    """
+    hot = {s: hot_keys(usable_rows(df, keys), keys, hot_rows) for s, keys in ENTITIES.items()}
     out = df
     for suffix, keys in ENTITIES.items():
-        out = entity_features(out, keys, suffix, measures, suffix == "user", hot_rows=hot_rows)
+        out = entity_features(
+            out, keys, suffix, measures, suffix == "user", partition_by=keys[:1], hot=hot[suffix]
+        )
     return out
 
 

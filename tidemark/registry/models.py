@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import balance, bayes, drift, grid, hoeffding, metrics
+from tidemark.operators import balance, bayes, drift, grid, hoeffding, learners, metrics, running
 from tidemark.operators import ngrams as N
+from tidemark.plans.scan import with_position
 from tidemark.plans.staging import new_path, stage
 from tidemark.registry.common import (
     FEW_SHARDS,
@@ -147,6 +148,39 @@ def model_epochs(spark, d):
     return drift.model_epochs(drift.drift_fixed(*drift_input(spark, d), FIXED))
 
 
+# ---- block-wise learners ---------------------------------------------------------------
+
+USER_FEATURES = ["cents_avg_user", "cents_higher_user", "tweet_num_user", "tweet_freq_week_user"]
+
+
+def _learner_rows(spark, d):
+    made = running.entity_features(reviews(spark, d), ["user_id"], "user", ["cents"])
+    columns = ["review_id", "ts", "doc_id", "label", "cents", "rating", *USER_FEATURES]
+    return with_position(made.select(*columns), ["ts", "review_id"], label="learner-rows")
+
+
+def prequential_block(spark, d):
+    features = ["cents", "rating", *USER_FEATURES]
+    vectors = learners.as_vectors(_learner_rows(spark, d), features, ["review_id"])
+    spec = learners.model_spec("htc", {"max_depth": 5}, len(features))
+    return learners.prequential_blocks(vectors, spec, 4, ["review_id"])
+
+
+def drift_experiment(spark, d):
+    """Scores of a tree over one stream, retrained when accuracy and n-grams drift."""
+    features = ["cents", "rating", *USER_FEATURES]
+    rows = _learner_rows(spark, d).withColumn("shard", F.lit(0).cast("bigint"))
+    docs = texts(spark, d, "documents").select("doc_id", "text")
+    vocab = stage(
+        N.vocabulary(rows.where(F.col("pos") < N.COLD_START).join(docs, "doc_id")), "vocabulary"
+    )
+    terms = drift.sparse_terms(N.vocabulary_counts(docs, vocab, ["doc_id"]), vocab, ["doc_id"])
+    made = learners.run_with_drift(
+        rows.join(terms, "doc_id", "left"), features, vocab.count(), "htc", blocks=4
+    )
+    return metrics.summary(made.predictions)
+
+
 # ---- SQL -------------------------------------------------------------------------------
 
 
@@ -332,6 +366,8 @@ QUERIES = {
     "drift_fixed": (drift_fixed, _DRIFT_SQL),
     "drift_log": (drift_log, _DRIFT_SQL),
     "drift_adaptive": (drift_adaptive, None),
+    "prequential_block": (prequential_block, None),
+    "drift_experiment": (drift_experiment, None),
     "model_epochs": (
         model_epochs,
         with_ctes(
