@@ -149,19 +149,22 @@ def test_length_limits():
             self.own, self.same = own, same
 
         def totals(self, low, high):
-            return np.array([100, 100]) if self.same or high <= 500 else np.array([10, 900])
+            pair = [100, 100] if self.same or np.max(high) <= 500 else [10, 900]
+            return np.array([pair] * len(high)) if np.ndim(high) else np.array(pair)
 
         def accuracy(self, low, high):
-            return 1.0
-
-    log = []
-    drift._walk(Flat(np.arange(5000), True), None, settings, log)
-    assert (log[0][0], log[0][7], log[0][8]) == (501, 500, 1)  # forced first trigger
-    assert max(row[7] for row in log) == 2001
-    log = []
+            return np.ones(len(high)) if np.ndim(high) else 1.0
+
+    parts = []
+    drift._walk(Flat(np.arange(5000), True), None, settings, parts)
+    log = drift._log_frame(parts, 0)
+    first = log.iloc[0]
+    assert (first["index"], first["window_rows"], first["triggered"]) == (501, 500, 1)  # forced
+    assert log["window_rows"].max() == 2001 and len(log) == 4500
+    parts = []
     state = {"static_from": 0, "static_to": 500, "length": 502, "static_accuracy": 1.0, "static_terms": np.array([100, 100])}
-    drift._walk(Flat(np.arange(600, 610), False), state, settings, log)
-    assert [row[7] for row in log][:4] == [502, 501, 500, 500]
+    drift._walk(Flat(np.arange(600, 610), False), state, settings, parts)
+    assert list(drift._log_frame(parts, 0)["window_rows"])[:4] == [502, 501, 500, 500]
 
 
 def test_model_epochs(spark):

@@ -65,6 +65,10 @@ def number_terms(vocab: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return listed.select(*group, F.posexplode("_terms").alias("idx", "term"))
 
 
+#: Rows tested at once: to begin with, and at most.
+_SLICE, _LONGEST_SLICE = 8, 1024
+
+
 class _Block:
     """Prefix sums of one block, halo included; positions are those of the stream."""
 
@@ -82,11 +86,11 @@ class _Block:
         self.terms = counts.cumsum(axis=0)
         self.hits = np.concatenate([[0], rows["hit"].to_numpy(np.int64).cumsum()])
 
-    def totals(self, low: int, high: int) -> np.ndarray:
+    def totals(self, low, high) -> np.ndarray:
         return self.terms[high - self.first] - self.terms[low - self.first]
 
-    def accuracy(self, low: int, high: int) -> float:
-        return float(self.hits[high - self.first] - self.hits[low - self.first]) / (high - low)
+    def accuracy(self, low, high):
+        return (self.hits[high - self.first] - self.hits[low - self.first]) / (high - low)
 
 
 def homogeneity(a: np.ndarray, b: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,91 +122,87 @@ _STATE = T.StructType(
 
 
 def _walk(block: _Block, state: dict | None, settings: DriftSettings, log: list | None) -> dict | None:
-    """Carry the state over the block's own rows; ``log`` collects the tests if given."""
-    cold = settings.cold_start
-    for pos in block.own:
-        index = int(pos) + 1
-        if index <= cold:
-            continue
-        if state is None:
-            # The first static window lies at the head of the stream, hence in this block.
-            state = {
-                "static_from": 0,
-                "static_to": cold,
-                "length": cold,
-                "static_accuracy": block.accuracy(0, cold),
-                "static_terms": block.totals(0, cold),
-            }
-        length = state["length"]
-        dynamic = block.totals(index - length, index)
+    """Carry the state over the block's own rows; ``log`` collects frames of tests if given.
+
+    The length of the next window hangs on the test before it, but it mostly goes on as it
+    went: so a slice of rows is tested at once as if the last move went on, and the slice is
+    kept up to the first row where the move was another one, or which triggers.
+    """
+    cold, most = settings.cold_start, settings.max_rows + 1
+    indexes = block.own[block.own >= cold] + 1
+    if not len(indexes):
+        return state
+    if state is None:
+        # The first static window lies at the head of the stream, hence in this block.
+        state = {
+            "static_from": 0,
+            "static_to": cold,
+            "length": cold,
+            "static_accuracy": float(block.accuracy(0, cold)),
+            "static_terms": block.totals(0, cold),
+        }
+    state = dict(state)
+    done, size, move = 0, _SLICE, 0
+    while done < len(indexes):
+        index = indexes[done : done + size]
+        path = np.clip(state["length"] + move * np.arange(len(index) + 1), cold, most)
+        length, assumed = path[:-1], path[1:]
         accuracy = block.accuracy(index - length, index)
-        statistic, p, n_terms = homogeneity(
-            state["static_terms"][None, :], dynamic[None, :], settings.min_count
-        )
-        p_value = float(p[0])
-        gap = abs(state["static_accuracy"] - accuracy)
-        used = length
+        dynamic = block.totals(index - length, index)
+        static = np.broadcast_to(state["static_terms"], dynamic.shape)
+        statistic, p_value, n_terms = homogeneity(static, dynamic, settings.min_count)
+        gap = np.abs(state["static_accuracy"] - accuracy)
+        following = length.copy()
         if settings.adaptive:
-            if p_value >= settings.p_grow:
-                if length <= settings.max_rows:
-                    length += 1
-            elif p_value <= settings.p_shrink and length > cold:
-                length -= 1
-        triggered = (gap >= settings.gap and p_value <= settings.p_drift) or index == cold + 1
+            following += (p_value >= settings.p_grow) & (length < most)
+            following -= (p_value <= settings.p_shrink) & (length > cold)
+        triggered = ((gap >= settings.gap) & (p_value <= settings.p_drift)) | (index == cold + 1)
+        # A trigger moves the static window, so what follows has to be tested against it.
+        stops = np.flatnonzero((following != assumed) | (triggered & settings.adaptive))
+        last = int(stops[0]) if len(stops) else len(index) - 1
+        kept = slice(0, last + 1)
         if log is not None:
             log.append(
-                (index, state["static_accuracy"], accuracy, gap, int(n_terms[0]),
-                 float(statistic[0]), p_value, used, int(triggered))
+                pd.DataFrame(
+                    {
+                        "index": index[kept],
+                        "acc_static": state["static_accuracy"],
+                        "acc_dynamic": accuracy[kept],
+                        "gap": gap[kept],
+                        "n_terms": n_terms[kept].astype(np.int32),
+                        "statistic": statistic[kept],
+                        "p_value": p_value[kept],
+                        "window_rows": length[kept].astype(np.int32),
+                        "triggered": triggered[kept].astype(np.int32),
+                    }
+                )
             )
-        state = {**state, "length": length}
-        if triggered and settings.adaptive:
-            low = index - length
+        state["length"] = int(following[last])
+        move = int(following[last] - length[last])
+        if triggered[last] and settings.adaptive:
+            high = int(index[last])
+            low = high - state["length"]
             state.update(
                 static_from=low,
-                static_to=index,
-                static_accuracy=block.accuracy(low, index),
-                static_terms=block.totals(low, index),
+                static_to=high,
+                static_accuracy=float(block.accuracy(low, high)),
+                static_terms=block.totals(low, high),
             )
+        done += last + 1
+        size = min(2 * size, _LONGEST_SLICE) if last + 1 == len(index) else _SLICE
     return state
 
 
-_LOG_COLUMNS = [f.name for f in DRIFT_LOG.fields if f.name != "shard"]
+def _log_frame(parts: list[pd.DataFrame], shard) -> pd.DataFrame:
+    if parts:
+        out = pd.concat(parts, ignore_index=True)
+    else:
+        out = pd.DataFrame({c: pd.Series(dtype=object) for c in _LOG_COLUMNS})
+    out.insert(0, "shard", shard)
+    return out[["shard", *_LOG_COLUMNS]]
 
 
-def _fixed_log(rows: pd.DataFrame, settings: DriftSettings, width: int, static: dict) -> pd.DataFrame:
-    """Fixed windows need no state: a block's tests are reckoned in slices of the matrix."""
-    block = _Block(rows, width)
-    cold = settings.cold_start
-    index = block.own[block.own >= cold] + 1
-    parts = []
-    for some in np.array_split(index, max(1, len(index) // 4096)):
-        if not len(some):
-            continue
-        high, low = some - block.first, some - cold - block.first
-        dynamic = block.terms[high] - block.terms[low]
-        accuracy = (block.hits[high] - block.hits[low]) / cold
-        static_terms = np.broadcast_to(static["static_terms"], dynamic.shape)
-        statistic, p_value, n_terms = homogeneity(static_terms, dynamic, settings.min_count)
-        gap = np.abs(static["static_accuracy"] - accuracy)
-        hit = ((gap >= settings.gap) & (p_value <= settings.p_drift)) | (some == cold + 1)
-        parts.append(
-            pd.DataFrame(
-                {
-                    "index": some,
-                    "acc_static": static["static_accuracy"],
-                    "acc_dynamic": accuracy,
-                    "gap": gap,
-                    "n_terms": n_terms.astype(np.int32),
-                    "statistic": statistic,
-                    "p_value": p_value,
-                    "window_rows": np.int32(cold),
-                    "triggered": hit.astype(np.int32),
-                }
-            )
-        )
-    if not parts:
-        return pd.DataFrame({c: [] for c in _LOG_COLUMNS})
-    return pd.concat(parts, ignore_index=True)
+_LOG_COLUMNS = [f.name for f in DRIFT_LOG.fields if f.name != "shard"]
 
 
 def _blocks(rows: DataFrame, settings: DriftSettings) -> DataFrame:
@@ -246,18 +246,20 @@ def drift_fixed(rows: DataFrame, vocab: DataFrame, settings: DriftSettings = Dri
     def test(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             # A block which holds nothing but copies of the last rows.
-            return pd.DataFrame({f.name: [] for f in DRIFT_LOG.fields})
+            return _log_frame([], key[0])
         one = right.iloc[0]
         width = int(one["width"]) if pd.notna(one["width"]) else 0
         totals = np.zeros(width, np.int64)
         if one["static_ids"] is not None:
             totals[one["static_ids"]] = one["static_totals"]
-        log = _fixed_log(
-            left, settings, width,
-            {"static_terms": totals, "static_accuracy": float(one["static_accuracy"])},
-        )
-        log.insert(0, "shard", key[0])
-        return log[[f.name for f in DRIFT_LOG.fields]]
+        state = {
+            "length": settings.cold_start,
+            "static_accuracy": float(one["static_accuracy"]),
+            "static_terms": totals,
+        }
+        log: list[pd.DataFrame] = []
+        _walk(_Block(left, width), state, settings, log)
+        return _log_frame(log, key[0])
 
     # The static side is repeated per block, so that a shard is not one group.
     places = rows.select("shard", block_of("pos", settings.block_rows).alias("block")).distinct()
@@ -320,9 +322,7 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
             width = left["width"].iloc[0]
             block = _Block(left, int(width) if pd.notna(width) else 0)
             _walk(block, _read_state(right), settings, log)
-        out = pd.DataFrame(log, columns=_LOG_COLUMNS)
-        out.insert(0, "shard", key[0])
-        return out
+        return _log_frame(log, key[0])
 
     def ends(starts: DataFrame) -> DataFrame:
         wanted = blocks.join(starts.select("shard", "block"), ["shard", "block"], "left_semi")
@@ -382,9 +382,7 @@ def check_block(
         log: list = []
         frame = frame.assign(halo=frame["pos"] < low)
         end = _walk(_Block(frame, width), state, settings, log)
-        out = pd.DataFrame(log, columns=_LOG_COLUMNS)
-        out.insert(0, "shard", key[0])
-        out = out[names]
+        out = _log_frame(log, key[0])[names]
         out["state"] = None
         if end is not None and len(out):
             kept = {k: (v.tolist() if isinstance(v, np.ndarray) else v) for k, v in end.items()}

@@ -30,8 +30,7 @@ def combinations(ranges: Mapping[str, Sequence]) -> list[dict]:
 
 def param_grid(spark: SparkSession, ranges: Mapping[str, Sequence]) -> DataFrame:
     """The grid as a table with ``grid_pos``; its size is the product of the range sizes."""
-    rows = [
-        F.struct(F.lit(i).alias("grid_pos"), *[F.lit(v).alias(k) for k, v in combo.items()])
-        for i, combo in enumerate(combinations(ranges))
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = [(i, *combo.values()) for i, combo in enumerate(combinations(ranges))]
+    return spark.createDataFrame(rows, ["grid_pos", *ranges]).withColumn(
+        "grid_pos", F.col("grid_pos").cast("int")
+    )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import stage
 
 #: Rows of one group which share a block, and so one window task.
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 50_000
 
 _LOW_BITS = (1 << 33) - 1
 

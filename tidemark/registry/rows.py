@@ -8,6 +8,7 @@ from tidemark.functions.dates import date_to_epoch, date_year, year_week
 from tidemark.functions.labels import decode_label, encode_label
 from tidemark.functions.text_measures import polarity_deviation
 from tidemark.operators import balance, filters, metrics, running, windows
+from tidemark.plans.hot import hot_keys
 from tidemark.plans.staging import new_path
 from tidemark.registry.common import (
     DOC_MEASURES,
@@ -214,8 +215,10 @@ def weekly_freq(spark, d):
 
 def _entity(keys, suffix, activity):
     def query(spark, d):
+        # Looked for before the join with the texts, where it costs one narrow scan.
+        hot = hot_keys(running.usable_rows(reviews(spark, d), keys), keys)
         made = running.entity_features(
-            measured_reviews(spark, d), keys, suffix, _MEASURES, activity
+            measured_reviews(spark, d), keys, suffix, _MEASURES, activity, hot=hot
         )
         return made.select("review_id", *[c for c in made.columns if c.endswith(f"_{suffix}")])
 

@@ -10,6 +10,7 @@ from tidemark.functions import text_measures as M
 from tidemark.functions import words as W
 from tidemark.operators import lexicon as L
 from tidemark.operators import ngrams as N
+from tidemark.plans.staging import stage
 from tidemark.registry.common import GRAMS, documents_placed, texts, with_ctes
 
 WINDOW = 250
@@ -137,7 +138,8 @@ def ngram_prefix(spark, d):
 
 
 def chi2_stat(spark, d):
-    sums = N.window_sums(_counts(spark, d), WINDOW)
+    # Read twice below: by every window, and as the window compared with.
+    sums = stage(N.window_sums(_counts(spark, d), WINDOW), "window-sums")
     first = sums.where(F.col("win") == 0).select("term", F.col("total").alias("base"))
     cells = sums.join(first, "term", "left").withColumn("base", F.coalesce("base", F.lit(0)))
     tested = N.chi_square(cells, "base", "total", ["win"])

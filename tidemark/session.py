@@ -11,6 +11,7 @@ def local_session(cores: int = 8, name: str = "tidemark", partitions: int | None
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
