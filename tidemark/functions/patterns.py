@@ -9,6 +9,9 @@ from __future__ import annotations
 WORD = r"\p{L}\p{N}_"
 BLANK = r"\t-\r\x{1c}-\x{1f} \x{85}\p{Z}"
 
+#: Anything but a blank; the plain range comes first as it settles most characters at once.
+SOLID = rf"[!-~[^{BLANK}]]"
+
 #: Maximal run of two or more word characters.
 TOKEN = rf"[{WORD}]{{2,}}"
 #: A run of word characters, or a run of anything else: together they cover the text.

@@ -21,7 +21,7 @@ def _found(text: Column, pattern: str) -> Column:
 
 def word_count(text: Column | str) -> Column:
     """Stretches of non-blank characters."""
-    return _found(_c(text), rf"[^{P.BLANK}]+")
+    return _found(_c(text), rf"{P.SOLID}+")
 
 
 def char_count(text: Column | str) -> Column:
@@ -49,7 +49,7 @@ def lexical_words(text: Column | str) -> Column:
 
 def short_words(text: Column | str) -> Column:
     """Words of at most three characters once the punctuation is gone."""
-    words = F.regexp_extract_all(plain_words(text), F.lit(rf"[^{P.BLANK}]+"), F.lit(0))
+    words = F.regexp_extract_all(plain_words(text), F.lit(rf"{P.SOLID}+"), F.lit(0))
     return F.size(F.filter(words, lambda w: F.length(w) <= 3))
 
 
