@@ -1,7 +1,9 @@
 """What the plans must look like to hold at scale."""
 
+from pyspark.sql import functions as F
+
 from tidemark.operators.running import entity_features
-from tidemark.plans.scan import with_position
+from tidemark.plans.scan import running, with_position
 from tidemark.registry import rows, text
 from tidemark.registry.common import reviews
 
@@ -33,7 +35,7 @@ def test_no_scan_in_a_single_task(spark, folder):
             # The only single-partition exchange carries one row per range or block.
             if "Exchange SinglePartition" in line:
                 rest = shown[shown.index(line):].splitlines()[1:4]
-                assert any("HashAggregate" in r for r in rest), shown
+                assert any("HashAggregate" in r or "-parts-" in r for r in rest), shown
 
 
 def test_columns_are_pruned(spark, folder):
@@ -44,3 +46,13 @@ def test_columns_are_pruned(spark, folder):
 def test_positions_read_a_written_table(spark, folder):
     placed = with_position(reviews(spark, folder), ["ts", "review_id"])
     assert "rangepartitioning" not in plan(placed)
+
+
+def test_running_shuffles_the_rows_once(spark, folder):
+    placed = with_position(reviews(spark, folder), ["ts", "review_id"])
+    made = running(placed, {"s": ("sum", F.col("cents"))})
+    shown = plan(made)
+    # The rows by block, their partial totals, and the carries: one row per block each.
+    assert shown.count("Exchange hashpartitioning(_block") == 3, shown
+    rows_side = shown[shown.index("SortMergeJoin") :].split("Sort [_block")[1]
+    assert rows_side.count("Exchange") - rows_side.count("BroadcastExchange") == 1, shown

@@ -16,7 +16,7 @@ def test_csv_keeps_texts_with_quotes_and_breaks(spark, tmp_path):
 def test_shards_are_pruned(spark, tmp_path):
     df = spark.range(40).select((F.col("id") % 4).alias("shard"), F.col("id").alias("pos"))
     path = str(tmp_path / "shards")
-    tables.write_shards(df, path, files_per_shard=2)
+    tables.write_shards(df, path, rows_per_file=3)
     schema = T.StructType([T.StructField("pos", T.LongType()), T.StructField("shard", T.LongType())])
     one = tables.read_shard(spark, path, schema, 3)
     assert one.count() == 10

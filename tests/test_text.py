@@ -11,6 +11,7 @@ from tidemark.functions.dates import date_to_epoch, date_year, year_week
 from tidemark.functions.labels import decode_label, default_prediction, encode_label
 from tidemark.functions.words import ENGLISH_STOP_WORDS, STOP_WORDS
 from tidemark.operators import lexicon as L
+from tidemark.plans import staging
 from tidemark.plans.pipeline import build_features, balanced_shards, number_reviews, text_features
 from tidemark.schemas import RAW_REVIEWS, TEXT_MEASURES, model_features
 
@@ -139,7 +140,7 @@ def test_lexicon(spark):
 
 
 def test_large_lexicon_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(L, "BROADCAST_ENTRIES", 3)
+    monkeypatch.setattr(staging, "BROADCAST_ENTRIES", 3)
     texts = spark.createDataFrame([(1, "good not good bad")], "id long, text string")
     assert L.lexicon_counts(texts, L.default_lexicon(spark), "id").first()["n_scored"] == 3
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.special import chi2_tail_column
 from tidemark.functions.text import ngrams, tokens
 from tidemark.plans.scan import running
+from tidemark.plans.staging import sized, stage
 
 COLD_START = 500
 MIN_DF, MAX_DF = 0.1, 0.7
@@ -42,7 +43,8 @@ def vocabulary(
     """Terms whose share of the given texts lies in [min_df, max_df], with ``df``.
 
     ``df`` holds the cold-start rows only.  A kept term is in at least ``min_df`` of them,
-    so there are at most (terms per text) / min_df terms per group.
+    so there are at most (terms per text) / min_df terms per group.  The result is a fitted
+    model: it is written once and read by whatever counts with it.
     """
     # The empty term stands for the text itself, so its count is the number of texts.
     found = (
@@ -55,7 +57,7 @@ def vocabulary(
     )
     # Terms of the cold-start texts of one group: bounded, whatever the size of the stream.
     texts = F.max(F.when(F.col("term") == "", F.col("df"))).over(Window.partitionBy(*group))
-    return (
+    kept = (
         found.withColumn("_texts", texts)
         .where(
             (F.col("term") != "")
@@ -64,6 +66,7 @@ def vocabulary(
         )
         .drop("_texts")
     )
+    return stage(kept, "vocabulary")
 
 
 def vocabulary_counts(
@@ -72,8 +75,8 @@ def vocabulary_counts(
     """Counts per text of the vocabulary's terms only (sparse: no zero rows)."""
     wanted = vocab.select(*group, "term")
     exploded = _exploded(df, list(dict.fromkeys([*group, *keys])), text)
-    # The vocabulary is bounded (see above); the size rule of the optimizer still decides.
-    kept = exploded.join(wanted, [*group, "term"], "left_semi")
+    # Sent to all tasks if it is counted to be small, so that the n-grams stay where they are.
+    kept = exploded.join(sized(wanted), [*group, "term"], "left_semi")
     return kept.groupBy(*dict.fromkeys([*group, *keys]), "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 

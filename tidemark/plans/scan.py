@@ -18,6 +18,9 @@ from tidemark.plans.staging import stage
 #: Rows of one group which share a block, and so one window task.
 BLOCK_ROWS = 50_000
 
+#: Offsets are sent to all tasks up to this many rows (some 50 bytes each).
+BROADCAST_ROWS = 500_000
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -39,8 +42,8 @@ def with_position(
     """Add ``pos`` (0-based rank in the group) and ``group_rows`` (size of the group).
 
     ``order`` must be unique within the group.  One range exchange, one written table.
-    The offsets hold one row per (group, range): with no group, or few groups, that is
-    the number of shuffle partitions plus the number of groups.
+    The offsets hold one row per (group, range), so at most the number of shuffle
+    partitions plus the number of groups.
     """
     keys = [*group, *order]
     slotted = (
@@ -57,6 +60,9 @@ def with_position(
     parts = staged.groupBy(*group, "_range").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_within").alias("_first")
     )
+    parts = stage(parts, f"{label}-parts")
+    # Without a group there is one row per range partition: few by construction.
+    few = not group or parts.count() <= BROADCAST_ROWS
     whole = Window.partitionBy(*group)
     before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
@@ -65,11 +71,9 @@ def with_position(
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_base"),
         F.sum("_rows").over(whole).alias("group_rows"),
     )
-    if not group:
-        # One row per range partition: bounded by spark.sql.shuffle.partitions.
-        joined = staged.join(F.broadcast(offsets), "_range")
-    else:
-        joined = null_safe_join(staged, offsets, [*group, "_range"], "inner")
+    joined = null_safe_join(
+        staged, F.broadcast(offsets) if few else offsets, [*group, "_range"], "inner"
+    )
     return joined.withColumn("pos", F.col("_within") + F.col("_base")).drop(
         "_slot", "_range", "_within", "_base"
     )
@@ -96,7 +100,7 @@ def running(
 ) -> DataFrame:
     """Running sum/min/max per group in ``pos`` order, blocked so no task holds a group.
 
-    ``measures`` maps an output name to ("sum" | "min" | "max", expression).  The rows
+    Group columns must not be null.  ``measures`` maps an output name to ("sum" | "min" | "max", expression).  The rows
     are shuffled once, by (group, block).  The carries (one row per group and block) come
     back through an equi-join on the same keys, which needs no second shuffle of the rows.
     """
@@ -119,7 +123,8 @@ def running(
     local = blocked.withColumns(
         {f"_here_{name}": _FOLD[kind][0](f"_in_{name}").over(here) for name, (kind, _) in measures.items()}
     ).drop(*sources)
-    joined = null_safe_join(local, carries, keys, "left")
+    # Plain equality on the columns the rows are already partitioned and sorted by.
+    joined = local.join(carries, keys, "left")
     folded = joined.withColumns(
         {
             name: _FOLD[kind][1](F.col(f"_carry_{name}"), F.col(f"_here_{name}"))

@@ -11,9 +11,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
+#: A look-up table with more rows than this is not sent to all tasks.
+BROADCAST_ENTRIES = 200_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for a local session without it."""
@@ -38,3 +42,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(lookup: DataFrame) -> DataFrame:
+    """Broadcast a look-up table if it is counted to be small; else leave it to a shuffle."""
+    few = lookup.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
+    return F.broadcast(lookup) if few else lookup

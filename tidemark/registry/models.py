@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import balance, bayes, drift, grid, hoeffding, learners, metrics, running
 from tidemark.operators import ngrams as N
 from tidemark.plans.scan import with_position
-from tidemark.plans.staging import new_path, stage
+from tidemark.plans.staging import new_path
 from tidemark.registry.common import (
     FEW_SHARDS,
     GRAMS,
@@ -110,7 +110,7 @@ def drift_input(spark, d, shards=FEW_SHARDS):
     rows = _shards(spark, d, shards).select("shard", "pos", "doc_id", "label", "product_id", "cents")
     docs = texts(spark, d, "documents").select("doc_id", "text")
     first = rows.where(F.col("pos") < N.COLD_START).join(docs, "doc_id")
-    vocab = stage(N.vocabulary(first, group=["shard"]), "vocabulary")
+    vocab = N.vocabulary(first, group=["shard"])
     counts = N.vocabulary_counts(docs, vocab.select("term").distinct(), ["doc_id"])
     per_shard = rows.select("shard", "doc_id").distinct().join(counts, "doc_id")
     terms = drift.sparse_terms(per_shard, vocab, ["shard", "doc_id"], ["shard"])
@@ -171,9 +171,7 @@ def drift_experiment(spark, d):
     features = ["cents", "rating", *USER_FEATURES]
     rows = _learner_rows(spark, d).withColumn("shard", F.lit(0).cast("bigint"))
     docs = texts(spark, d, "documents").select("doc_id", "text")
-    vocab = stage(
-        N.vocabulary(rows.where(F.col("pos") < N.COLD_START).join(docs, "doc_id")), "vocabulary"
-    )
+    vocab = N.vocabulary(rows.where(F.col("pos") < N.COLD_START).join(docs, "doc_id"))
     terms = drift.sparse_terms(N.vocabulary_counts(docs, vocab, ["doc_id"]), vocab, ["doc_id"])
     made = learners.run_with_drift(
         rows.join(terms, "doc_id", "left"), features, vocab.count(), "htc", blocks=4

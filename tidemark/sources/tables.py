@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with header; texts may hold quotes and line breaks."""
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+) -> DataFrame:
+    """CSV with header; texts may hold quotes and, with ``multi_line``, line breaks.
+
+    A file with line breaks inside texts cannot be split, so one task reads it whole: keep
+    such files small, or say ``multi_line=False`` where the texts have none.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
@@ -27,14 +33,13 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
-def write_shards(df: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """One folder per shard.
+def write_shards(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
+    """One folder per shard, with files of consecutive rows.
 
-    Rows go to ``files_per_shard`` tasks per shard, by a hash of their position, so that a
-    shard of any size is written by as many tasks as wanted.
+    A shard of any size is cut by position, so no task writes more than ``rows_per_file``.
     """
-    spread = df.withColumn("_part", F.pmod(F.xxhash64("pos"), F.lit(files_per_shard)))
-    spread.repartition("shard", "_part").drop("_part").write.mode("overwrite").partitionBy(
+    pieces = df.withColumn("_piece", F.floor(F.col("pos") / rows_per_file))
+    pieces.repartition("shard", "_piece").drop("_piece").write.mode("overwrite").partitionBy(
         "shard"
     ).parquet(path)
 
