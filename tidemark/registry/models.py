@@ -139,9 +139,7 @@ def drift_adaptive(spark, d):
 def drift_log(spark, d):
     path = new_path(spark, "drift-log")
     tables.write_drift_log(drift.drift_fixed(*drift_input(spark, d), FIXED), path, "fixed")
-    return _rounded(tables.read_drift_log(spark, path, "fixed")).withColumn(
-        "shard", F.col("shard").cast("bigint")
-    )
+    return _rounded(tables.read_drift_log(spark, path, "fixed"))
 
 
 def model_epochs(spark, d):

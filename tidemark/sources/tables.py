@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.schemas import DRIFT_LOG
+
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
@@ -55,4 +57,6 @@ def write_drift_log(log: DataFrame, path: str, run_id: str) -> None:
 
 
 def read_drift_log(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("run_id") == run_id)
+    """The tests of one run; a run without any has no rows."""
+    schema = T.StructType([*DRIFT_LOG.fields, T.StructField("run_id", T.StringType())])
+    return spark.read.schema(schema).parquet(path).where(F.col("run_id") == run_id)
