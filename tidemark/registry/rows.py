@@ -268,8 +268,8 @@ _W = "partition by {k} order by ts, review_id rows between unbounded preceding a
 _WEEK = "cast(year(ts) as varchar) || cast(weekofyear(ts) as varchar)"
 
 
-def entity_sql(source: str, keys: str, suffix: str, measures, activity: bool, ctes: str, select: str) -> str:
-    """SQL of the running columns of one entity."""
+def entity_ctes(source: str, keys: str, suffix: str, measures) -> str:
+    """SQL of the running columns of one entity, as CTEs ending in ``made_<suffix>``."""
     totals = ", ".join(f"sum({m}) over w as s_{m}" for m in measures)
     means = ", ".join(
         f"cast(s_{m} as double) / n as {m}_avg_{suffix}, "
@@ -281,24 +281,29 @@ def entity_sql(source: str, keys: str, suffix: str, measures, activity: bool, ct
         f"weeks as week_num_{suffix}, cast(n as double) / weeks as tweet_freq_week_{suffix}, "
         f"case when prior >= 1 then 1 else 0 end as was_spam_prior_{suffix}, fakes"
     )
-    return f"""with {ctes},
-flagged as (
+    if "polarity_deviation" in measures:
+        extra += f", polarity_deviation as polarity_deviation_{suffix}"
+    return f"""flagged_{suffix} as (
   select *, case when row_number() over (partition by {keys}, {_WEEK} order by ts, review_id) = 1
             then 1 else 0 end as new_week
   from {source}),
-totals as (
+totals_{suffix} as (
   select *, count(*) over w as n, {totals},
          sum(case when label = 'fake' then 1 else 0 end) over w as fakes,
          sum(case when label = 'fake' then 1 else 0 end) over w
            - case when label = 'fake' then 1 else 0 end as prior,
          sum(new_week) over w as weeks
-  from flagged window w as ({_W.format(k=keys)})),
-made as (select review_id, {means}{extra} from totals)
-select {select} from made"""
+  from flagged_{suffix} window w as ({_W.format(k=keys)})),
+made_{suffix} as (select review_id, {means}{extra} from totals_{suffix})"""
+
+
+def entity_sql(source: str, keys: str, suffix: str, measures, ctes: str, select: str) -> str:
+    made = entity_ctes(source, keys, suffix, measures)
+    return with_ctes(ctes, made, select=f"select {select} from made_{suffix}")
 
 
 def _user_sql(select: str) -> str:
-    return entity_sql("reviews", "user_id", "user", ("cents", "rating"), True, REVIEWS, select)
+    return entity_sql("reviews", "user_id", "user", ("cents", "rating"), REVIEWS, select)
 
 
 def _entity_columns(suffix: str, activity: bool) -> str:
@@ -476,19 +481,19 @@ from cells""",
     "weekly_freq": (weekly_freq, _user_sql("review_id, tweet_freq_week_user")),
     "features_user": (
         _entity(["user_id"], "user", True),
-        entity_sql("measured", "user_id", "user", _MEASURES, True, DOC_MEASURES, _entity_columns("user", True)),
+        entity_sql("measured", "user_id", "user", _MEASURES, DOC_MEASURES, _entity_columns("user", True)),
     ),
     "features_product": (
         _entity(["product_id"], "product", False),
         entity_sql(
-            "measured", "product_id", "product", _MEASURES, False, DOC_MEASURES,
+            "measured", "product_id", "product", _MEASURES, DOC_MEASURES,
             _entity_columns("product", False),
         ),
     ),
     "features_rating": (
         _entity(["product_id", "rating"], "rating", False),
         entity_sql(
-            "measured", "product_id, rating", "rating", _MEASURES, False, DOC_MEASURES,
+            "measured", "product_id, rating", "rating", _MEASURES, DOC_MEASURES,
             _entity_columns("rating", False),
         ),
     ),
