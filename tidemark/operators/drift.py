@@ -213,9 +213,20 @@ def _blocks(rows: DataFrame, settings: DriftSettings) -> DataFrame:
 
 
 def _paired(blocks: DataFrame, per_block: DataFrame):
-    """Each block with its one-row companion; both sides hash on (shard, block)."""
+    """Each block with its one-row companion; both sides hash on (shard, block).
+
+    A block is little data and much arithmetic, so the number of tasks is stated: left to
+    itself the engine would join small partitions by their bytes and run blocks in turn.
+    """
+    spark = blocks.sparkSession
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        4 * spark.sparkContext.defaultParallelism,
+    )
     companion = per_block.withColumnsRenamed({"shard": "_shard", "block": "_block"})
-    return blocks.groupBy("shard", "block").cogroup(companion.groupBy("_shard", "_block"))
+    left = blocks.repartition(tasks, "shard", "block")
+    right = companion.repartition(tasks, "_shard", "_block")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("_shard", "_block"))
 
 
 def _widths(vocab: DataFrame) -> DataFrame:
