@@ -205,11 +205,20 @@ def _log_frame(parts: list[pd.DataFrame], shard) -> pd.DataFrame:
 _LOG_COLUMNS = [f.name for f in DRIFT_LOG.fields if f.name != "shard"]
 
 
-def _blocks(rows: DataFrame, settings: DriftSettings) -> DataFrame:
-    if settings.block_rows <= settings.reach:
+def _blocks(rows: DataFrame, settings: DriftSettings, low: int = 0) -> DataFrame:
+    """Blocks of the rows from ``low`` on, numbered from 1; earlier rows serve as copies only."""
+    size = settings.block_rows
+    if size <= settings.reach:
         raise ValueError("block_rows must exceed the look-back")
-    slim = rows.select("shard", "pos", F.col("hit").cast("int").alias("hit"), "term_ids", "term_counts")
-    return with_halo(slim, settings.reach, block_rows=settings.block_rows)
+    slim = rows.where(F.col("pos") >= low - settings.reach).select(
+        "shard", "pos", F.col("hit").cast("int").alias("hit"), "term_ids", "term_counts",
+        (F.col("pos") - low + size).alias("_shifted"),
+    )
+    return (
+        with_halo(slim, settings.reach, pos="_shifted", block_rows=size)
+        .where(F.col("block") >= 1)
+        .drop("_shifted")
+    )
 
 
 def _paired(blocks: DataFrame, per_block: DataFrame):
@@ -273,7 +282,9 @@ def drift_fixed(rows: DataFrame, vocab: DataFrame, settings: DriftSettings = Dri
         return _log_frame(log, key[0])
 
     # The static side is repeated per block, so that a shard is not one group.
-    places = rows.select("shard", block_of("pos", settings.block_rows).alias("block")).distinct()
+    places = rows.select(
+        "shard", (block_of("pos", settings.block_rows) + 1).alias("block")
+    ).distinct()
     return _paired(blocks, places.join(static, "shard")).applyInPandas(test, DRIFT_LOG)
 
 
@@ -305,16 +316,22 @@ def _read_state(frame: pd.DataFrame) -> dict | None:
 
 def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings = DriftSettings()) -> DataFrame:
     """The same test with a dynamic window which grows and shrinks, and a static window which
-    moves to the last rows at each trigger.
+    moves to the last rows at each trigger."""
+    blocks = _blocks(rows, settings).join(_widths(vocab), "shard", "left")
+    return _chained(blocks, settings, None)[0]
+
+
+def _chained(blocks: DataFrame, settings: DriftSettings, initial: dict | None) -> tuple[DataFrame, DataFrame]:
+    """The log of all blocks, and the state each block ends with.
 
     Length and static window depend on every earlier test, so the tests of a shard form a
     chain.  To run a long shard on more than one task, each block starts from a guess: first
-    from the state after block 0, then from the state its predecessor ended with.  Blocks
+    from the state after block 1, then from the state its predecessor ended with.  Blocks
     whose starting state changed are run again; when none changed, every block has started
-    from the true state (block 0 has no guess, and the rest follows by induction).  The loop
+    from the true state (block 1 has no guess, and the rest follows by induction).  The loop
     passes one number to the driver per round; states live in a staged table.
     """
-    blocks = stage(_blocks(rows, settings).join(_widths(vocab), "shard", "left"), "drift-blocks")
+    blocks = stage(blocks, "drift-blocks")
     state_schema = T.StructType(
         [T.StructField("shard", T.LongType()), T.StructField("block", T.LongType()), *_STATE.fields]
     )
@@ -340,15 +357,18 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
         return _paired(wanted, starts).applyInPandas(carry, state_schema)
 
     places = blocks.where(~F.col("halo")).select("shard", "block").distinct()
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in _STATE.fields]
-    heads = places.where(F.col("block") == 0).select("shard", "block", *nothing)
+    given = [
+        _literal(None if initial is None else initial[f.name]).cast(f.dataType).alias(f.name)
+        for f in _STATE.fields
+    ]
+    heads = places.where(F.col("block") == 1).select("shard", "block", *given)
     finished = stage(ends(heads), "drift-ends")
-    later = places.where(F.col("block") > 0)
-    after_first = finished.where(F.col("block") == 0).drop("block")
+    later = places.where(F.col("block") > 1)
+    after_first = finished.drop("block")
     starts = stage(
         later.join(after_first, "shard").select(*names).unionByName(heads.select(*names)), "drift-starts"
     )
-    dirty = starts.where(F.col("block") > 0)
+    dirty = starts.where(F.col("block") > 1)
     while dirty.limit(1).count():
         fresh = ends(dirty)
         unchanged = finished.join(dirty.select("shard", "block"), ["shard", "block"], "left_anti")
@@ -358,15 +378,10 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
             .join(later, ["shard", "block"], "left_semi")
             .select(*names)
         )
-        same = [F.col(f"a.{f.name}").eqNullSafe(F.col(f"b.{f.name}")) for f in _STATE.fields]
-        equal = same[0]
-        for s in same[1:]:
-            equal = equal & s
-        old = starts.alias("b")
-        changed = (
-            proper.alias("a")
-            .join(old, (F.col("a.shard") == F.col("b.shard")) & (F.col("a.block") == F.col("b.block")) & equal, "left_anti")
-        )
+        equal = (F.col("a.shard") == F.col("b.shard")) & (F.col("a.block") == F.col("b.block"))
+        for f in _STATE.fields:
+            equal = equal & F.col(f"a.{f.name}").eqNullSafe(F.col(f"b.{f.name}"))
+        changed = proper.alias("a").join(starts.alias("b"), equal, "left_anti")
         dirty = stage(changed, "drift-changed")
         starts = stage(
             starts.join(dirty.select("shard", "block"), ["shard", "block"], "left_anti")
@@ -374,39 +389,29 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
             .unionByName(dirty.select(*names)),
             "drift-starts",
         )
-    return _paired(blocks, starts).applyInPandas(tests, DRIFT_LOG)
+    return _paired(blocks, starts).applyInPandas(tests, DRIFT_LOG), finished
+
+
+def _literal(value):
+    if isinstance(value, np.ndarray):
+        return F.array(*[F.lit(int(v)) for v in value])
+    return F.lit(value)
 
 
 def check_block(
     rows: DataFrame, low: int, width: int, state: dict | None, settings: DriftSettings
 ) -> tuple[DataFrame, dict | None]:
-    """Test one block of one shard: its rows from ``low`` on, preceded by what they look at.
+    """Test the rows of one stream from ``low`` on, preceded by what they look at.
 
     Gives the staged log and the state to go on with; the state is a few numbers and one list
     as long as the vocabulary.
     """
-    log_fields = DRIFT_LOG.fields
-    schema = T.StructType([*log_fields, T.StructField("state", _STATE)])
-    names = [f.name for f in log_fields]
-
-    def tested(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        log: list = []
-        frame = frame.assign(halo=frame["pos"] < low)
-        end = _walk(_Block(frame, width), state, settings, log)
-        out = _log_frame(log, key[0])[names]
-        out["state"] = None
-        if end is not None and len(out):
-            kept = {k: (v.tolist() if isinstance(v, np.ndarray) else v) for k, v in end.items()}
-            out.at[len(out) - 1, "state"] = kept
-        return out
-
-    slim = rows.select("shard", "pos", "hit", "term_ids", "term_counts")
-    log = stage(slim.groupBy("shard").applyInPandas(tested, schema), "drift-block")
-    last = log.where(F.col("state").isNotNull()).select("state").first()
+    blocks = _blocks(rows, settings, low).withColumn("width", F.lit(width))
+    log, finished = _chained(blocks, settings, state)
+    last = finished.agg(F.max_by(F.struct(*_STATE.names), "block").alias("state")).first()["state"]
     if last is not None:
-        state = last["state"].asDict()
-        state["static_terms"] = np.asarray(state["static_terms"], np.int64)
-    return log.drop("state"), state
+        state = {**last.asDict(), "static_terms": np.asarray(last["static_terms"], np.int64)}
+    return stage(log, "drift-block"), state
 
 
 def model_epochs(log: DataFrame) -> DataFrame:
