@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import pii, secrets, spans
 from tidemark.llm.common import table
+from tidemark.llm.lang_id import held_out_fold, identify, learn_profiles
 from tidemark.llm.pretokens import vocabulary_path
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_shards import shard_documents
@@ -14,15 +17,38 @@ from tidemark.llm.token_shards import shard_documents
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    counts = [spans.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, *(c.alias(n) for n, c in spans.digest(pii.BASE).items()))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary_path())
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = held_out_fold(F.col("doc_id"))
+    profiles = learn_profiles(docs.filter(~held_out))
+    named = identify(docs.select("doc_id", "text"), profiles)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"), vocabulary_path())
 
 
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secrets(table(spark, folder, "documents"))
+    counts = [spans.count_of(kind).alias(f"n_{kind}") for kind in secrets.KINDS]
+    return found.select("doc_id", *counts, *(c.alias(n) for n, c in spans.digest(secrets.BASE).items()))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_personal_data": (op1_personal_data, None),
     "op4_token_counts": (op4_token_counts, None),
+    "op7_language": (op7_language, None),
     "op8_token_shards": (op8_token_shards, None),
+    "op9_secret_scan": (op9_secret_scan, None),
 }
