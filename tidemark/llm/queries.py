@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import pii, secrets, spans
 from tidemark.llm.common import table
+from tidemark.llm.decontaminate import contamination
 from tidemark.llm.lang_id import held_out_fold, identify, learn_profiles
 from tidemark.llm.pretokens import vocabulary_path
 from tidemark.llm.token_counts import token_counts
@@ -45,10 +46,49 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, *(c.alias(n) for n, c in spans.digest(secrets.BASE).items()))
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    judged = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    names = F.array_join(F.sort_array("items"), ",")
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), "contaminated",
+    )
+
+
+#: Lower-cases A to Z alone, then looks for every item window at every place of every document.
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), g AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM g), p AS (
+  SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size
+), o AS (
+  SELECT rid, i, size, item_id FROM (SELECT rid, i, size, array_to_string(w[i : i + size - 1], ' ') AS gram FROM p) JOIN g USING (size, gram)
+), hit AS (
+  SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS k FROM o) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM o) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_personal_data": (op1_personal_data, None),
     "op4_token_counts": (op4_token_counts, None),
     "op7_language": (op7_language, None),
     "op8_token_shards": (op8_token_shards, None),
     "op9_secret_scan": (op9_secret_scan, None),
+    "op10_decontaminate": (op10_decontaminate, OP10_SQL),
 }
