@@ -12,6 +12,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.lang_id import held_out_fold, identify, learn_profiles
 from tidemark.llm.pretokens import vocabulary_path
+from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_shards import shard_documents
 
@@ -28,6 +29,10 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary_path())
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = held_out_fold(F.col("doc_id"))
@@ -87,6 +92,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_personal_data": (op1_personal_data, None),
     "op4_token_counts": (op4_token_counts, None),
+    "op5_simhash": (op5_simhash, None),
     "op7_language": (op7_language, None),
     "op8_token_shards": (op8_token_shards, None),
     "op9_secret_scan": (op9_secret_scan, None),
