@@ -11,6 +11,7 @@ from tidemark.llm import pii, secrets, spans
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.lang_id import held_out_fold, identify, learn_profiles
+from tidemark.llm.neighbours import nearest
 from tidemark.llm.pretokens import vocabulary_path
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
@@ -33,6 +34,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = held_out_fold(F.col("doc_id"))
@@ -93,6 +98,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_personal_data": (op1_personal_data, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_simhash": (op5_simhash, None),
+    "op6_neighbours": (op6_neighbours, None),
     "op7_language": (op7_language, None),
     "op8_token_shards": (op8_token_shards, None),
     "op9_secret_scan": (op9_secret_scan, None),
