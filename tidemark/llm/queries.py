@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import pii, secrets, spans
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.html_extract import extract, labelled_pages, train
 from tidemark.llm.lang_id import held_out_fold, identify, learn_profiles
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.pretokens import vocabulary_path
@@ -26,6 +27,10 @@ def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, *(c.alias(n) for n, c in spans.digest(pii.BASE).items()))
 
 
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"), train(labelled_pages(spark)))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary_path())
 
@@ -96,6 +101,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_personal_data": (op1_personal_data, None),
+    "op3_main_text": (op3_main_text, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_simhash": (op5_simhash, None),
     "op6_neighbours": (op6_neighbours, None),
