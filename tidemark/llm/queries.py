@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import pii, secrets, spans
@@ -12,6 +13,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.html_extract import extract, labelled_pages, train
 from tidemark.llm.lang_id import held_out_fold, identify, learn_profiles
+from tidemark.llm.mixing import mix, selection
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.pretokens import vocabulary_path
 from tidemark.llm.simhash import near_duplicates
@@ -27,6 +29,26 @@ def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, *(c.alias(n) for n, c in spans.digest(pii.BASE).items()))
 
 
+#: Target weights of the mixture of ``documents``; names which are not listed weigh 1.
+DOMAINS = ("web", "books", "news", "forum")
+WEIGHTS = {"web": 4, "books": 3, "news": 2, "forum": 1, "en": 5, "de": 2, "fr": 2, "es": 1}
+
+
+def mixture_path() -> list[Column]:
+    """Domain (dealt by source, as the table has none), language and source of a document."""
+    number = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(len(DOMAINS)))
+    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (number + 1).cast("int"))
+    return [domain, F.col("lang"), F.col("source")]
+
+
+def mixture_weight(path: tuple[str, ...]) -> Fraction:
+    return Fraction(WEIGHTS.get(path[-1], 1)) if len(path) < 3 else Fraction(1)
+
+
+def op2_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(selection(table(spark, folder, "documents"), mixture_path(), mixture_weight))
+
+
 def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"), train(labelled_pages(spark)))
 
@@ -101,6 +123,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_personal_data": (op1_personal_data, None),
+    "op2_mixture": (op2_mixture, None),
     "op3_main_text": (op3_main_text, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_simhash": (op5_simhash, None),
