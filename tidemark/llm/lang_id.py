@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: N-grams of a profile, of a text; distinct labels that may be learned.
 PROFILE, MAX_LANGUAGES = 400, 1000
@@ -225,15 +226,16 @@ class Ranker:
         return [(self.names[b], float(s)) if n else (UNKNOWN, 0.0) for b, s, n in zip(best, score, lengths, strict=True)]
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; other columns are handed through untouched.
+def identify(
+    docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the predicted language and its score, as columns ``names``.
 
-    A column of ``docs`` with one of these two names is replaced.
+    Other columns are handed through untouched; columns of ``docs`` with one of these two names are replaced.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    kept = docs.select(*(F.col(f"`{c}`") for c in names))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double"])
-    at = names.index(text)
+    kept = docs.drop(*names)
+    at = kept.columns.index(text)
+    schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles)
@@ -241,7 +243,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
             found = ranker.predict([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=[*names, "lang_pred", "score"],
+                names=schema.names,
             )
 
     return kept.mapInArrow(predict, schema)
