@@ -1,0 +1,72 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from tests.llm.corpus import documents, plain
+from tidemark.llm import decontaminate, queries
+
+
+def words(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def judged(docs, items):
+    """Every window at every place."""
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        for k in range(max(len(w) - 12, 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + 13]), set()).add(str(item))
+    found = []
+    for key, text in docs:
+        w, hit, named = words(text), set(), set()
+        for size in {len(g) for g in windows}:
+            for k in range(len(w) - size + 1):
+                if (own := windows.get(tuple(w[k : k + size]))) is not None:
+                    hit |= set(range(k, k + size))
+                    named |= own
+        digest = hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
+        found.append((key, len(w), len(hit), len(named), digest, bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(found, key=lambda r: (r[0] is not None, r))
+
+
+def run(spark, docs, items, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = queries.op10_decontaminate(spark, str(tmp_path)).collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r))
+
+
+@pytest.mark.parametrize("block", [100_000, 7])
+def test_equals_every_window_at_every_place(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    rng = random.Random(block)
+    letters = ["a", "b", "C", "é", "ß1", "d"]
+    text = lambda n: "".join(rng.choice(letters) + rng.choice((" ", " ", ", ", "-", "\n")) for _ in range(n))
+    items = [(k, text(rng.choice((0, 1, 3, 12, 13, 14, 20)))) for k in range(12)]
+    items += [(100, items[3][1]), (101, None), (102, "..."), (103, "A b")]
+    docs = []
+    for k in range(60):
+        parts = [text(rng.randint(0, 30))]
+        parts += [rng.choice(items)[1] or "" for _ in range(rng.randint(0, 2))]
+        docs.append((k, " ".join([*parts, text(rng.randint(0, 200))])))
+    docs += [(200, None), (201, ""), (202, "  ,,, "), (5, docs[7][1]), (7, docs[7][1]), (None, docs[8][1]), (None, None), (None, None)]
+    assert run(spark, plain(spark, docs), items, tmp_path) == judged(docs, items)
+
+
+def test_awkward_rows_and_empty_tables(spark, tmp_path):
+    items = [(1, "the river and the mill")]
+    rows = run(spark, documents(spark), items, tmp_path / "a")
+    assert len(rows) == 12
+    assert {r[0]: r[2] for r in rows if r[0] in (1, 9, 6, 2)} == {1: 5, 9: 5, 6: 0, 2: 0}
+    assert run(spark, documents(spark, []), items, tmp_path / "b") == []
+    none = run(spark, documents(spark), [], tmp_path / "c")
+    assert len(none) == 12 and not any(r[2] or r[5] for r in none)
+
+
+def test_main_path_has_no_python(spark, folder):
+    plan = queries.op10_decontaminate(spark, folder)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|MapIn|CartesianProduct|BroadcastNestedLoop", plan)
