@@ -48,3 +48,11 @@ def test_shards_are_contiguous_and_near_equal(spark, n):
     assert max(sizes) - min(sizes) <= 1 and sizes == sorted(sizes, reverse=True)
     for k in range(20):
         assert [r[2] for r in rows if r[1] == k] == list(range(sizes[k]))
+
+
+def test_a_stratum_of_one_class_is_dropped(spark):
+    rows = [(i, 1, "fake") for i in range(5)] + [(i, 2, "fake" if i % 3 else "nofake") for i in range(10, 19)]
+    df = spark.createDataFrame(rows, "review_id long, s int, label string")
+    got = undersample(df, ["s"]).collect()
+    assert {r["s"] for r in got} == {2}
+    assert sorted(r["label"] for r in got) == ["fake"] * 3 + ["nofake"] * 3

@@ -169,22 +169,17 @@ def test_length_limits():
 
 def test_model_epochs(spark):
     log = spark.createDataFrame(
-        [(0, 501, 500, 1), (0, 502, 501, 0), (0, 700, 600, 1), (1, 501, 500, 1)],
-        "shard long, index long, window_rows int, triggered int",
+        [(0, 501, 500, 501, 1), (0, 502, 501, 502, 0), (0, 700, 600, 599, 1), (1, 501, 500, 501, 1)],
+        "shard long, index long, window_rows int, next_rows int, triggered int",
     )
     got = sorted(tuple(r) for r in drift.model_epochs(log).select("shard", "version", "train_from", "train_to", "used_to").collect())
-    assert got == [(0, 1, 1, 501, 700), (0, 2, 100, 700, None), (1, 1, 1, 501, None)]
-
-
-def test_one_shard_equals_the_whole(spark):
-    settings = drift.DriftSettings(**SMALL)
-    stream = make_stream(180, 4, 9, 50)
-    rows, vocab = frames(spark, [stream])
-    alone = logged(drift.drift_adaptive(rows, vocab, settings))[0]
-    staged, state = rows, None
-    log = []
-    for low in range(0, 180, 45):
-        part = rows.where((F.col("pos") >= low - settings.reach) & (F.col("pos") < low + 45))
-        made, state = drift.check_block(part, low, 4, state, settings)
-        log += logged(made).get(0, [])
-    assert log == alone and staged is rows
+    assert got == [(0, 1, 0, 501, 700), (0, 2, 101, 700, None), (1, 1, 0, 501, None)]
+
+
+@pytest.mark.parametrize("dof,want", [(100_000, 0.6911), (200_000, 0.6912)])
+def test_tail_of_many_degrees(dof, want):
+    # half a standard deviation below the mean, where the normal approximation is close
+    x = dof - 0.5 * math.sqrt(2 * dof)
+    cube = ((x / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof))
+    assert chi2_tail([x], [dof])[0] == pytest.approx(0.5 * math.erfc(cube / math.sqrt(2)), abs=1e-6)
+    assert chi2_tail([x], [dof])[0] == pytest.approx(want, abs=3e-3)

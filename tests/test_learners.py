@@ -1,9 +1,9 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import learners
-from tidemark.operators.drift import DriftSettings
-from tidemark.operators.grid import RANGES, combinations
 
 
 @pytest.fixture(scope="module")
@@ -24,26 +24,21 @@ def rows(spark):
 def test_blocks_learn_from_earlier_blocks(rows):
     vectors = learners.as_vectors(rows.where("pos < 300"), ["x"])
     spec = learners.model_spec("htc", {"max_depth": 1}, 1)
-    made = learners.prequential_blocks(vectors, spec, 3)
+    made = learners.prequential_blocks(vectors, spec, 100)
     got = {b: a for b, a in made.groupBy(F.floor(F.col("pos") / 100).alias("b")).agg(
         F.avg((F.col("y") == F.col("y_pred")).cast("int"))).collect()}
     assert got[0] == 0.5 and got[1] == got[2] == 1.0
 
 
-def test_equal_candidates_are_one():
-    trees = {tuple(learners.effective("htc", p).items()) for p in combinations(RANGES["htc"])}
-    forests = {tuple(learners.effective("arfc", p).items()) for p in combinations(RANGES["arfc"])}
-    assert len(trees) == 2 and len(forests) == 4
-    with pytest.raises(ValueError):
-        learners.effective("alma", {})
-
-
-def test_retraining_follows_the_drift(rows):
-    settings = DriftSettings(cold_start=50, max_rows=100, min_count=3)
-    ranges = {"max_depth": [2, 1], "tie_threshold": [0.5], "max_size": [1], "remove_poor_attrs": [True]}
-    made = learners.run_with_drift(rows, ["x"], 2, "htc", settings, blocks=6, ranges=ranges)
-    assert made.predictions.count() == 600
-    assert made.swaps and made.log.agg(F.max("triggered")).first()[0] == 1
-    late = made.predictions.where("pos >= 500").agg(F.avg((F.col("y") == F.col("y_pred")).cast("int"))).first()[0]
-    assert made.log.where("triggered = 1 and index > 300").count() > 0
-    assert late >= 0.0
+def test_every_parameter_acts_or_is_refused():
+    forest = learners.model_spec("arfc", {"n_models": 7, "max_features": 2, "lambda_value": 1}, 4)
+    assert (forest.getNumTrees(), forest.getFeatureSubsetStrategy()) == (7, "2")
+    assert forest.getSubsamplingRate() == pytest.approx(1 - math.exp(-1))
+    assert learners.model_spec("htc", {"max_depth": 30}, 4).getMaxDepth() == 30
+    refused = [
+        ("htc", {"max_depth": 50}), ("htc", {"tie_threshold": 0.5}), ("hatc", {"max_size": 1}),
+        ("htc", {"remove_poor_attrs": True}), ("arfc", {"max_features": 5}), ("arfc", {"max_depth": 2}), ("alma", {}),
+    ]
+    for model, params in refused:
+        with pytest.raises(ValueError):
+            learners.model_spec(model, params, 4)

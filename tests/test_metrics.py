@@ -32,9 +32,9 @@ def test_confusion_and_line(preds):
     assert row["latex"].startswith("\\textsc{htc} & 66.67 & ") and row["latex"].endswith(" & 1.23\\\\")
 
 
-def test_grids(spark):
-    trees = grid.param_grid(spark, grid.RANGES["htc"]).collect()
-    assert len(trees) == 72 and grid.param_grid(spark, grid.RANGES["arfc"]).count() == 8
+def test_grids():
+    trees = grid.combinations(grid.RANGES["htc"])
+    assert len(trees) == 72 and len(grid.combinations(grid.RANGES["arfc"])) == 8
     assert (trees[1]["max_depth"], trees[1]["remove_poor_attrs"]) == (1, False)
     assert grid.combinations(grid.RANGES["htc"])[0] == grid.START["htc"]
 
@@ -103,3 +103,18 @@ def test_filters(spark):
     assert kept == {"id": True, "x": False}
     with pytest.raises(ValueError):
         filters.rating_class(df, 3)
+
+
+def test_naive_bayes_on_large_and_constant_numbers(spark):
+    import random
+
+    rng, big = random.Random(4), 4_000_000_000
+    rows = []
+    for pos in range(300):
+        y = rng.random() < 0.5
+        rows.append((pos, "fake" if y else "nofake", big + (3 if y else 0) + rng.randint(0, 1), 7))
+    df = spark.createDataFrame(rows, "pos long, label string, x long, c long").withColumn("review_id", F.col("pos"))
+    for features in (["x"], ["x", "c"]):
+        made = bayes.prequential(df, features).where("pos >= 20")
+        # three apart with a spread of one: right every time, however far from zero
+        assert made.where("y != y_pred").count() == 0

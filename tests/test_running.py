@@ -71,6 +71,19 @@ def test_hot_keys_equal_plain_windows(spark, folder, keys, suffix):
     assert made[0] == made[1] and made[0]
 
 
+def test_fractions_add_up_alike_in_windows_and_blocks(spark):
+    source = spark.range(900).select(
+        F.col("id").alias("review_id"), F.lit(1).cast("bigint").alias("user_id"), F.lit("nofake").alias("label"),
+        F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("ts"),
+        F.lit(0.1).alias("x"), F.when(F.col("id") % 7 != 0, 1 / (F.col("id") % 5 + 1.0) - F.col("id") * 0.3).alias("y"),
+    )
+    made = [
+        sorted(map(tuple, entity_features(source, ["user_id"], "user", ["x", "y"], hot_rows=h).collect()))
+        for h in (10**9, 15)
+    ]
+    assert made[0] == made[1]
+
+
 def test_input_order_changes_nothing(rows):
     a = entity_features(rows, ["user_id"], "user", ["x"]).collect()
     b = entity_features(rows.orderBy(F.desc("review_id")), ["user_id"], "user", ["x"]).collect()

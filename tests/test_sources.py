@@ -10,7 +10,7 @@ def test_csv_keeps_texts_with_quotes_and_breaks(spark, tmp_path):
     rows = [(1, 2, 4.0, "1/9/2012", 'He said "no, thanks"\nand left', -1), (3, None, None, None, "a,b", 1)]
     path = str(tmp_path / "raw")
     tables.write_csv(spark.createDataFrame(rows, RAW_REVIEWS), path)
-    assert sorted(map(tuple, tables.read_csv(spark, path, RAW_REVIEWS).collect())) == rows
+    assert sorted(map(tuple, tables.read_csv(spark, path, RAW_REVIEWS, multi_line=True).collect())) == rows
 
 
 def test_shards_are_pruned(spark, tmp_path):

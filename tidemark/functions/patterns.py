@@ -37,7 +37,6 @@ LINK = rf"(?i)(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}])){LINK_BODY}
 # ---- fixed values: what the cleaning removes, in its order ----------------------------
 MAIL = rf"[{WORD}][{WORD}|.=\-]*@[{WORD}|.\-]*[{WORD}]"
 SCHEME = rf"[{WORD}]+://[{WORD}\-]+(?:\.[{WORD}\-]+)*(?:/[^{BLANK}/]*)*"
-COLON = rf"(?:pic.|[{WORD}]+)?:[^{BLANK}]+"
 SYMBOLS = r"[*\[\]=()$\"}{|+&€£/º]+"
 BLANKS = rf"(?:[{BLANK}]+|\\n)+"
 PUNCTUATION = r"[,|.':;\-–]+"

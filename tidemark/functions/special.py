@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_STEPS = 500
+#: Steps beyond the usual ``8 * sqrt(a)`` until the last bit stands still.
+_MORE_STEPS = 500
 _TINY = 1e-300
 
 
@@ -19,6 +20,10 @@ def _log_gamma(values: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) for v in distinct])[where].reshape(values.shape)
 
 
+def _steps(a: np.ndarray) -> int:
+    return _MORE_STEPS + int(20 * math.sqrt(a.max()))
+
+
 def chi2_tail(statistic, dof) -> np.ndarray:
     """P(X >= statistic) for ``dof`` degrees of freedom; 1 where there are none.
 
@@ -41,11 +46,13 @@ def chi2_tail(statistic, dof) -> np.ndarray:
         xi, ai = xs[series], as_[series]
         term = 1.0 / ai
         total = term.copy()
-        for n in range(1, _STEPS):
+        for n in range(1, _steps(ai)):
             term = term * xi / (ai + n)
             total += term
             if np.all(term <= total * 1e-16):
                 break
+        else:
+            raise ArithmeticError("the series of the incomplete gamma function did not settle")
         result[series] = 1.0 - total * scale[series]
     rest = ~series
     if rest.any():
@@ -54,7 +61,7 @@ def chi2_tail(statistic, dof) -> np.ndarray:
         c = np.full(xi.shape, 1.0 / _TINY)
         d = 1.0 / np.where(b == 0, _TINY, b)
         h = d.copy()
-        for n in range(1, _STEPS):
+        for n in range(1, _steps(ai)):
             factor = -n * (n - ai)
             b = b + 2.0
             d = factor * d + b
@@ -63,8 +70,10 @@ def chi2_tail(statistic, dof) -> np.ndarray:
             c = np.where(np.abs(c) < _TINY, _TINY, c)
             step = d * c
             h = h * step
-            if np.all(np.abs(step - 1.0) < 1e-15):
+            if np.all(np.abs(step - 1.0) < 4e-16):
                 break
+        else:
+            raise ArithmeticError("the continued fraction of the incomplete gamma function did not settle")
         result[rest] = scale[rest] * h
     out[usable] = np.clip(result, 0.0, 1.0)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.scan import with_position
+from tidemark.plans.staging import sized, stage
 
 #: Buckets of the draw: four hexadecimal digits.
 _DIGITS = 4
@@ -31,6 +32,7 @@ def undersample(
 ) -> DataFrame:
     """Cut every class of a stratum to its smallest class, drawn without replacement.
 
+    A stratum which holds one class only cannot be balanced and is dropped.
     Keeps the rows with the smallest ``md5(id#seed)``.  No class is ever sorted: a count per
     leading digits tells in which bucket each class is cut, only that bucket (a 65,536th of
     the class) is ranked, and the row found there is the limit which all rows are compared
@@ -44,27 +46,35 @@ def undersample(
     per_class = Window.partitionBy(*keys)
     per_stratum = Window.partitionBy(*strata)
     upto = per_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
+    cut = stage(
         counts.withColumns(
             {"_class_rows": F.sum("_rows").over(per_class), "_upto": F.sum("_rows").over(upto)}
         )
-        .withColumn("_target", F.min("_class_rows").over(per_stratum))
+        .withColumns(
+            {
+                "_target": F.min("_class_rows").over(per_stratum),
+                "_one_class": F.min(label).over(per_stratum) == F.max(label).over(per_stratum),
+            }
+        )
+        .where(~F.col("_one_class"))
         .where((F.col("_upto") >= F.col("_target")) & (F.col("_upto") - F.col("_rows") < F.col("_target")))
-        .select(*keys, "_bucket", (F.col("_target") - (F.col("_upto") - F.col("_rows"))).alias("_take"))
+        .select(*keys, "_bucket", (F.col("_target") - (F.col("_upto") - F.col("_rows"))).alias("_take")),
+        "cut-buckets",
     )
     ranked = Window.partitionBy(*keys).orderBy("_draw", id_column)
-    limits = (
-        # One cut bucket per stratum and class: a handful of rows.
-        bucketed.join(F.broadcast(cut), [*keys, "_bucket"])
+    limits = stage(
+        # One cut bucket per stratum and class; strata are the caller's, so they are counted.
+        bucketed.join(sized(cut), [*keys, "_bucket"])
         .withColumn("_rank", F.row_number().over(ranked))
         .where(F.col("_rank") == F.col("_take"))
-        .select(*keys, F.col("_draw").alias("_last_draw"), F.col(id_column).alias("_last_id"))
+        .select(*keys, F.col("_draw").alias("_last_draw"), F.col(id_column).alias("_last_id")),
+        "class-limits",
     )
     within = (F.col("_draw") < F.col("_last_draw")) | (
         (F.col("_draw") == F.col("_last_draw")) & (F.col(id_column) <= F.col("_last_id"))
     )
     return (
-        drawn.join(F.broadcast(limits), keys)
+        drawn.join(sized(limits), keys)
         .where(within)
         .drop("_draw", "_last_draw", "_last_id")
         .select(*df.columns)

@@ -18,6 +18,7 @@ from tidemark.plans.scan import BLOCK_ROWS, running
 from tidemark.schemas import LABELS
 
 VAR_FLOOR = 1e-9
+_EXACT = "decimal(38,0)"
 
 
 @dataclass(frozen=True)
@@ -40,9 +41,9 @@ def class_statistics(
 ) -> DataFrame:
     """Add per class the count, sum and sum of squares of each feature over earlier rows.
 
-    Features must be integers (scale them first): the sums are then exact, so they do not
-    depend on how the rows are split, and squares are summed as decimals, which cannot
-    overflow.
+    Features must be integers (scale them first).  Sums and squares are decimals of 38 digits,
+    cast before they are multiplied: exact, whatever the split of the rows, and wide enough
+    for the squares of any 64-bit integer.
     """
     measures: dict[str, tuple[str, Column]] = {}
     for label in LABELS:
@@ -50,12 +51,26 @@ def class_statistics(
         measures[f"_n_{label}"] = ("sum", F.when(is_label, F.lit(1).cast("bigint")))
         for f in features:
             s, q = _names(f, label)
-            x = F.col(f).cast("bigint")
-            measures[s] = ("sum", F.when(is_label, x))
-            measures[q] = ("sum", F.when(is_label, (x * x).cast("decimal(20,0)")))
+            x = F.col(f).cast("bigint").cast("decimal(19,0)")
+            measures[s] = ("sum", F.when(is_label, x).cast(_EXACT))
+            measures[q] = ("sum", F.when(is_label, x * x).cast(_EXACT))
     return running(df, measures, group, inclusive=False, block_rows=block_rows)
 
 
+def _variance(n: Column, s: Column, q: Column) -> Column:
+    """Of ``n`` integers with sum ``s`` and sum of squares ``q``, without cancellation.
+
+    Around a whole number ``m`` near the mean the squares add up to ``q - 2 m s + n m m``: exact
+    in decimals, and small where the values lie together.
+    """
+    # no rows of the class yet: null, not a division by zero
+    rows, count = n.cast("decimal(19,0)"), F.nullif(n.cast("double"), F.lit(0.0))
+    m = F.floor(s.cast("double") / count).cast("decimal(19,0)")
+    around = q - (s * m).cast(_EXACT) * 2 + ((rows * m).cast(_EXACT) * m).cast(_EXACT)
+    rest = (s - (rows * m).cast(_EXACT)).cast("double") / count
+    return around.cast("double") / count - rest * rest
+
+
 def _log_score(label: str, candidate: Candidate) -> Column:
     # No rows of the class yet: everything that follows is null, not a division by zero.
     n = F.nullif(F.col(f"_n_{label}").cast("double"), F.lit(0.0))
@@ -63,9 +78,7 @@ def _log_score(label: str, candidate: Candidate) -> Column:
     for f in candidate.features:
         s, q = _names(f, label)
         mean = F.col(s).cast("double") / n
-        var = F.greatest(
-            F.col(q).cast("double") / n - mean * mean, F.lit(candidate.var_floor)
-        )
+        var = F.greatest(_variance(F.col(f"_n_{label}"), F.col(s), F.col(q)), F.lit(candidate.var_floor))
         gap = F.col(f).cast("double") - mean
         score = score - F.lit(0.5) * F.ln(var) - gap * gap / (F.lit(2.0) * var)
     return score

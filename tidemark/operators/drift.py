@@ -76,18 +76,20 @@ class _Block:
         rows = rows.sort_values("pos", kind="stable")
         self.first = int(rows["pos"].iloc[0])
         self.own = rows.loc[~rows["halo"], "pos"].to_numpy(np.int64)
-        counts = np.zeros((len(rows) + 1, width), np.int64)
+        # counts of a block and its halo, so 32 bits hold every prefix
+        counts = np.zeros((len(rows) + 1, width), np.int32)
         ids, values = rows["term_ids"].to_numpy(), rows["term_counts"].to_numpy()
         sizes = [0 if v is None else len(v) for v in ids]
         if sum(sizes):
             at = np.repeat(np.arange(1, len(rows) + 1), sizes)
             flat = [v for v in ids if v is not None], [v for v in values if v is not None]
             counts[at, np.concatenate(flat[0])] = np.concatenate(flat[1])
-        self.terms = counts.cumsum(axis=0)
+        np.cumsum(counts, axis=0, out=counts)
+        self.terms = counts
         self.hits = np.concatenate([[0], rows["hit"].to_numpy(np.int64).cumsum()])
 
     def totals(self, low, high) -> np.ndarray:
-        return self.terms[high - self.first] - self.terms[low - self.first]
+        return (self.terms[high - self.first] - self.terms[low - self.first]).astype(np.int64)
 
     def accuracy(self, low, high):
         return (self.hits[high - self.first] - self.hits[low - self.first]) / (high - low)
@@ -173,6 +175,7 @@ def _walk(block: _Block, state: dict | None, settings: DriftSettings, log: list
                         "statistic": statistic[kept],
                         "p_value": p_value[kept],
                         "window_rows": length[kept].astype(np.int32),
+                        "next_rows": following[kept].astype(np.int32),
                         "triggered": triggered[kept].astype(np.int32),
                     }
                 )
@@ -205,14 +208,14 @@ def _log_frame(parts: list[pd.DataFrame], shard) -> pd.DataFrame:
 _LOG_COLUMNS = [f.name for f in DRIFT_LOG.fields if f.name != "shard"]
 
 
-def _blocks(rows: DataFrame, settings: DriftSettings, low: int = 0) -> DataFrame:
-    """Blocks of the rows from ``low`` on, numbered from 1; earlier rows serve as copies only."""
+def _blocks(rows: DataFrame, settings: DriftSettings) -> DataFrame:
+    """Blocks of the rows, numbered from 1, each with copies of the last rows before it."""
     size = settings.block_rows
     if size <= settings.reach:
         raise ValueError("block_rows must exceed the look-back")
-    slim = rows.where(F.col("pos") >= low - settings.reach).select(
+    slim = rows.select(
         "shard", "pos", F.col("hit").cast("int").alias("hit"), "term_ids", "term_counts",
-        (F.col("pos") - low + size).alias("_shifted"),
+        (F.col("pos") + size).alias("_shifted"),
     )
     return (
         with_halo(slim, settings.reach, pos="_shifted", block_rows=size)
@@ -318,11 +321,11 @@ def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings =
     """The same test with a dynamic window which grows and shrinks, and a static window which
     moves to the last rows at each trigger."""
     blocks = _blocks(rows, settings).join(_widths(vocab), "shard", "left")
-    return _chained(blocks, settings, None)[0]
+    return _chained(blocks, settings)
 
 
-def _chained(blocks: DataFrame, settings: DriftSettings, initial: dict | None) -> tuple[DataFrame, DataFrame]:
-    """The log of all blocks, and the state each block ends with.
+def _chained(blocks: DataFrame, settings: DriftSettings) -> DataFrame:
+    """The log of all blocks.
 
     Length and static window depend on every earlier test, so the tests of a shard form a
     chain.  To run a long shard on more than one task, each block starts from a guess: first
@@ -357,10 +360,7 @@ def _chained(blocks: DataFrame, settings: DriftSettings, initial: dict | None) -
         return _paired(wanted, starts).applyInPandas(carry, state_schema)
 
     places = blocks.where(~F.col("halo")).select("shard", "block").distinct()
-    given = [
-        _literal(None if initial is None else initial[f.name]).cast(f.dataType).alias(f.name)
-        for f in _STATE.fields
-    ]
+    given = [F.lit(None).cast(f.dataType).alias(f.name) for f in _STATE.fields]
     heads = places.where(F.col("block") == 1).select("shard", "block", *given)
     finished = stage(ends(heads), "drift-ends")
     later = places.where(F.col("block") > 1)
@@ -389,42 +389,21 @@ def _chained(blocks: DataFrame, settings: DriftSettings, initial: dict | None) -
             .unionByName(dirty.select(*names)),
             "drift-starts",
         )
-    return _paired(blocks, starts).applyInPandas(tests, DRIFT_LOG), finished
-
-
-def _literal(value):
-    if isinstance(value, np.ndarray):
-        return F.array(*[F.lit(int(v)) for v in value])
-    return F.lit(value)
-
-
-def check_block(
-    rows: DataFrame, low: int, width: int, state: dict | None, settings: DriftSettings
-) -> tuple[DataFrame, dict | None]:
-    """Test the rows of one stream from ``low`` on, preceded by what they look at.
-
-    Gives the staged log and the state to go on with; the state is a few numbers and one list
-    as long as the vocabulary.
-    """
-    blocks = _blocks(rows, settings, low).withColumn("width", F.lit(width))
-    log, finished = _chained(blocks, settings, state)
-    last = finished.agg(F.max_by(F.struct(*_STATE.names), "block").alias("state")).first()["state"]
-    if last is not None:
-        state = {**last.asDict(), "static_terms": np.asarray(last["static_terms"], np.int64)}
-    return stage(log, "drift-block"), state
+    return _paired(blocks, starts).applyInPandas(tests, DRIFT_LOG)
 
 
 def model_epochs(log: DataFrame) -> DataFrame:
     """The triggers of a drift log as model versions, with training rows and span of use.
 
     Version v is trained on the window of its trigger, rows [train_from, train_to), and used
-    up to the next trigger; ``used_to`` is null for the last one.
+    up to the next trigger; ``used_to`` is null for the last one.  The window has moved its
+    length before the model is trained, so it is ``next_rows`` long.
     """
-    triggers = log.where(F.col("triggered") == 1).select("shard", "index", "window_rows")
+    triggers = log.where(F.col("triggered") == 1).select("shard", "index", "next_rows")
     numbered = with_position(triggers, ["index"], ["shard"], "epochs").select(
         "shard",
         (F.col("pos") + 1).alias("version"),
-        (F.col("index") - F.col("window_rows")).alias("train_from"),
+        (F.col("index") - F.col("next_rows")).alias("train_from"),
         F.col("index").alias("train_to"),
     )
     following = numbered.select(
@@ -435,7 +414,6 @@ def model_epochs(log: DataFrame) -> DataFrame:
 
 __all__ = [
     "DriftSettings",
-    "check_block",
     "drift_adaptive",
     "drift_fixed",
     "homogeneity",

@@ -5,9 +5,6 @@ from __future__ import annotations
 import itertools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 # ---- fixed values: parameter ranges and starting values per model ---------------------
 TREE_RANGES = {
     "max_depth": [1, 50, 100],
@@ -26,11 +23,3 @@ START = {"htc": TREE_START, "hatc": TREE_START, "arfc": FOREST_START}
 def combinations(ranges: Mapping[str, Sequence]) -> list[dict]:
     """All combinations, the last parameter changing fastest."""
     return [dict(zip(ranges, values)) for values in itertools.product(*ranges.values())]
-
-
-def param_grid(spark: SparkSession, ranges: Mapping[str, Sequence]) -> DataFrame:
-    """The grid as a table with ``grid_pos``; its size is the product of the range sizes."""
-    rows = [(i, *combo.values()) for i, combo in enumerate(combinations(ranges))]
-    return spark.createDataFrame(rows, ["grid_pos", *ranges]).withColumn(
-        "grid_pos", F.col("grid_pos").cast("int")
-    )

@@ -1,14 +1,15 @@
-"""Learners of ``pyspark.ml`` evaluated block by block, with and without drift handling.
+"""Learners of ``pyspark.ml`` evaluated block by block.
 
-They take the part of the reference's incremental trees and forests: the same names and
-parameters choose the model, the protocol is test-then-train, but a model changes between
-blocks of rows and not between rows, and the scores are those of Spark's trees.
+They take the part of the reference's incremental trees and forests: the same names choose
+the model, the protocol is test-then-train, but a model changes between blocks of rows and
+not between rows, and the scores are those of Spark's trees.  Drift handling, where a model
+must change at a row, is in ``closed_loop``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
 
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
@@ -17,38 +18,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import encode_label
-from tidemark.operators.drift import DriftSettings, check_block
-from tidemark.operators.grid import RANGES, START, combinations
-from tidemark.plans.staging import stage
 from tidemark.schemas import LABELS
 
+#: Rows of a block.
+BLOCK_ROWS = 25_000
 #: Deepest tree which Spark grows.
 MAX_DEPTH = 30
 
 
-def effective(model: str, params: Mapping) -> dict:
-    """The part of the parameters which Spark's learners know.
+def model_spec(model: str, params: Mapping, n_features: int, seed: int = 1) -> Estimator:
+    """The estimator for a model name: htc, hatc (tree) or arfc (forest).
 
-    Memory limits, poor attributes and the tie threshold belong to an incremental tree;
-    candidates which differ only in them are one candidate here.
+    Every parameter acts: ``max_depth``; ``n_models``, ``max_features`` (per split) and
+    ``lambda_value`` (a row is drawn Poisson(lambda) times, so a share of ``1 - exp(-lambda)`` of
+    the rows is drawn at all).  What Spark's learners cannot follow is refused: limits of an
+    incremental tree (``tie_threshold``, ``max_size``, ``remove_poor_attrs``), trees deeper than
+    30, more features than there are.
     """
-    if model in ("htc", "hatc"):
-        return {"depth": min(int(params["max_depth"]), MAX_DEPTH)}
-    if model == "arfc":
-        return {"trees": int(params["n_models"]), "features": int(params["max_features"])}
-    raise ValueError(f"no model {model!r}")
-
-
-def model_spec(model: str, params: Mapping, n_features: int, seed: int = 1) -> Estimator:
-    """The estimator for a model name: htc, hatc (tree) or arfc (forest)."""
-    known = effective(model, params)
+    known = {"htc": {"max_depth"}, "hatc": {"max_depth"}, "arfc": {"n_models", "max_features", "lambda_value"}}
+    if model not in known:
+        raise ValueError(f"no model {model!r}")
+    if unknown := sorted(set(params) - known[model]):
+        raise ValueError(f"{model} cannot follow {', '.join(unknown)}")
     if model == "arfc":
+        features = int(params.get("max_features", n_features))
+        if not 1 <= features <= n_features:
+            raise ValueError(f"max_features {features} of {n_features} features")
         return RandomForestClassifier(
-            numTrees=known["trees"],
-            featureSubsetStrategy=str(min(known["features"], n_features)),
+            numTrees=int(params.get("n_models", 1)),
+            featureSubsetStrategy=str(features),
+            subsamplingRate=1.0 - math.exp(-float(params.get("lambda_value", 6))),
             seed=seed,
         )
-    return DecisionTreeClassifier(maxDepth=known["depth"], seed=seed)
+    depth = int(params.get("max_depth", 5))
+    if not 0 <= depth <= MAX_DEPTH:
+        raise ValueError(f"max_depth {depth} is not in 0..{MAX_DEPTH}")
+    return DecisionTreeClassifier(maxDepth=depth, seed=seed)
 
 
 def as_vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -84,137 +89,20 @@ def _between(df: DataFrame, low: int, high: int) -> DataFrame:
     return df.where((F.col("pos") >= low) & (F.col("pos") < high))
 
 
-def block_edges(total: int, blocks: int) -> list[int]:
-    return [total * b // blocks for b in range(blocks + 1)]
-
-
 def prequential_blocks(
-    vectors: DataFrame, spec: Estimator, blocks: int = 5, keep: Sequence[str] = ()
+    vectors: DataFrame, spec: Estimator, block_rows: int = BLOCK_ROWS, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Every block is scored by a model fitted on all earlier blocks."""
+    """Every block of ``block_rows`` rows is scored by a model fitted on all earlier blocks.
+
+    The length of a block does not hang on the size of the stream; the first one is ``nofake``.
+    """
     total = vectors.count()
-    edges = block_edges(total, blocks)
     out = None
-    for low, high in zip(edges, edges[1:]):
+    for low in range(0, max(total, 1), block_rows):
         model = fit(spec.copy(), _between(vectors, 0, low)) if low else None
-        scored = score(model, _between(vectors, low, high), keep)
+        scored = score(model, _between(vectors, low, low + block_rows), keep)
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-@dataclass
-class Experiment:
-    """What a run with drift handling leaves behind."""
-
-    predictions: DataFrame
-    log: DataFrame | None
-    swaps: list[dict] = field(default_factory=list)
-
-
-def best_parameters(
-    model: str, window: DataFrame, low: int, high: int, ranges: Mapping, n_features: int
-) -> dict:
-    """The candidate with the best accuracy on the later half of the window.
-
-    The window holds at most 2,001 rows.  Candidates which are the same to Spark are fitted
-    once; the earlier grid position wins a tie.
-    """
-    middle = (low + high) // 2
-    earlier, later = _between(window, low, middle), _between(window, middle, high)
-    tried: dict[tuple, float] = {}
-    best, best_accuracy = None, -1.0
-    for params in combinations(ranges):
-        key = tuple(sorted(effective(model, params).items()))
-        if key not in tried:
-            scored = score(fit(model_spec(model, params, n_features), earlier), later)
-            tried[key] = scored.agg(
-                F.avg((F.col("y") == F.col("y_pred")).cast("double"))
-            ).first()[0] or 0.0
-        if tried[key] > best_accuracy:
-            best, best_accuracy = params, tried[key]
-    return best
-
-
-def run_with_drift(
-    rows: DataFrame,
-    features: Sequence[str],
-    width: int,
-    model: str = "htc",
-    settings: DriftSettings = DriftSettings(),
-    blocks: int = 8,
-    ranges: Mapping | None = None,
-    compare_to: str = "current",
-) -> Experiment:
-    """Test-then-train over one stream, with a drift test after every row.
-
-    ``rows`` carries ``shard`` (one value), ``pos``, ``label``, the features and the n-gram
-    lists.  Per block: score, test, then either retrain on the window of the last trigger
-    with the best parameters found on it, or go on learning from the rows since the model
-    began.  A retrain is called off if the best parameters are those in force
-    (``compare_to="initial"``: those at the start).  A new model acts from the next block on.
-    """
-    spread = dict(ranges or RANGES[model])
-    params = initial = START[model]
-    staged = stage(
-        as_vectors(rows, features, ["shard", "term_ids", "term_counts"]), "experiment-rows"
-    )
-    total = staged.count()
-    edges = block_edges(total, blocks)
-    current, state, began = None, None, 0
-    done: list[DataFrame] = []
-    logs: list[DataFrame] = []
-    swaps: list[dict] = []
-    for low, high in zip(edges, edges[1:]):
-        block = _between(staged, low, high)
-        scored = stage(
-            score(current, block, ["shard", "term_ids", "term_counts"]).withColumn(
-                "hit", (F.col("y") == F.col("y_pred")).cast("int")
-            ),
-            "experiment-scored",
-        )
-        done.append(scored)
-        # Only the blocks which the tests look back at.
-        recent = scored
-        for earlier, end in zip(done[-2::-1], edges[edges.index(low) :: -1]):
-            if end <= low - settings.reach:
-                break
-            recent = recent.unionByName(earlier)
-        log, state = check_block(
-            _between(recent, low - settings.reach, high), low, width, state, settings
-        )
-        logs.append(log)
-        last = (
-            log.where(F.col("triggered") == 1)
-            .agg(F.max(F.struct("index", "window_rows")).alias("last"))
-            .first()["last"]
-        )
-        swapped = False
-        if last is not None:
-            stop, start = last["index"], last["index"] - last["window_rows"]
-            found = best_parameters(model, staged, start, stop, spread, len(features))
-            in_force = initial if compare_to == "initial" else params
-            if dict(found) != dict(in_force):
-                params, began, swapped = found, start, True
-                swaps.append({"index": stop, "train_from": start, "params": dict(found)})
-        train_to = last["index"] if swapped else high
-        current = fit(model_spec(model, params, len(features)), _between(staged, began, train_to))
-    predictions = done[0]
-    for more in done[1:]:
-        predictions = predictions.unionByName(more)
-    log = logs[0]
-    for more in logs[1:]:
-        log = log.unionByName(more)
-    return Experiment(predictions.select("shard", "pos", "y", "y_pred"), log, swaps)
-
-
-__all__ = [
-    "Experiment",
-    "as_vectors",
-    "best_parameters",
-    "effective",
-    "fit",
-    "model_spec",
-    "prequential_blocks",
-    "run_with_drift",
-    "score",
-]
+__all__ = ["as_vectors", "fit", "model_spec", "prequential_blocks", "score"]

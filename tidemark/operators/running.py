@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.dates import year_week
 from tidemark.functions.labels import encode_label
@@ -72,7 +73,7 @@ def _windowed_totals(
             "_n": F.count(F.lit(1)).over(per_key),
             "_fakes": F.sum("_fake").over(per_key),
             "_weeks": F.sum("_new_week").over(per_key),
-            **{f"_sum_{m}": F.sum(m).over(per_key) for m in measures},
+            **{f"_sum_{m}": F.sum(f"_exact_{m}").over(per_key) for m in measures},
         }
     ).drop("_new_week")
 
@@ -87,7 +88,7 @@ def _blocked_totals(df: DataFrame, keys: Sequence[str], measures: Sequence[str])
         {
             "_fakes": ("sum", F.col("_fake")),
             "_weeks": ("sum", (F.col("pos") == F.col("_first_pos")).cast("int")),
-            **{f"_sum_{m}": ("sum", F.col(m)) for m in measures},
+            **{f"_sum_{m}": ("sum", F.col(f"_exact_{m}")) for m in measures},
         },
         keys,
     ).withColumn("_n", F.col("pos") + 1).drop("pos", "group_rows", "_first_pos")
@@ -110,8 +111,25 @@ def running_totals(
     usable = usable_rows(df, keys)
     if isinstance(hot, str):
         hot = hot_keys(usable, keys, rows)
-    prepared = usable.withColumns({"_fake": encode_label("label"), "_week": year_week("ts")})
-    return _totals(prepared, keys, measures, hot, partition_by or keys)
+    prepared = usable.withColumns(
+        {
+            "_fake": encode_label("label"),
+            "_week": year_week("ts"),
+            **{f"_exact_{m}": _exact(df, m) for m in measures},
+        }
+    )
+    totals = _totals(prepared, keys, measures, hot, partition_by or keys)
+    return totals.drop(*[f"_exact_{m}" for m in measures])
+
+
+def _exact(df: DataFrame, measure: str) -> Column:
+    """The measure as a number whose sums do not depend on the order or split of the rows.
+
+    Fractions become decimals of all their digits (18 behind the point, 20 before it), so the
+    windows of usual keys and the blocks of hot keys end in equal bits.
+    """
+    fraction = isinstance(df.schema[measure].dataType, (T.FloatType, T.DoubleType))
+    return F.col(measure).cast("decimal(38,18)") if fraction else F.col(measure)
 
 
 def entity_features(

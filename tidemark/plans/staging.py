@@ -20,11 +20,12 @@ BROADCAST_ENTRIES = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for a local session without it."""
+    """The folder which the session names; one of its own only where all tasks run in this process."""
     configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_SETTING} to a folder which all executors can reach")
     folder = tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -44,6 +45,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all tables which this application has staged; none of them may be needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    )
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sized(lookup: DataFrame) -> DataFrame:
     """Broadcast a look-up table if it is counted to be small; else leave it to a shuffle."""
     few = lookup.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import balance, bayes, drift, grid, hoeffding, learners, metrics, running
+from tidemark.operators import balance, bayes, closed_loop, drift, grid, hoeffding, learners, metrics, running
 from tidemark.operators import ngrams as N
 from tidemark.plans.scan import with_position
-from tidemark.plans.staging import new_path
+from tidemark.plans.staging import new_path, stage
 from tidemark.registry.common import (
     FEW_SHARDS,
     GRAMS,
@@ -47,12 +47,10 @@ def shard_experiment(spark, d):
 
 
 CANDIDATES = [
-    bayes.Candidate(("cents",)),
-    bayes.Candidate(("rating",)),
-    bayes.Candidate(("cents", "rating")),
-    bayes.Candidate(("cents",), 250_000.0),
-    bayes.Candidate(("rating",), 250_000.0),
-    bayes.Candidate(("cents", "rating"), 250_000.0),
+    bayes.Candidate(**setting)
+    for setting in grid.combinations(
+        {"var_floor": [bayes.VAR_FLOOR, 250_000.0], "features": [("cents",), ("rating",), ("cents", "rating")]}
+    )
 ]
 
 
@@ -64,28 +62,6 @@ def best_candidate(spark, d):
     return bayes.best_candidate(grid_replay(spark, d), ["shard"])
 
 
-def param_grid(spark, d):
-    """Both grids, with the number of rows each candidate would be replayed on."""
-    trees = grid.param_grid(spark, grid.TREE_RANGES).select(
-        F.lit("htc").alias("model"), "grid_pos",
-        F.concat_ws(
-            ",", F.col("max_depth").cast("string"), F.format_string("%.4f", "tie_threshold"),
-            F.col("max_size").cast("string"), F.col("remove_poor_attrs").cast("string"),
-        ).alias("setting"),
-    )
-    forest = grid.param_grid(spark, grid.FOREST_RANGES).select(
-        F.lit("arfc").alias("model"), "grid_pos",
-        F.concat_ws(
-            ",", *[F.col(c).cast("string") for c in grid.FOREST_RANGES]
-        ).alias("setting"),
-    )
-    rows = table(spark, d, "events").groupBy().agg(F.count(F.lit(1)).alias("rows"))
-    sized = rows.select(F.inline(F.array(*[
-        F.struct(F.lit(m).alias("model"), "rows") for m in ("htc", "arfc")
-    ])))
-    return trees.unionByName(forest).join(sized, "model")
-
-
 def hoeffding_split(spark, d):
     bins = {
         "rating": F.col("rating"),
@@ -107,7 +83,7 @@ def drift_input(spark, d, shards=FEW_SHARDS):
 
     Texts are shared between reviews here, so each is cut into n-grams once.
     """
-    rows = _shards(spark, d, shards).select("shard", "pos", "doc_id", "label", "product_id", "cents")
+    rows = _shards(spark, d, shards).select("shard", "pos", "doc_id", "label", "product_id", "cents", "rating")
     docs = texts(spark, d, "documents").select("doc_id", "text")
     first = rows.where(F.col("pos") < N.COLD_START).join(docs, "doc_id")
     vocab = N.vocabulary(first, group=["shard"])
@@ -115,7 +91,8 @@ def drift_input(spark, d, shards=FEW_SHARDS):
     per_shard = rows.select("shard", "doc_id").distinct().join(counts, "doc_id")
     terms = drift.sparse_terms(per_shard, vocab, ["shard", "doc_id"], ["shard"])
     right = F.when((F.col("product_id") == 0) | (F.col("cents") < 1500), "nofake").otherwise("fake")
-    hits = rows.select("shard", "pos", "doc_id", (F.col("label") == right).cast("int").alias("hit"))
+    hit = (F.col("label") == right).cast("int").alias("hit")
+    hits = rows.select("shard", "pos", "doc_id", "label", "cents", "rating", hit)
     return hits.join(terms, ["shard", "doc_id"], "left"), vocab
 
 
@@ -161,20 +138,41 @@ def prequential_block(spark, d):
     features = ["cents", "rating", *USER_FEATURES]
     vectors = learners.as_vectors(_learner_rows(spark, d), features, ["review_id"])
     spec = learners.model_spec("htc", {"max_depth": 5}, len(features))
-    return learners.prequential_blocks(vectors, spec, 4, ["review_id"])
+    return learners.prequential_blocks(vectors, spec, keep=["review_id"])
 
 
-def drift_experiment(spark, d):
-    """Scores of a tree over one stream, retrained when accuracy and n-grams drift."""
+def prequential_forest(spark, d):
+    """The forest, block by block; scores of the whole stream."""
     features = ["cents", "rating", *USER_FEATURES]
-    rows = _learner_rows(spark, d).withColumn("shard", F.lit(0).cast("bigint"))
-    docs = texts(spark, d, "documents").select("doc_id", "text")
-    vocab = N.vocabulary(rows.where(F.col("pos") < N.COLD_START).join(docs, "doc_id"))
-    terms = drift.sparse_terms(N.vocabulary_counts(docs, vocab, ["doc_id"]), vocab, ["doc_id"])
-    made = learners.run_with_drift(
-        rows.join(terms, "doc_id", "left"), features, vocab.count(), "htc", blocks=4
-    )
-    return metrics.summary(made.predictions)
+    vectors = learners.as_vectors(_learner_rows(spark, d), features)
+    spec = learners.model_spec("arfc", {"n_models": 10, "max_features": 3, "lambda_value": 6}, len(features))
+    return metrics.summary(learners.prequential_blocks(vectors, spec))
+
+
+# ---- closed loop -----------------------------------------------------------------------
+
+
+def _walked(spark, d, shards):
+    rows, vocab = drift_input(spark, d, shards)
+    return stage(closed_loop.walk(rows, vocab, FEATURES, CANDIDATES), "walked")
+
+
+def drift_experiment(spark, d):
+    """One stream: predictions, tests, retraining at the trigger; scores and number of drifts."""
+    return metrics.shard_metrics(closed_loop.predictions(_walked(spark, d, 1)), F.col("triggered"))
+
+
+def shard_drift_experiment(spark, d):
+    """The same for all shards at once."""
+    return metrics.shard_metrics(closed_loop.predictions(_walked(spark, d, FEW_SHARDS)), F.col("triggered"))
+
+
+def closed_loop_log(spark, d):
+    return closed_loop.drift_log(_walked(spark, d, FEW_SHARDS))
+
+
+def closed_loop_epochs(spark, d):
+    return closed_loop.epochs(_walked(spark, d, FEW_SHARDS))
 
 
 # ---- SQL -------------------------------------------------------------------------------
@@ -196,7 +194,11 @@ def _score(label: str, features, floor: float) -> str:
     out = f"ln(n_{label}::double)"
     for f in features:
         mean = f"(s_{f}_{label}::double / n_{label})"
-        var = f"greatest(q_{f}_{label}::double / n_{label} - {mean} * {mean}, {floor!r}::double)"
+        n, s, q = f"n_{label}", f"s_{f}_{label}", f"q_{f}_{label}"
+        m = f"floor({s}::double / {n})::hugeint"
+        rest = f"(({s} - {n} * {m})::double / {n})"
+        around = f"({q} - 2 * {s} * {m} + {n} * {m} * {m})::double / {n}"
+        var = f"greatest({around} - {rest} * {rest}, {floor!r}::double)"
         out += f" - 0.5::double * ln({var}) - ({f} - {mean}) * ({f} - {mean}) / (2.0::double * {var})"
     return out
 
@@ -324,21 +326,6 @@ QUERIES = {
             qualify row_number() over (partition by shard order by hits desc, grid_pos) = 1""",
         ),
     ),
-    "param_grid": (
-        param_grid,
-        """with trees as (
-          select 'htc' as model, row_number() over (order by a.i, b.i, c.i, e.i) - 1 as grid_pos,
-                 a.v || ',' || printf('%.4f', b.v) || ',' || c.v || ',' || e.v as setting
-          from (values (1, 1), (2, 50), (3, 100)) a(i, v),
-               (values (1, 0.0005::double), (2, 0.5), (3, 10), (4, 100)) b(i, v),
-               (values (1, 1), (2, 50), (3, 100)) c(i, v), (values (1, 'true'), (2, 'false')) e(i, v)),
-        forest as (
-          select 'arfc' as model, row_number() over (order by a.i, b.i, c.i) - 1 as grid_pos,
-                 a.v || ',' || b.v || ',' || c.v as setting
-          from (values (1, 1), (2, 50)) a(i, v), (values (1, 10), (2, 100)) b(i, v),
-               (values (1, 6), (2, 100)) c(i, v))
-        select *, (select count(*) from events) as rows from (select * from trees union all select * from forest)""",
-    ),
     "hoeffding_split": (
         hoeffding_split,
         f"""with {STREAM},
@@ -363,7 +350,11 @@ QUERIES = {
     "drift_log": (drift_log, _DRIFT_SQL),
     "drift_adaptive": (drift_adaptive, None),
     "prequential_block": (prequential_block, None),
+    "prequential_forest": (prequential_forest, None),
     "drift_experiment": (drift_experiment, None),
+    "shard_drift_experiment": (shard_drift_experiment, None),
+    "closed_loop_log": (closed_loop_log, None),
+    "closed_loop_epochs": (closed_loop_epochs, None),
     "model_epochs": (
         model_epochs,
         with_ctes(

@@ -50,6 +50,7 @@ DRIFT_LOG = T.StructType(
         T.StructField("statistic", T.DoubleType()),
         T.StructField("p_value", T.DoubleType()),
         T.StructField("window_rows", T.IntegerType()),
+        T.StructField("next_rows", T.IntegerType()),
         T.StructField("triggered", T.IntegerType()),
     ]
 )

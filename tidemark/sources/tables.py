@@ -10,12 +10,12 @@ from tidemark.schemas import DRIFT_LOG
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
 ) -> DataFrame:
     """CSV with header; texts may hold quotes and, with ``multi_line``, line breaks.
 
-    A file with line breaks inside texts cannot be split, so one task reads it whole: keep
-    such files small, or say ``multi_line=False`` where the texts have none.
+    A file with line breaks inside texts cannot be split, so one task reads it whole: ask for
+    it only where texts do have them, and keep such files small.
     """
     return (
         spark.read.schema(schema)
@@ -31,10 +31,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
-
-
 def write_shards(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
     """One folder per shard, with files of consecutive rows.
 
