@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.functions.special import chi2_tail
 from tidemark.operators import drift

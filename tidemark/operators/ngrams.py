@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.special import chi2_tail_column
 from tidemark.functions.text import ngrams, tokens
-from tidemark.plans.scan import running
+from tidemark.plans.scan import null_safe_join, running
 from tidemark.plans.staging import sized, stage
 
 COLD_START = 500
@@ -55,17 +55,15 @@ def vocabulary(
         .groupBy(*group, "term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    # Terms of the cold-start texts of one group: bounded, whatever the size of the stream.
-    texts = F.max(F.when(F.col("term") == "", F.col("df"))).over(Window.partitionBy(*group))
-    kept = (
-        found.withColumn("_texts", texts)
-        .where(
-            (F.col("term") != "")
-            & (F.col("df") >= F.col("_texts") * min_df)
-            & (F.col("df") <= F.col("_texts") * max_df)
-        )
-        .drop("_texts")
-    )
+    found = stage(found, "cold-start-terms")
+    # One row a group; the terms themselves are never gathered.
+    texts = found.where(F.col("term") == "").select(*group, F.col("df").alias("_texts"))
+    sized_up = null_safe_join(found, F.broadcast(texts) if not group else texts, group, "inner")
+    kept = sized_up.where(
+        (F.col("term") != "")
+        & (F.col("df") >= F.col("_texts") * min_df)
+        & (F.col("df") <= F.col("_texts") * max_df)
+    ).drop("_texts")
     return stage(kept, "vocabulary")
 
 

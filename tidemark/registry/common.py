@@ -10,7 +10,7 @@ from tidemark.plans.scan import with_position
 from tidemark.sources.reviews import reviews, table, texts
 
 __all__ = [
-    "DOC_MEASURES", "FEW_SHARDS", "GRAMS", "REVIEWS", "STREAM", "STUMP", "documents_placed",
+    "DOC_MEASURES", "FEW_SHARDS", "GRAMS", "REVIEWS", "STREAM", "STUMP", "document_places",
     "few_shards_sql", "measured_reviews", "reviews", "stream", "stump_predictions", "table",
     "texts", "with_ctes",
 ]
@@ -24,9 +24,10 @@ def stream(spark: SparkSession, folder: str) -> DataFrame:
     return with_position(reviews(spark, folder), ["ts", "review_id"], label="stream")
 
 
-def documents_placed(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return with_position(docs, ["doc_id"], label="documents")
+def document_places(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, pos``: ids alone are numbered, texts stay where they are."""
+    ids = table(spark, folder, "documents").select("doc_id")
+    return with_position(ids, ["doc_id"], label="documents").drop("group_rows")
 
 
 def measured_reviews(spark: SparkSession, folder: str) -> DataFrame:

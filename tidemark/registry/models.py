@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import balance, bayes, closed_loop, drift, grid, hoeffding, learners, metrics, running
+from tidemark.functions import text_measures as M
+from tidemark.operators import lexicon as L
 from tidemark.operators import ngrams as N
+from tidemark.operators.running import incremental_features
+from tidemark.plans.pipeline import balanced_shards, text_features
 from tidemark.plans.scan import with_position
 from tidemark.plans.staging import new_path, stage
 from tidemark.registry.common import (
@@ -16,11 +20,11 @@ from tidemark.registry.common import (
     few_shards_sql,
     reviews,
     stream,
-    table,
     texts,
     with_ctes,
 )
 from tidemark.registry.text import TAIL
+from tidemark.schemas import ENTITIES, TEXT_MEASURES, running_columns
 from tidemark.sources import tables
 
 FEATURES = ("cents", "rating")
@@ -175,6 +179,43 @@ def closed_loop_epochs(spark, d):
     return closed_loop.epochs(_walked(spark, d, FEW_SHARDS))
 
 
+def whole_candidates():
+    """As many settings as the trees' grid has: parts of the features times variance floors."""
+    parts = {"text": ("rating", "word_count", *TEXT_MEASURES), **{s: running_columns(s) for s in ENTITIES}}
+    subsets = [
+        tuple(f for name in chosen for f in parts[name])
+        for chosen in (
+            ("text",), ("user",), ("product",), ("rating",), ("text", "user"), ("text", "product"),
+            ("user", "product"), tuple(parts),
+        )
+    ]
+    floors = [10.0**-k for k in range(9)]
+    return [bayes.Candidate(**c) for c in grid.combinations({"var_floor": floors, "features": subsets})]
+
+
+def whole_experiment(spark, d, shards=FEW_SHARDS):
+    """From raw reviews to scores per shard: text stage, running features, balance, shards,
+    null fill, variance selector, drift handling on n-grams of the cleaned text, 160 features."""
+    docs = texts(spark, d, "documents").select(
+        F.col("doc_id").alias("review_id"), F.col("text").alias("review"), M.word_count("text").alias("word_count")
+    )
+    measured = text_features(docs, L.default_lexicon(spark)).drop("review").withColumnRenamed("review_id", "doc_id")
+    measured = stage(measured, "text-features")
+    numbers = measured.select("doc_id", "word_count", *TEXT_MEASURES)
+    source = stage(reviews(spark, d).join(numbers, "doc_id"), "reviews")
+    built = stage(incremental_features(source), "features")  # balancing looks at it more than once
+    rows = stage(balanced_shards(built, shards), "balanced-shards")
+    cleaned = measured.select("doc_id", F.coalesce("text_preprocessed", F.lit("")).alias("text"))
+    first = rows.where(F.col("pos") < N.COLD_START).select("shard", "doc_id").join(cleaned, "doc_id")
+    vocab = N.vocabulary(first, group=["shard"])
+    counts = N.vocabulary_counts(cleaned, vocab.select("term").distinct(), ["doc_id"])
+    per_shard = rows.select("shard", "doc_id").distinct().join(counts, "doc_id")
+    terms = drift.sparse_terms(per_shard, vocab, ["shard", "doc_id"], ["shard"])
+    features = ["rating", "word_count", *TEXT_MEASURES, *[c for s in ENTITIES for c in running_columns(s)]]
+    walked = closed_loop.walk(rows.join(terms, ["shard", "doc_id"], "left"), vocab, features, whole_candidates())
+    return metrics.shard_metrics(closed_loop.predictions(stage(walked, "walked")), F.col("triggered"))
+
+
 # ---- SQL -------------------------------------------------------------------------------
 
 
@@ -355,6 +396,7 @@ QUERIES = {
     "shard_drift_experiment": (shard_drift_experiment, None),
     "closed_loop_log": (closed_loop_log, None),
     "closed_loop_epochs": (closed_loop_epochs, None),
+    "whole_experiment": (whole_experiment, None),
     "model_epochs": (
         model_epochs,
         with_ctes(

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import patterns as P
 from tidemark.functions import text as X
 from tidemark.functions import text_measures as M
 from tidemark.functions import words as W
 from tidemark.operators import lexicon as L
 from tidemark.operators import ngrams as N
 from tidemark.plans.staging import stage
-from tidemark.registry.common import GRAMS, documents_placed, texts, with_ctes
+from tidemark.registry.common import GRAMS, document_places, table, texts, with_ctes
 
 WINDOW = 250
 STEP = 50
@@ -112,17 +111,19 @@ def ngrams(spark, d):
     return N.term_rows(_docs(spark, d), ["doc_id"])
 
 
-def _vocabulary(placed):
-    return N.vocabulary(placed.where(F.col("pos") < N.COLD_START))
+def _vocabulary(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return N.vocabulary(docs.orderBy("doc_id").limit(N.COLD_START))
 
 
 def ngram_vocab(spark, d):
-    return _vocabulary(documents_placed(spark, d))
+    return _vocabulary(spark, d)
 
 
 def _counts(spark, d):
-    placed = documents_placed(spark, d)
-    return N.vocabulary_counts(placed, _vocabulary(placed), ["doc_id", "pos"])
+    docs = texts(spark, d, "documents").select("doc_id", "text")
+    counts = N.vocabulary_counts(docs, _vocabulary(spark, d), ["doc_id"])
+    return counts.join(document_places(spark, d), "doc_id")
 
 
 def ngram_counts(spark, d):
@@ -275,11 +276,15 @@ def _lexicon_sql(select: str) -> str:
 _ALL_EMOTIONS = " + ".join(f"n_{e}" for e in W.EMOTIONS)
 
 _PLACED = """placed as (select doc_id, text, count(*) over (order by doc_id rows unbounded preceding) - 1 as pos from documents)"""
-_VOCAB = """vocab as (
-  select term, count(*) as df from counts join placed using (doc_id) where pos < 500 group by term
+# The vocabulary comes first, so that only its terms are counted over all documents.
+_VOCAB = """firsts as (select distinct doc_id, term from grams join placed using (doc_id) where pos < 500),
+vocab as (
+  select term, count(*) as df from firsts group by term
   having count(*) >= 0.1 * (select count(*) from placed where pos < 500)
      and count(*) <= 0.7 * (select count(*) from placed where pos < 500)),
-used as (select doc_id, pos, term, cnt from counts join vocab using (term) join placed using (doc_id))"""
+used as (
+  select doc_id, pos, term, count(*) as cnt from grams join vocab using (term) join placed using (doc_id)
+  group by all)"""
 
 
 def _grams_sql(*more: str, select: str) -> str:
