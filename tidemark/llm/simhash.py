@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import LOWER, UPPER, keyed_text
 from tidemark.llm.components import components
@@ -56,15 +57,15 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint of each row, 64 bits as a signed integer, as column ``name``."""
     kept = docs.drop(name)
-    names, at = kept.columns, kept.columns.index(text)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    at = kept.columns.index(text)
+    schema = StructType([*kept.schema.fields, StructField(name, LongType())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t or "", shingle) for t in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], names=schema.names)
 
-    return kept.mapInArrow(make, f"{fields}, `{name}` bigint")
+    return kept.mapInArrow(make, schema)
 
 
 def _signed(value: int) -> int:
@@ -159,9 +160,11 @@ def groups(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     named = members.join(ids, "root")
     every = classes.join(named, "fp", "left")
     alone = F.col("root").isNull()
-    return every.select(
+    named = every.select(
         "fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("first")).otherwise(F.col("id")).alias("component_id")
     )
+    # a written table, so that a join of all rows with it can be split at fingerprints with very many rows
+    return stage(named, "groups")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
