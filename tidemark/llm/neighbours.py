@@ -152,8 +152,7 @@ class BlockIndex:
                 place[some] = np.take_along_axis(at, top, 1)
         query, cls = np.repeat(np.arange(len(queries)), keep), place.ravel()
         query, cls = query[cls >= 0], cls[cls >= 0]
-        # the measure itself, row by row, so that equal vectors score equally wherever they are
-        exact = np.concatenate([(stored[cls[i : i + 8192]] * queries[query[i : i + 8192]]).sum(1) for i in range(0, len(cls), 8192)])
+        exact = inner_products(stored[cls], queries[query])
         starts, n = np.cumsum(self.sizes) - self.sizes, self.sizes[cls]
         query, exact = np.repeat(query, n), np.repeat(exact, n)
         keys = self.keys[np.repeat(starts[cls], n) + _count_up(n)]
@@ -165,6 +164,14 @@ class BlockIndex:
         return query[first], keys[first], exact[first]
 
 
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, added from the first component on: equal vectors score equally wherever they lie."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
 def _count_up(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... for each size, one after another."""
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
