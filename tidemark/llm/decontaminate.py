@@ -74,7 +74,8 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     The earliest place wins a tie.  A window with a word that no document has cannot occur and is left out.
     """
     places = windows.select("gram", "items", F.posexplode("gram").alias("place", "word"))
-    known = places.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    few = counts.count() <= BLOCK
+    known = places.join(F.broadcast(counts) if few else counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = known.groupBy("gram").agg(
         F.min(F.struct("n", "place", "word")).alias("best"), F.first("items").alias("items")
     )
@@ -120,7 +121,8 @@ def contamination(
     """``doc_id, h, n_words, n_hit, items, contaminated`` of each row of ``docs``."""
     # written once: the windows are looked at several times, the counts cost a pass over all documents
     windows = stage(item_windows(benchmark, item, item_text, width), "item-windows")
-    table = stage(prefixes(windows, word_counts(docs, windows, text)), "item-prefixes")
+    counts = stage(word_counts(docs, windows, text), "word-counts")
+    table = stage(prefixes(windows, counts), "item-prefixes")
     span = F.when(F.col("gram").isNotNull(), F.struct("start", "end"))
     rows = occurrences(docs, table, key, text).groupBy("doc_id", "h").agg(
         F.max("n_words").alias("n_words"),
