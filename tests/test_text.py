@@ -12,7 +12,14 @@ from tidemark.functions.labels import decode_label, default_prediction, encode_l
 from tidemark.functions.words import ENGLISH_STOP_WORDS, STOP_WORDS
 from tidemark.operators import lexicon as L
 from tidemark.plans import staging
-from tidemark.plans.pipeline import build_features, balanced_shards, number_reviews, text_features
+from tidemark.plans.pipeline import (
+    balanced_shards,
+    build_features,
+    listed_lemmas,
+    listed_words,
+    number_reviews,
+    text_features,
+)
 from tidemark.schemas import RAW_REVIEWS, TEXT_MEASURES, model_features
 
 
@@ -147,6 +154,34 @@ def test_large_lexicon_is_not_broadcast(spark, monkeypatch):
     assert L.lexicon_counts(texts, L.default_lexicon(spark), "id").first()["n_scored"] == 3
 
 
+def test_word_sets_and_join_give_the_same(spark, folder, monkeypatch):
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").where("doc_id < 120")
+    extra = spark.createDataFrame([(900_001, None), (900_002, ""), (900_003, "not good, never bad: no good no")], "doc_id long, text string")
+    texts = texts.unionByName(extra)
+    lexicon = L.default_lexicon(spark)
+    rounded = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+    inline = L.text_lexicon_features(texts, lexicon, "doc_id")
+    assert "Exchange" not in inline._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(L, "INLINE_ENTRIES", 3)
+    assert rounded(inline) == rounded(L.text_lexicon_features(texts, lexicon, "doc_id"))
+
+
+def test_text_stage_is_one_scan_without_exchange(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.col("text").alias("review"))
+    plan = text_features(docs, L.default_lexicon(spark), "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_word_lists_from_tables(spark):
+    df = spark.createDataFrame([(1, "Mice ran over the banana")], "review_id long, review string")
+    words = spark.createDataFrame([("over",), ("the",), (None,)], "word string")
+    forms = spark.createDataFrame([("mice", "mouse"), ("ran", "run")], "word string, lemma string")
+    made = text_features(
+        df, L.default_lexicon(spark), lemmas=listed_lemmas(forms), stop_words=listed_words(words), easy_words=["banana"]
+    ).first()
+    assert made["text_preprocessed"].split() == ["mouse", "run", "banana"] and made["difficult_words_count"] == 1
+
+
 def test_from_raw_reviews_to_shards(spark):
     raw = spark.createDataFrame(
         [
