@@ -177,7 +177,7 @@ def test_word_lists_from_tables(spark):
     words = spark.createDataFrame([("over",), ("the",), (None,)], "word string")
     forms = spark.createDataFrame([("mice", "mouse"), ("ran", "run")], "word string, lemma string")
     made = text_features(
-        df, L.default_lexicon(spark), lemmas=listed_lemmas(forms), stop_words=listed_words(words), easy_words=["banana"]
+        df, L.default_lexicon(spark), lemmas=listed_lemmas(forms), stop_words=listed_words(words), easy_words=["banana", "over"]
     ).first()
     assert made["text_preprocessed"].split() == ["mouse", "run", "banana"] and made["difficult_words_count"] == 1
 
