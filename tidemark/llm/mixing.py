@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import stage
 
 MAX_LEAVES = 100_000
-#: Hexadecimal digits of the hash which are looked at in each of the two closer looks.
-DIGITS = 3
+#: Hexadecimal digits of the hash which each closer look adds, and the number of looks.
+DIGITS, LOOKS = 2, 3
 LEVELS = ("domain", "lang", "source")
 
 
@@ -104,10 +104,10 @@ def _cut(rows: DataFrame, digits: int, before: str) -> DataFrame:
 def _prefix(rows: DataFrame, rest: str, level: int = 1) -> DataFrame:
     """The items of each leaf which stand in its prefix of ``rest`` tokens, by order of ``place``.
 
-    Two closer looks of ``DIGITS`` digits each, then one in 16**(2 * DIGITS) items of a leaf is left to rank.
+    After ``LOOKS`` closer looks of ``DIGITS`` digits each, one in 16**(LOOKS * DIGITS) items of a leaf is left to rank.
     """
     names = rows.columns
-    if level > 2:
+    if level > LOOKS:
         order = Window.partitionBy("leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn("sum", F.sum("size").over(order)).filter(F.col("sum") <= F.col(rest)).drop("sum")
     digits, left = level * DIGITS, f"rest{level}"
