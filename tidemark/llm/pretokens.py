@@ -14,11 +14,13 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces kept by one worker; the table starts anew when it is full.
-CACHE_PIECES = 400_000
+#: Pieces in a worker's table; when it is full it becomes the old table, and a new one begins.
+CACHE_PIECES = 500_000
 
 _ENCODERS: dict[tuple, object] = {}
 
@@ -45,6 +47,24 @@ def _bytes_to_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(others)}
 
 
+class _Table(dict):
+    """Pieces met before; a new one is made on first use, or taken over from the old table."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str):
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+        if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
+
+
 class PieceEncoder:
     """Counts or ids of texts; exact for every text."""
 
@@ -55,6 +75,7 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as file:
             layout = json.load(file)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"  # of a little-endian machine, which Spark's hosts are
         self.by_piece = _splits_at_white_space(layout)
         self.special = [t["content"] for t in layout.get("added_tokens", [])]
         plain = _plain_characters()
@@ -64,22 +85,22 @@ class PieceEncoder:
             f"[{kinds['L']}]+|[{kinds['N']}]|'(?:s|t|re|ve|m|ll|d)|[^{kinds['L']}{kinds['N']}]+"
         )
         self.letters = _bytes_to_letters()
-        self.counts: dict[str, int] = {}
-        self.ids: dict[str, bytes] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        known = self.words.get(word)
-        if known is None:
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            known = tuple(t.id for t in self.tokenizer.model.tokenize(mapped))
-            if len(self.words) >= CACHE_PIECES:
-                self.words.clear()
-            self.words[word] = known
-        return known
-
-    def _piece(self, piece: str) -> list[int]:
-        return [i for word in self.pretokens.findall(piece) for i in self._word(word)]
+        self.counts, self.ids = _Table(self._count), _Table(self._encode)
+
+    def _words(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece in the byte-level alphabet."""
+        words = [piece] if piece.isascii() and piece.isalpha() else self.pretokens.findall(piece)
+        return [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
+
+    def _count(self, piece: str) -> int:
+        return sum(len(self.tokenizer.model.tokenize(word)) for word in self._words(piece))
+
+    def _encode(self, piece: str) -> bytes:
+        words = self.pretokens.findall(piece) if not piece.isalpha() else ()
+        if len(words) > 1:  # a word with a comma behind it is the word and the comma
+            return b"".join(map(self.ids.__getitem__, words))
+        ids = [t.id for word in self._words(piece) for t in self.tokenizer.model.tokenize(word)]
+        return array(self.code, ids).tobytes()
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -90,31 +111,13 @@ class PieceEncoder:
     def count(self, text: str) -> int:
         if not self.is_plain(text):
             return len(self._whole(text))
-        pieces, known = text.lower().split(), self.counts
-        try:
-            return sum(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) >= CACHE_PIECES:
-                known.clear()
-            for piece in pieces:
-                if piece not in known:
-                    known[piece] = len(self._piece(piece))
-            return sum(map(known.__getitem__, pieces))
+        return sum(map(self.counts.__getitem__, text.lower().split()))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of ``self.dtype``."""
         if not self.is_plain(text):
             return np.array(self._whole(text), dtype=self.dtype).tobytes()
-        pieces, known = text.lower().split(), self.ids
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) >= CACHE_PIECES:
-                known.clear()
-            for piece in pieces:
-                if piece not in known:
-                    known[piece] = np.array(self._piece(piece), dtype=self.dtype).tobytes()
-            return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self.ids.__getitem__, text.lower().split()))
 
 
 class LibraryEncoder:
