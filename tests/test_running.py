@@ -71,6 +71,27 @@ def test_hot_keys_equal_plain_windows(spark, folder, keys, suffix):
     assert made[0] == made[1] and made[0]
 
 
+def test_hot_keys_read_the_input_once(spark, folder, monkeypatch):
+    """However many entities have hot keys, the plan of each reads what was staged before it."""
+    from tidemark.operators import running
+
+    source = measured_reviews(spark, folder).withColumn("rating", F.lit(5))
+    read = []
+    kept = running.stage
+
+    def spied(df, label, by=()):
+        read.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan"))
+        return kept(df, label, by)
+
+    monkeypatch.setattr(running, "stage", spied)
+    entities = {"user": ["user_id"], "product": ["product_id"]}
+    out = source
+    for suffix, keys in entities.items():
+        out = entity_features(out, keys, suffix, ["cents"], hot_rows=15)
+    scans = out._jdf.queryExecution().executedPlan().toString().count(f"{folder}/")
+    assert len(read) == 2 and scans == 0
+
+
 def test_fractions_add_up_alike_in_windows_and_blocks(spark):
     source = spark.range(900).select(
         F.col("id").alias("review_id"), F.lit(1).cast("bigint").alias("user_id"), F.lit("nofake").alias("label"),

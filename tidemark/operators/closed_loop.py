@@ -60,16 +60,16 @@ class _Sums:
         np.minimum(self.low, x, out=self.low)
         np.maximum(self.high, x, out=self.high)
 
-    def terms(self, x: np.ndarray, floor: float) -> np.ndarray:
-        """What each feature adds to the score of a class; nothing while it has not varied."""
-        var = np.maximum(self.gaps / self.n[:, None], floor)
+    def terms(self, x: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """What each feature adds to the score of a class, for each floor; nothing while it has not varied."""
+        var = np.maximum((self.gaps / self.n[:, None])[None], floors[:, None, None])
         gap = x - self.mean
         return np.where(self.low < self.high, -0.5 * np.log(var) - gap * gap / (2 * var), 0.0)
 
     def predict(self, x: np.ndarray, mask: np.ndarray, floor: float) -> int:
         if not self.n.all():
             return 0
-        nofake, fake = np.log(self.n) + (self.terms(x, floor) * mask).sum(1)
+        nofake, fake = np.log(self.n) + (self.terms(x, np.array([floor]))[0] * mask).sum(1)
         return int(fake > nofake)
 
 
@@ -79,14 +79,14 @@ class _Grid:
     def __init__(self, candidates: Sequence[Candidate], features: Sequence[str]):
         self.masks = np.array([[float(f in c.features) for f in features] for c in candidates])
         self.floors = [c.var_floor for c in candidates]
+        self.distinct, self.floor_of = np.unique(self.floors, return_inverse=True)
 
     def replay(self, rows: Sequence[tuple], width: int) -> tuple[int, _Sums]:
         """The candidate with most hits on ``rows``, and the sums after learning them all."""
         sums, hits = _Sums(width), np.zeros(len(self.floors), np.int64)
         for x, y, _, _ in rows:
             if sums.n.all():
-                made = {f: sums.terms(x, f) for f in set(self.floors)}
-                score = np.array([(made[f] * m).sum(1) for f, m in zip(self.floors, self.masks, strict=True)])
+                score = np.einsum("cw,clw->cl", self.masks, sums.terms(x, self.distinct)[self.floor_of])
                 guess = (np.log(sums.n[1]) + score[:, 1] > np.log(sums.n[0]) + score[:, 0]).astype(int)
             else:
                 guess = np.zeros(len(self.floors), int)

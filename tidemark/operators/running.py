@@ -18,6 +18,7 @@ from tidemark.functions.labels import encode_label
 from tidemark.functions.text_measures import polarity_deviation
 from tidemark.plans import scan
 from tidemark.plans.hot import HOT_ROWS, hot_keys
+from tidemark.plans.staging import stage
 from tidemark.schemas import ACTIVITY, ENTITIES, RUNNING_MEASURES
 
 ORDER = ("ts", "review_id")
@@ -46,10 +47,13 @@ def _totals(
     """Add the running totals ``_n``, ``_fakes``, ``_weeks`` and ``_sum_<measure>``."""
     if hot is None:
         return _windowed_totals(df, keys, measures, partition_by)
-    # Fewer than rows / hot_rows keys, so the list is small enough to send to all tasks.
-    listed = F.broadcast(hot)
-    usual = df.join(listed, list(keys), "left_anti").select(*df.columns)
-    large = df.join(listed, list(keys), "left_semi").select(*df.columns)
+    # Fewer than rows / hot_rows keys, so the list is small enough to send to all tasks.  The
+    # input is read once, into a folder for each kind of key, and each way reads its own.
+    listed = F.broadcast(hot.withColumn("_hot", F.lit(1)))
+    marked = df.join(listed, list(keys), "left").select(*df.columns, F.coalesce("_hot", F.lit(0)).alias("_hot"))
+    parted = stage(marked, "hot-and-usual", ["_hot"])
+    usual = parted.where(F.col("_hot") == 0).select(*df.columns)
+    large = parted.where(F.col("_hot") == 1).select(*df.columns)
     return _windowed_totals(usual, keys, measures, partition_by).unionByName(
         _blocked_totals(large, keys, measures)
     )
