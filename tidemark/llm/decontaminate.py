@@ -16,7 +16,9 @@ ordinary aggregation instead.
 A document is a pair of key and text hash.  A marker row behind its last word brings its
 length and how often it repeats, so documents without hits and repeated rows stay.  Null or
 empty texts have no words and are not contaminated.  Items without words have no window, equal
-items share windows and are all named, an item without id marks words but is not named.
+items share windows and are all named, an item without id marks words but is not named.  Items
+are looked up by a join once a document's windows are known, so that a window which very many
+items share is broadcast once.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower
+from tidemark.plans.scan import null_safe_join
 from tidemark.plans.staging import stage
 
 #: Words of a window; rows of a look-up table which is sent to all tasks.
@@ -50,13 +53,13 @@ def count_words(cut: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """``gram`` (array of words) and ``items`` of each distinct window."""
+    """``item_id, gram`` (array of words) and ``g`` (a digest that names the gram) of each window of each item."""
     whole = F.filter(cut_words(F.col(text)), lambda w: w != "")
     items = benchmark.select(F.col(key).cast("string").alias("item_id"), whole.alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
     cut = items.select("item_id", "w", F.explode(starts).alias("at"))
-    grams = cut.select("item_id", F.slice("w", F.col("at"), F.lit(width)).alias("gram"))
-    return grams.groupBy("gram").agg(F.collect_set("item_id").alias("items"))
+    grams = cut.select("item_id", F.slice("w", F.col("at"), F.lit(width)).alias("gram")).distinct()
+    return grams.withColumn("g", F.md5(F.array_join("gram", " ").cast("binary")))
 
 
 def word_counts(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
@@ -69,23 +72,21 @@ def word_counts(docs: DataFrame, windows: DataFrame, text: str = "text") -> Data
 
 
 def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``gram, items`` with ``word``, the rarest of the window, and ``place``, where it stands there.
+    """Distinct ``g, gram`` with ``word``, the rarest of the window, and ``place``, where it stands there.
 
     The earliest place wins a tie.  A window with a word that no document has cannot occur and is left out.
     """
-    places = windows.select("gram", "items", F.posexplode("gram").alias("place", "word"))
+    places = windows.select("g", "gram").distinct().select("g", "gram", F.posexplode("gram").alias("place", "word"))
     few = counts.count() <= BLOCK
     known = places.join(F.broadcast(counts) if few else counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    best = known.groupBy("gram").agg(
-        F.min(F.struct("n", "place", "word")).alias("best"), F.first("items").alias("items")
-    )
+    best = known.groupBy("g", "gram").agg(F.min(F.struct("n", "place", "word")).alias("best"))
     return best.filter("best.n > 0").select(
-        "gram", "items", F.col("best.word").alias("word"), F.col("best.place").alias("place")
+        "g", "gram", F.col("best.word").alias("word"), F.col("best.place").alias("place")
     )
 
 
 def occurrences(docs: DataFrame, table: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each window found and one marker row (``gram`` null) for each document."""
+    """One row for each window found and one marker row (``g`` null) for each document."""
     body = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cut = body.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), cut_words(F.col("text")).alias("w"))
     sized = cut.select("doc_id", "h", "w", count_words(F.col("w")).alias("n_words"))
@@ -96,8 +97,8 @@ def occurrences(docs: DataFrame, table: DataFrame, key: str = "doc_id", text: st
     held = F.col("gram").isNull() | ((start >= 0) & (start + F.size("gram") <= F.size("w")) & there)
 
     end = table.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("g"),
         F.lit(None).cast(table.schema["gram"].dataType).alias("gram"),
-        F.lit(None).cast(table.schema["items"].dataType).alias("items"),
         F.lit(_END).alias("word"), F.lit(0).alias("place"),
     )
     blocks = max(1, -(-table.count() // BLOCK))
@@ -108,7 +109,7 @@ def occurrences(docs: DataFrame, table: DataFrame, key: str = "doc_id", text: st
         part = part.unionByName(end) if b == 0 else part
         hits = found.join(F.broadcast(part), "word").filter(held)
         rows = hits.select(
-            "doc_id", "h", "n_words", "gram", "items", start.alias("start"), (start + F.size("gram")).alias("end")
+            "doc_id", "h", "n_words", "g", start.alias("start"), (start + F.size("gram")).alias("end")
         )
         union = rows if union is None else union.unionByName(rows)
     return union
@@ -123,13 +124,19 @@ def contamination(
     windows = stage(item_windows(benchmark, item, item_text, width), "item-windows")
     counts = stage(word_counts(docs, windows, text), "word-counts")
     table = stage(prefixes(windows, counts), "item-prefixes")
-    span = F.when(F.col("gram").isNotNull(), F.struct("start", "end"))
-    rows = occurrences(docs, table, key, text).groupBy("doc_id", "h").agg(
-        F.max("n_words").alias("n_words"),
-        F.count_if(F.col("gram").isNull()).alias("copies"),
-        F.collect_set(span).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+    span = F.when(F.col("g").isNotNull(), F.struct("start", "end"))
+    # a document's spans and windows are no more than its words; written, as its windows are looked up once more
+    rows = stage(
+        occurrences(docs, table, key, text).groupBy("doc_id", "h").agg(
+            F.max("n_words").alias("n_words"),
+            F.count_if(F.col("g").isNull()).alias("copies"),
+            F.collect_set(span).alias("spans"),
+            F.collect_set("g").alias("grams"),
+        ),
+        "document-hits",
     )
+    hit = rows.filter(F.size("grams") > 0).select("doc_id", "h", F.explode("grams").alias("g"))
+    items = hit.join(windows.select("g", "item_id"), "g").groupBy("doc_id", "h").agg(F.collect_set("item_id").alias("items"))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
     covered = F.aggregate(
         F.sort_array("spans"),
@@ -140,7 +147,9 @@ def contamination(
         ),
         lambda a: a.n.cast("bigint"),
     )
-    scored = rows.select("doc_id", "h", "n_words", covered.alias("n_hit"), "items", "copies")
+    named = null_safe_join(rows, items, ["doc_id", "h"])
+    none_named = F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    scored = named.select("doc_id", "h", "n_words", covered.alias("n_hit"), none_named, "copies")
     judged = scored.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
     every = judged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return every.drop("copy", "copies")
