@@ -1,0 +1,74 @@
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.corpus import documents
+from tests.llm.test_mixing import chosen, n_words
+from tidemark.llm import mixing
+
+ONE = lambda p: Fraction(1)
+
+
+def budgets(rows, budget, weight, max_epochs):
+    totals = Counter()
+    for _, text, path in rows:
+        totals[path] += n_words(text)
+    totals = {p: n for p, n in totals.items() if n}
+    given = mixing.budgets(totals, sum(totals.values()) if budget is None else budget, weight, max_epochs)
+    return {p: int(b) for p, b in given.items() if int(b)}
+
+
+def by_leaf(rows, of):
+    found = Counter()
+    for row in rows:
+        found[(row.lang or "", row.source or "")] += of(row)
+    return {p: n for p, n in found.items() if n}
+
+
+@pytest.mark.parametrize("budget, epochs", [(None, 4), (20_001, 4), (777, 2), (10**9, 3)])
+def test_every_leaf_meets_its_budget(spark, folder, budget, epochs):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    path = [F.col("lang"), F.col("source")]
+    rows = [(r.doc_id, r.text, (r.lang or "", r.source or "")) for r in docs.collect()]
+    weight = lambda p: Fraction({"en": 3}.get(p[-1], 1))
+    given = budgets(rows, budget, weight, epochs)
+    selected = mixing.selection(docs, path, weight, budget, epochs, cut=True)
+    mixed = mixing.mix(selected, ("lang", "source")).collect()
+    assert by_leaf(mixed, lambda r: r.n_tokens) == given
+    kept = mixing.mixed_documents(docs, selected, path).collect()
+    assert by_leaf(kept, lambda r: n_words(r.text)) == given
+    assert Counter((r.doc_id, n_words(r.text)) for r in kept) == Counter((r.doc_id, r.n_tokens) for r in mixed)
+    # whole documents are those of the rule without cuts, cut ones begin as the document does
+    texts = {r[0]: r[1] for r in rows}
+    whole = Counter((r.doc_id, r.epoch) for r in mixed if r.n_tokens == n_words(texts[r.doc_id]))
+    assert not chosen(rows, budget, weight, epochs) - whole
+    assert all(texts[r.doc_id].startswith(r.text) for r in kept)
+
+
+def test_copies_and_a_leaf_of_one_long_document(spark):
+    rows = [(1, "a b  c\td e", "x", "s")] * 3 + [(2, "f " * 40, "y", "s")]
+    docs = documents(spark, rows)
+    path = [F.col("lang"), F.col("source")]
+    selected = mixing.selection(docs, path, ONE, 24, 1, cut=True)
+    texts = defaultdict(list)
+    for r in mixing.mixed_documents(docs, selected, path).collect():
+        texts[r.doc_id].append(r.text)
+    assert sorted(texts[1]) == ["a b", "a b  c\td e", "a b  c\td e"]
+    assert [n_words(t) for t in texts[2]] == [12]
+    with pytest.raises(ValueError, match="words"):
+        mixing.selection(docs, path, ONE, tokens=F.length("text"), cut=True)
+
+
+def test_stage_meets_its_budgets(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    path = corpus_pipeline.mixture_path()
+    named = docs.select("doc_id", "text", F.array(*(F.coalesce(c, F.lit("")) for c in path)).alias("leaf")).collect()
+    given = budgets([(r.doc_id, r.text, tuple(r.leaf)) for r in named], None, corpus_pipeline.mixture_weight, 4)
+    mixed = corpus_pipeline.mixture(spark, docs, folder)
+    leaf, found = {r.doc_id: tuple(r.leaf) for r in named}, Counter()
+    for r in mixed.collect():
+        found[leaf[r.doc_id]] += n_words(r.text)
+    assert found == given

@@ -8,7 +8,9 @@ shortage is made good among siblings before it reaches an ancestor.
 
 A leaf's tokens come from its epochs: each epoch holds all its documents in an order of its
 own, by md5 of seed, epoch and key.  A leaf takes whole epochs as its budget allows, and of
-the next one the longest prefix of documents which does not exceed it.  Where the prefix ends
+the next one the longest prefix of documents which does not exceed it; with ``cut``, it also
+takes the first words of the next document, so that its budget is met to the token (a fraction
+of one is not dealt).  Where the prefix ends
 is found without ordering a leaf: tokens are summed by the first digits of the hash, the digit
 in which the prefix ends is looked at closer, and only its documents are ranked, so that a leaf with a
 third of all rows is handled like any other.  Leaves and digits are small tables; only the
@@ -22,6 +24,7 @@ left to them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from fractions import Fraction
 
@@ -34,6 +37,7 @@ MAX_LEAVES = 100_000
 #: Hexadecimal digits of the hash which each closer look adds, and the number of looks.
 DIGITS, LOOKS = 2, 3
 LEVELS = ("domain", "lang", "source")
+_WORD = re.compile(r"[^\t-\r ]+")
 
 
 def word_tokens(text: Column) -> Column:
@@ -42,6 +46,16 @@ def word_tokens(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "))) + 1).cast("bigint")
 
 
+def first_words(text: str, n: int) -> str:
+    """``text`` up to the end of its word number ``n``."""
+    end = 0
+    for k, word in enumerate(_WORD.finditer(text)):
+        if k == n:
+            break
+        end = word.end()
+    return text[:end]
+
+
 def share_out(budget: Fraction, children: Mapping[str, tuple[Fraction, Fraction]]) -> dict[str, Fraction]:
     """``budget`` among children (weight, capacity): by weight, what one cannot take goes to the others."""
     given = dict.fromkeys(children, Fraction(0))
@@ -101,22 +115,26 @@ def _cut(rows: DataFrame, digits: int, before: str) -> DataFrame:
     return ends.select("leaf", "at", (F.col(before) - F.col("sum") + F.col("n")).alias("left"))
 
 
-def _prefix(rows: DataFrame, rest: str, level: int = 1) -> DataFrame:
-    """The items of each leaf which stand in its prefix of ``rest`` tokens, by order of ``place``.
+def _prefix(rows: DataFrame, rest: str, cut: bool, level: int = 1) -> DataFrame:
+    """The items of each leaf which stand in its prefix of ``rest`` tokens, by order of ``place``, and the tokens ``taken``.
 
+    Only with ``cut`` an item is taken in part.
     After ``LOOKS`` closer looks of ``DIGITS`` digits each, one in 16**(LOOKS * DIGITS) items of a leaf is left to rank.
     """
     names = rows.columns
     if level > LOOKS:
         order = Window.partitionBy("leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("sum", F.sum("size").over(order)).filter(F.col("sum") <= F.col(rest)).drop("sum")
+        ranked = rows.withColumn("sum", F.sum("size").over(order))
+        ranked = ranked.withColumn("taken", F.least("size", F.col(rest) - F.col("sum") + F.col("size")))
+        inside = F.col("sum") <= F.col(rest)
+        return ranked.filter(inside | (F.col("taken") > 0) if cut else inside).drop("sum")
     digits, left = level * DIGITS, f"rest{level}"
     ends = stage(_cut(rows, digits, rest), "prefix-ends").withColumnRenamed("left", left)
     placed = rows.join(F.broadcast(ends), "leaf", "left")  # a row a leaf
     own = F.substring("place", 1, digits)
-    inside = placed.filter(F.col("at").isNull() | (own < F.col("at"))).select(*names)
+    inside = placed.filter(F.col("at").isNull() | (own < F.col("at"))).select(*names, F.col("size").alias("taken"))
     closer = placed.filter(own == F.col("at")).drop("at")
-    return inside.unionByName(_prefix(closer, left, level + 1).select(*names))
+    return inside.unionByName(_prefix(closer, left, cut, level + 1).select(*names, "taken"))
 
 
 def selection(
@@ -129,12 +147,18 @@ def selection(
     key: str = "doc_id",
     text: str = "text",
     tokens: Column | None = None,
+    cut: bool = False,
 ) -> DataFrame:
     """``doc_id, h, leaf, n_tokens, copies, epochs`` of each selected document.
 
+    With ``cut`` also ``part``: tokens of the document, all its copies together, which the leaf
+    takes from the epoch after these.
+
     ``path``: the names from the root to a leaf.  ``budget``: all tokens of ``docs`` if not
     given.  ``epochs``: in how many epochs, from 0 on, the document stands in the mix.
     """
+    if cut and tokens is not None:
+        raise ValueError("documents are cut at words, so words must be counted")
     spark = docs.sparkSession
     names = F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in path))
     counted = word_tokens(F.col(text)) if tokens is None else F.coalesce(tokens.cast("bigint"), F.lit(0).cast("bigint"))
@@ -155,29 +179,54 @@ def selection(
     schema = "leaf array<string>, whole int, rest bigint"
     planned = items.join(F.broadcast(spark.createDataFrame(plan, schema)), "leaf").withColumn("size", size)
     partial = planned.filter("rest > 0").withColumn("place", _order(seed))
-    extra = _prefix(partial, "rest").select(*planned.columns).withColumn("epochs", F.lit(1))
-    whole = planned.filter("whole > 0").withColumn("epochs", F.col("whole"))
-    both = whole.unionByName(extra).groupBy("leaf", "doc_id", "h", "n_tokens", "copies").agg(F.sum("epochs").cast("int").alias("epochs"))
-    return both.select("doc_id", "h", "leaf", "n_tokens", "copies", "epochs")
+    extra = _prefix(partial, "rest", cut).select(*planned.columns, "taken")
+    full = F.col("taken") == F.col("size")
+    extra = extra.withColumns({"epochs": F.when(full, 1).otherwise(0), "part": F.when(full, 0).otherwise(F.col("taken"))}).drop("taken")
+    whole = planned.filter("whole > 0").withColumns({"epochs": F.col("whole"), "part": F.lit(0).cast("bigint")})
+    sums = [F.sum("epochs").cast("int").alias("epochs"), F.sum("part").alias("part")]
+    both = whole.unionByName(extra).groupBy("leaf", "doc_id", "h", "n_tokens", "copies").agg(*sums)
+    return both.select("doc_id", "h", "leaf", "n_tokens", "copies", "epochs", *(["part"] if cut else []))
+
+
+def _parts(selected: DataFrame) -> DataFrame:
+    """A row for each copy of which ``part`` holds some tokens, with their number as ``taken``."""
+    number = F.ceil(F.col("part") / F.col("n_tokens"))
+    each = selected.filter("part > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), number)))
+    return each.withColumn("taken", F.least("n_tokens", F.col("part") - (F.col("copy") - 1) * F.col("n_tokens")))
 
 
 def mix(selected: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
-    """``doc_id``, the names of the path, ``epoch`` and ``n_tokens``: a row for each time a row stands in the mix."""
+    """``doc_id``, the names of the path, ``epoch`` and ``n_tokens``: a row for each time a row, or a part of it, stands in the mix."""
     names = [F.col("leaf")[k].alias(level) for k, level in enumerate(levels)]
-    each = selected.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    each = selected.filter("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     every = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    return every.select("doc_id", *names, "epoch", "n_tokens")
+    rows = every.select("doc_id", *names, "epoch", "n_tokens")
+    if "part" not in selected.columns:
+        return rows
+    return rows.unionByName(_parts(selected).select("doc_id", *names, F.col("epochs").alias("epoch"), F.col("taken").alias("n_tokens")))
 
 
 def mixed_documents(docs: DataFrame, selected: DataFrame, path: list[Column], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` which were selected, once for each epoch."""
+    """The rows of ``docs`` which were selected, once for each epoch, and the first words of those taken in part."""
+    if "part" in selected.columns:
+        selected = stage(selected, "selected")
     names = F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in path))
     marked = docs.withColumns(
         {"__h": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), "__leaf": names}
     )
-    chosen = selected.select(
-        F.col("doc_id").alias("__key"), F.col("h").alias("__h"), F.col("leaf").alias("__leaf"), F.col("epochs").alias("__epochs")
-    )
-    same = marked[key].eqNullSafe(chosen["__key"]) & (marked["__h"] == chosen["__h"]) & (marked["__leaf"] == chosen["__leaf"])
-    kept = marked.join(chosen, same).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__epochs"))))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    item = [F.col("doc_id").alias("__key"), F.col("h").alias("__h"), F.col("leaf").alias("__leaf")]
+
+    def found(chosen: DataFrame) -> DataFrame:
+        same = marked[key].eqNullSafe(chosen["__key"]) & (marked["__h"] == chosen["__h"]) & (marked["__leaf"] == chosen["__leaf"])
+        return marked.join(chosen, same).drop(chosen["__h"], chosen["__leaf"])
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    chosen = selected.filter("epochs > 0").select(*item, F.col("epochs").alias("__epochs"))
+    kept = found(chosen).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*columns)
+    if "part" not in selected.columns:
+        return kept
+    # an item a leaf; of rows equal in key, text and leaf any
+    parts = _parts(selected).groupBy("doc_id", "h", "leaf").agg(F.collect_list("taken").alias("all"))
+    cut = F.broadcast(parts.select(*item, F.col("all").alias("__all")))
+    ends = found(cut).dropDuplicates([key, "__h", "__leaf"]).withColumn("__taken", F.explode("__all"))
+    return kept.unionByName(ends.withColumn(text, F.udf(first_words, "string")(F.col(text), "__taken")).select(*columns))
