@@ -7,8 +7,8 @@ content parsed:
 * ``token``: three base64url parts, the first a JSON header which names an algorithm;
 * ``der``: base64 or hex of an ASN.1 sequence whose nested lengths add up to its end;
 * ``ssh``: base64 of length-prefixed fields, the first a key type, which add up to its end;
-* ``pem``: a key between BEGIN and END lines whose body decodes to one of the two before, or,
-  where its body is encrypted, to whole base64.
+* ``pem``: a key between BEGIN and END lines whose body, without header lines, decodes to one of
+  the two before, or, where its body is encrypted, to whole base64.
 
 Null text: empty.  Positions are code points, the end is exclusive.  Repeated rows and rows
 without key give a row each.
@@ -38,7 +38,7 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|PUBLIC KEY|CERTIFICATE)-----([^-]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|PUBLIC KEY|CERTIFICATE)-----((?:(?!-----BEGIN ).)*?)-----END \1-----", re.DOTALL)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 _TOKEN = re.compile(r"([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
@@ -105,6 +105,22 @@ def is_token_header(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def _pem_body(text: str) -> tuple[dict[str, str], str]:
+    """Header lines, by name, and the base64 after them.  No line of base64 has a colon."""
+    lines = [line.strip() for line in text.strip().splitlines()]
+    headers = dict(line.split(":", 1) for line in lines if ":" in line)
+    if headers and "" in lines:  # a blank line ends the headers, continued ones too
+        lines = lines[lines.index("") :]
+    return headers, "".join("".join(line.split()) for line in lines if ":" not in line)
+
+
+def is_pem(label: str, text: str) -> bool:
+    headers, body = _pem_body(text)
+    data = None if "-" in body else unbase64(body)
+    encrypted = "ENCRYPTED" in label or "ENCRYPTED" in headers.get("Proc-Type", "")
+    return bool(data) and (encrypted or is_der(data) or data.startswith(b"openssh-key-v1\0"))
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end)."""
     found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -120,11 +136,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if is_der(bytes.fromhex(m[0])):
                 found.append(("der", *m.span()))
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = m[2].split("\n\n")[-1] if "ENCRYPTED" in m[0] else m[2]
-            data = unbase64("".join(body.split()))
-            if data and (is_der(data) or data.startswith(b"openssh-key-v1\0") or "ENCRYPTED" in m[0]):
-                found.append(("pem", *m.span()))
+        found += [("pem", *m.span()) for m in _PEM.finditer(text) if is_pem(m[1], m[2])]
     return found
 
 
