@@ -15,6 +15,7 @@ from tidemark.llm.html_extract import extract, labelled_pages, train
 from tidemark.llm.lang_id import held_out_fold, identify, learn_profiles
 from tidemark.llm.mixing import mix, selection
 from tidemark.llm.neighbours import nearest
+from tidemark.llm.prep_queries import PREP_QUERIES
 from tidemark.llm.pretokens import vocabulary_path
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
@@ -244,4 +245,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_token_shards": (op8_token_shards, None),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_decontaminate": (op10_decontaminate, OP10_SQL),
+    **PREP_QUERIES,
 }
