@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.running import entity_features
 from tidemark.registry.common import reviews
@@ -25,26 +26,31 @@ def test_row_stream_reads_every_row_once(spark, folder, tmp_path):
 @pytest.mark.parametrize("keys,suffix", [(["user_id"], "user"), (["product_id", "rating"], "rating")])
 def test_stream_equals_batch(spark, folder, tmp_path, keys, suffix):
     state_settings(spark)
-    source = reviews(spark, folder).where("review_id < 300")
+    # Fractions of all sizes, so that a sum of doubles would hang on its order.
+    share = F.col("cents") / F.lit(137.0)
+    sizes = F.when(F.col("review_id") % 5 == 0, share * 1e25).when(F.col("review_id") % 5 == 1, share * 1e-19).otherwise(share)
+    source = reviews(spark, folder).where("review_id < 300").withColumn("share", sizes)
     path = str(tmp_path / "rows")
     # Five files, each with rows of the whole time span, and missing numbers and labels.
     holed = source.withColumns(
         {
             "cents": F.when(F.col("review_id") % 7 != 0, F.col("cents")),
             "label": F.when(F.col("review_id") % 11 != 0, F.col("label")),
+            "share": F.when(F.col("review_id") % 13 != 0, F.col("share")),
         }
     )
     holed.repartition(5).write.parquet(path)
 
     def close():
         far = datetime.datetime(2200, 1, 1)
-        mark = [(-1, -1, -1, 5, far, None, None, None)]
-        spark.createDataFrame(mark, REVIEWS).coalesce(1).write.mode("append").parquet(path)
+        mark = [(-1, -1, -1, 5, far, None, None, None, None)]
+        spark.createDataFrame(mark, schema).coalesce(1).write.mode("append").parquet(path)
 
-    measures = ["cents", "rating"]
+    schema = T.StructType([*REVIEWS.fields, T.StructField("share", T.DoubleType())])
+    measures = ["cents", "rating", "share"]
     # The delay covers the span: no row is late.
     made = features_to_end(
-        lambda: row_stream(spark, path, REVIEWS, files_per_batch=2), keys, suffix, measures, close, "60 days"
+        lambda: row_stream(spark, path, schema, files_per_batch=2), keys, suffix, measures, close, "60 days"
     )
     names = [c for c in made.columns if c not in keys]
     got = sorted(map(str, made.where("review_id >= 0").select(names).collect()))

@@ -7,15 +7,15 @@ holds a whole popular product.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.dates import year_week
 from tidemark.functions.labels import encode_label
 from tidemark.functions.text_measures import polarity_deviation
+from tidemark.operators.exact_sums import Grid, grids, limb_names, quoted, with_limbs, with_totals
 from tidemark.plans import scan
 from tidemark.plans.hot import HOT_ROWS, hot_keys
 from tidemark.plans.staging import stage
@@ -44,7 +44,7 @@ def _totals(
     hot: DataFrame | None,
     partition_by: Sequence[str],
 ) -> DataFrame:
-    """Add the running totals ``_n``, ``_fakes``, ``_weeks`` and ``_sum_<measure>``."""
+    """Add the running totals ``_n``, ``_fakes``, ``_weeks`` and a sum of each column of ``measures``."""
     if hot is None:
         return _windowed_totals(df, keys, measures, partition_by)
     # Fewer than rows / hot_rows keys, so the list is small enough to send to all tasks.  The
@@ -65,21 +65,18 @@ def _windowed_totals(
     # One exchange for both windows: left to itself the planner would first shuffle by key
     # and week, and then again by key.
     per_week = Window.partitionBy(*keys, "_week").orderBy(*ORDER)
-    per_key = (
-        Window.partitionBy(*keys)
-        .orderBy(*ORDER)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    by, order = (", ".join(map(quoted, columns)) for columns in (keys, ORDER))
+    per_key = f"over (partition by {by} order by {order} rows between unbounded preceding and current row)"
     placed = df.repartition(*[F.col(k) for k in partition_by])
     flagged = placed.withColumn("_new_week", (F.row_number().over(per_week) == 1).cast("int"))
-    return flagged.withColumns(
-        {
-            "_n": F.count(F.lit(1)).over(per_key),
-            "_fakes": F.sum("_fake").over(per_key),
-            "_weeks": F.sum("_new_week").over(per_key),
-            **{f"_sum_{m}": F.sum(f"_exact_{m}").over(per_key) for m in measures},
-        }
-    ).drop("_new_week")
+    kept = [quoted(c) for c in df.columns if c not in measures]
+    return flagged.selectExpr(
+        *kept,
+        f"count(1) {per_key} as _n",
+        f"sum(_fake) {per_key} as _fakes",
+        f"sum(_new_week) {per_key} as _weeks",
+        *[f"sum({quoted(m)}) {per_key} as {quoted(m)}" for m in measures],
+    )
 
 
 def _blocked_totals(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -92,7 +89,7 @@ def _blocked_totals(df: DataFrame, keys: Sequence[str], measures: Sequence[str])
         {
             "_fakes": ("sum", F.col("_fake")),
             "_weeks": ("sum", (F.col("pos") == F.col("_first_pos")).cast("int")),
-            **{f"_sum_{m}": ("sum", F.col(f"_exact_{m}")) for m in measures},
+            **{m: ("sum", F.col(m)) for m in measures},
         },
         keys,
     ).withColumn("_n", F.col("pos") + 1).drop("pos", "group_rows", "_first_pos")
@@ -110,30 +107,24 @@ def running_totals(
     rows: int = HOT_ROWS,
     partition_by: Sequence[str] | None = None,
     hot: DataFrame | None | str = SEARCH,
+    bits: Mapping[str, Grid] | None = None,
 ) -> DataFrame:
-    """Rows with usable keys and their running totals; ``hot`` as found by ``hot_keys``."""
+    """Rows with usable keys and their running totals ``_n``, ``_fakes``, ``_weeks``, ``_sum_<measure>``.
+
+    ``hot`` as found by ``hot_keys``; ``bits`` as found by ``exact_sums.grids``.  Sums of
+    fractions are exact and rounded once, so usual keys and hot keys end in equal bits.
+    """
     usable = usable_rows(df, keys)
     if isinstance(hot, str):
         hot = hot_keys(usable, keys, rows)
-    prepared = usable.withColumns(
-        {
-            "_fake": encode_label("label"),
-            "_week": year_week("ts"),
-            **{f"_exact_{m}": _exact(df, m) for m in measures},
-        }
-    )
-    totals = _totals(prepared, keys, measures, hot, partition_by or keys)
-    return totals.drop(*[f"_exact_{m}" for m in measures])
-
-
-def _exact(df: DataFrame, measure: str) -> Column:
-    """The measure as a number whose sums do not depend on the order or split of the rows.
-
-    Fractions become decimals of all their digits (18 behind the point, 20 before it), so the
-    windows of usual keys and the blocks of hot keys end in equal bits.
-    """
-    fraction = isinstance(df.schema[measure].dataType, (T.FloatType, T.DoubleType))
-    return F.col(measure).cast("decimal(38,18)") if fraction else F.col(measure)
+    if bits is None:
+        bits = grids(df, measures)
+    whole = [f"{quoted(m)} as {quoted(f'_sum_{m}')}" for m in measures if m not in bits]
+    prepared = usable.withColumns({"_fake": encode_label("label"), "_week": year_week("ts")}).selectExpr("*", *whole)
+    prepared = with_limbs(prepared, {f"_sum_{m}": (m, bits[m]) for m in measures if m in bits})
+    summed = [p for m in measures for p in (limb_names(f"_sum_{m}", bits[m]) if m in bits else [f"_sum_{m}"])]
+    totals = _totals(prepared, keys, summed, hot, partition_by or keys)
+    return with_totals(totals, {f"_sum_{m}": (f"_sum_{m}", bits[m]) for m in measures if m in bits})
 
 
 def entity_features(
@@ -146,12 +137,14 @@ def entity_features(
     hot_rows: int = HOT_ROWS,
     partition_by: Sequence[str] | None = None,
     hot: DataFrame | None | str = SEARCH,
+    bits: Mapping[str, Grid] | None = None,
 ) -> DataFrame:
     """Append the running columns of one entity.
 
     For each measure ``x``: ``x_avg_<suffix>`` is the running sum over the row number (a
-    null ``x`` has a null mean) and ``x_higher_<suffix>`` says that ``x`` is not below that
-    mean (true for a null ``x``).  ``activity`` adds the number of reviews, the spam flag,
+    null or NaN ``x`` has a null mean and adds nothing, but its row counts) and
+    ``x_higher_<suffix>`` says that ``x`` is not below that mean (true for a null ``x`` and
+    for a NaN mean, which infinite values of both signs make).  ``activity`` adds the number of reviews, the spam flag,
     the number of active weeks and reviews per active week.  ``label_safe`` adds
     ``was_spam_prior_<suffix>``, which looks at earlier rows only.
 
@@ -163,12 +156,18 @@ def entity_features(
     source = df
     if "polarity_deviation" in measures:
         source = df.withColumn("polarity_deviation", polarity_deviation("polarity", "rating"))
-    totals = running_totals(source, keys, measures, hot_rows, partition_by, hot)
-    columns = {}
+    if bits is None:
+        bits = grids(source, measures)
+    totals = running_totals(source, keys, measures, hot_rows, partition_by, hot, bits)
+    means, flags = [], []
     for m in measures:
-        mean = F.when(F.col(m).isNotNull(), F.col(f"_sum_{m}").cast("double") / F.col("_n"))
-        columns[f"{m}_avg_{suffix}"] = mean
-        columns[f"{m}_higher_{suffix}"] = F.coalesce(F.col(m) >= mean, F.lit(True))
+        x, total = quoted(m), quoted(f"_sum_{m}")
+        mean, high = quoted(f"{m}_avg_{suffix}"), quoted(f"{m}_higher_{suffix}")
+        usable = f"{x} is not null and not isnan({x})" if m in bits else f"{x} is not null"
+        means.append(f"case when {usable} then cast({total} as double) / _n end as {mean}")
+        # A mean exists where the measure does; no value is below a mean that is NaN.
+        flags.append(f"coalesce(isnan({mean}) or {x} >= {mean}, true) as {high}")
+    columns = {}
     if activity:
         columns[f"tweet_num_{suffix}"] = F.col("_n")
         columns[f"was_spam_{suffix}"] = _was_spam(F.col("_fakes"), F.col("_fake"))
@@ -177,8 +176,14 @@ def entity_features(
     if label_safe:
         earlier = F.coalesce(F.col("_fakes"), F.lit(0)) - F.coalesce(F.col("_fake"), F.lit(0))
         columns[f"was_spam_prior_{suffix}"] = (earlier >= 1).cast("int")
-    result = totals.withColumns(columns).drop(
-        "_fake", "_week", "_n", "_fakes", "_weeks", *[f"_sum_{m}" for m in measures]
+    scratch = {"_fake", "_week", "_n", "_fakes", "_weeks", *(f"_sum_{m}" for m in measures)}
+    kept = [quoted(c) for c in totals.columns if c not in scratch]
+    pairs = [quoted(f"{m}_{kind}_{suffix}") for m in measures for kind in ("avg", "higher")]
+    result = (
+        totals.withColumns(columns)
+        .selectExpr("*", *means)
+        .selectExpr("*", *flags)
+        .selectExpr(*kept, *pairs, *map(quoted, columns))
     )
     if "polarity_deviation" in measures:
         result = result.withColumnRenamed("polarity_deviation", deviation)
@@ -190,14 +195,18 @@ def incremental_features(
 ) -> DataFrame:
     """All three entities in turn; the activity columns are kept for the user only.
 
-    Hot keys are looked for in ``df`` itself, which reads key columns only; give a table, or
-    a staged one, and not the end of a long plan.
+    Hot keys are looked for in ``df`` itself, which reads key columns only, and the ranges of its
+    fractions once for all entities; give a table, or a staged one, and not the end of a long plan.
     """
+    source = df
+    if "polarity_deviation" in measures:
+        source = df.withColumn("polarity_deviation", polarity_deviation("polarity", "rating"))
+    bits = grids(source, measures)
     hot = {s: hot_keys(usable_rows(df, keys), keys, hot_rows) for s, keys in ENTITIES.items()}
     out = df
     for suffix, keys in ENTITIES.items():
         out = entity_features(
-            out, keys, suffix, measures, suffix == "user", partition_by=keys[:1], hot=hot[suffix]
+            out, keys, suffix, measures, suffix == "user", partition_by=keys[:1], hot=hot[suffix], bits=bits
         )
     return out
 

@@ -268,13 +268,27 @@ _W = "partition by {k} order by ts, review_id rows between unbounded preceding a
 _WEEK = "cast(year(ts) as varchar) || cast(weekofyear(ts) as varchar)"
 
 
-def entity_ctes(source: str, keys: str, suffix: str, measures) -> str:
-    """SQL of the running columns of one entity, as CTEs ending in ``made_<suffix>``."""
-    totals = ", ".join(f"sum({m}) over w as s_{m}" for m in measures)
+def _exact_sum(x: str) -> str:
+    """The sum of doubles below 2**20 without rounding, as a whole number of units of 2**-72 in two parts."""
+    upper = f"trunc({x} * 1048576.0::double)"
+    lower = f"({x} - {upper} / 1048576.0::double) * 4722366482869645213696.0::double"
+    return f"sum(cast({upper} as hugeint)) over w * 4503599627370496::hugeint + sum(cast({lower} as hugeint)) over w"
+
+
+def entity_ctes(source: str, keys: str, suffix: str, measures, fractions=()) -> str:
+    """SQL of the running columns of one entity, as CTEs ending in ``made_<suffix>``.
+
+    Sums of ``fractions`` are exact; decimal digits are read as the nearest double.
+    """
+    totals = ", ".join(f"{_exact_sum(m) if m in fractions else f'sum({m}) over w'} as s_{m}" for m in measures)
+
+    def total(m: str) -> str:
+        if m in fractions:
+            return f"(cast(cast(s_{m} as varchar) as double) / 4722366482869645213696.0::double)"
+        return f"cast(s_{m} as double)"
+
     means = ", ".join(
-        f"cast(s_{m} as double) / n as {m}_avg_{suffix}, "
-        f"({m} >= cast(s_{m} as double) / n) as {m}_higher_{suffix}"
-        for m in measures
+        f"{total(m)} / n as {m}_avg_{suffix}, ({m} >= {total(m)} / n) as {m}_higher_{suffix}" for m in measures
     )
     extra = (
         f", n as tweet_num_{suffix}, case when fakes > 1 then 1 else 0 end as was_spam_{suffix}, "

@@ -17,5 +17,7 @@ def local_session(cores: int = 8, name: str = "tidemark", partitions: int | None
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Methods above 8,000 bytes of code stay interpreted; wide projections then go by themselves.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
