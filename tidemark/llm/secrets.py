@@ -41,7 +41,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|PUBLIC KEY|CERTIFICATE)-----((?:(?!-----BEGIN ).)*?)-----END \1-----", re.DOTALL)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
-_TOKEN = re.compile(r"([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+#: Begins where a stretch of its characters begins, so that a long stretch is tried once.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
 
 def unbase64(text: str) -> bytes | None:
