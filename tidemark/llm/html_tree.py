@@ -10,6 +10,8 @@ _MARKUP = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
     re.DOTALL,
 )
+#: A tag with a quote that never closes ends at the first bracket.
+_BROKEN = re.compile(r"<(/?)([A-Za-z][^\s/>\"']*)([^>]*)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 #: Groups of HTML elements.
@@ -52,10 +54,23 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+_START = re.compile(r"<[!?/A-Za-z]")
+
+
+def _next_markup(page: str, at: int) -> re.Match | None:
+    while start := _START.search(page, at):
+        found = _MARKUP.match(page, start.start()) or _BROKEN.match(page, start.start())
+        if found:
+            return found
+        at = start.start() + 1
+    return None
+
+
 def parse(page: str) -> list[Node]:
     """The nodes in page order; node 0 stands for the page.  Any string gives a tree."""
     nodes = [Node("#page", -1, {}, "", True)]
     path = [0]  # open elements
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the path
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
@@ -63,15 +78,14 @@ def parse(page: str) -> list[Node]:
 
     def close(tags, stop) -> None:
         """Closes the innermost open element among ``tags``, unless one of ``stop`` stands above it."""
-        for k in range(len(path) - 1, 0, -1):
-            if nodes[path[k]].tag in tags:
-                del path[k:]
-                return
-            if nodes[path[k]].tag in stop:
-                return
+        found = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        if found > max((places[t][-1] for t in stop if places.get(t) and t not in tags), default=0):
+            for k in path[found:]:
+                places[nodes[k].tag].pop()
+            del path[found:]
 
     at = 0
-    while found := _MARKUP.search(page, at):
+    while found := _next_markup(page, at):
         text(page[at : found.start()])
         at = found.end()
         closing, tag = found[1], (found[2] or "").lower()
@@ -97,6 +111,7 @@ def parse(page: str) -> list[Node]:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else len(page)
         if tag not in VOID and not found[3].endswith("/"):
+            places.setdefault(tag, []).append(len(path))
             path.append(len(nodes) - 1)
     text(page[at:])
     return nodes
