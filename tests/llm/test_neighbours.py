@@ -1,5 +1,8 @@
 import math
 
+import functools
+import operator
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +39,8 @@ def test_recall_against_brute_force(spark, folder, block, queries):
     hits = sum(len({r.vec_id for r in own[q]} & set(truth[q])) for q in truth)
     assert hits >= 0.9 * 20 * len(truth)
     vectors = dict(rows)
-    assert all(r.score == sum((vectors[r.query_id] * vectors[r.vec_id]).tolist()) for r in found)
+    for r in found:
+        assert r.score == functools.reduce(operator.add, (vectors[r.query_id] * vectors[r.vec_id]).tolist(), 0.0)
     assert all(list(map(lambda r: (-r.score, r.vec_id), rs)) == sorted((-r.score, r.vec_id) for r in rs) for rs in own.values())
 
 
