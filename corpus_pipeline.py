@@ -1,6 +1,10 @@
 """From documents to token shards: language, near-duplicates, benchmark passages, mixture, ids.
 
 Each stage takes what the stage before it kept, as written Parquet, and decides over all of it.
+
+Null texts are empty ones; null keys equal each other and are smaller than all others.  Rows which
+repeat key and text are copies: one stays.  An empty table gives an empty result.  Further columns
+are carried along; names which begin with two underscores are the stages' own.
 """
 
 from __future__ import annotations
@@ -12,9 +16,9 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.lang_id import UNKNOWN, held_out_fold, identify, learn_profiles
 from tidemark.llm.mixing import mixed_documents, selection
-from tidemark.llm.near_copies import deduplicated
 from tidemark.llm.pretokens import vocabulary_path
 from tidemark.llm.queries import mixture_path, mixture_weight
+from tidemark.llm.simhash import deduplicated
 from tidemark.llm.token_shards import shard_documents
 from tidemark.plans.staging import stage
 
@@ -22,18 +26,18 @@ from tidemark.plans.staging import stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be learned, under the language found.
 
-    Texts without letters go.  Where no row has a label there is nothing to learn, so the
-    others stay as they are.
+    Texts without letters go, and those without any n-gram of any profile, whose score is 0.
+    Where no row has a label there is nothing to learn, so the others stay as they are.
     """
     profiles = learn_profiles(docs.filter(~held_out_fold(F.col("doc_id"))))
     if not profiles:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    named = identify(docs, profiles, names=("__lang", "__score")).filter(F.col("__lang") != UNKNOWN)
+    named = identify(docs, profiles, names=("__lang", "__score")).filter((F.col("__lang") != UNKNOWN) & (F.col("__score") > 0))
     return named.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of five-word shingles, that with the smallest key."""
+    """One document of each group linked by fingerprints of three-word shingles two bits apart or less, that with the smallest key."""
     return deduplicated(docs)
 
 
