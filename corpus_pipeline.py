@@ -2,7 +2,7 @@
 
 Each stage takes what the stage before it kept, as written Parquet, and decides over all of it.
 
-Null texts are empty ones; null keys equal each other and are smaller than all others.  Rows which
+Null texts are empty ones; null keys equal each other and stay where no other key is.  Rows which
 repeat key and text are copies: one stays.  An empty table gives an empty result.  Further columns
 are carried along; names which begin with two underscores are the stages' own.
 """
