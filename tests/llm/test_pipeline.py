@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.corpus import documents
-from tidemark.llm import lang_id
+from tidemark.llm import lang_id, simhash
 from tidemark.plans.staging import stage
 
 
@@ -21,8 +21,8 @@ def test_every_stage_decides_over_what_came_before(spark, folder):
     predicted = lang_id.identify(source, profiles).filter("lang_pred != 'und'").select("doc_id", "lang_pred")
     assert sorted(map(tuple, named.select("doc_id", "lang").collect())) == sorted(map(tuple, predicted.collect()))
     # one document of each group
-    groups = corpus_pipeline.near_duplicates.__globals__["deduplicated"](named)
-    assert sorted(r.doc_id for r in unique.collect()) == sorted(r.doc_id for r in groups.collect())
+    groups = simhash.near_duplicates(named)
+    assert sorted(r.doc_id for r in unique.collect()) == sorted({r.component_id for r in groups.collect()})
     assert unique.count() < named.count()
     # contaminated documents go, others stay
     marked = corpus_pipeline.contamination(unique, spark.read.parquet(f"{folder}/benchmark.parquet"))
@@ -35,6 +35,13 @@ def test_every_stage_decides_over_what_came_before(spark, folder):
     assert all(a.start + a.n_tokens == b.start and a.doc_id <= b.doc_id for a, b in zip(ordered, ordered[1:], strict=False))
 
 
+def test_texts_without_known_ngrams_go(spark, folder):
+    source = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(-5, "ꙮꙮꙮ ꙮꙮ", "en", "src1", 6)], source.schema)
+    named = corpus_pipeline.language(spark, source.unionByName(odd), folder)
+    assert named.filter("doc_id = -5").count() == 0 and named.count() > 0.9 * source.count()
+
+
 @pytest.mark.parametrize("rows", [None, []])
 def test_awkward_rows(spark, tmp_path, rows):
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
