@@ -47,7 +47,7 @@ def mixture_weight(path: tuple[str, ...]) -> Fraction:
 
 
 def op2_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(selection(table(spark, folder, "documents"), mixture_path(), mixture_weight))
+    return mix(selection(table(spark, folder, "documents"), mixture_path(), mixture_weight, cut=True))
 
 
 def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,7 +124,7 @@ given{level} AS (
 )"""
 
 
-#: Budgets level by level, then whole leaves in the order of their next epoch.
+#: Budgets level by level, then whole leaves in the order of their next epoch; its last document is taken in part.
 OP2_SQL = f"""
 WITH items AS (
   SELECT doc_id, md5(coalesce(text, '')) AS h, {list(DOMAINS)}[{_crc32("coalesce(source, '')")} % {len(DOMAINS)} + 1] AS domain,
@@ -137,17 +137,22 @@ WITH items AS (
 {_share(3, "source", "domain, lang, source")},
 plan AS (
   SELECT domain, lang, source, CAST(floor(given3 / n + 1e-9) AS INTEGER) AS whole,
-    floor(given3 - floor(given3 / n + 1e-9) * n + 1e-6) AS rest
+    CAST(floor(given3 - floor(given3 / n + 1e-9) * n + 1e-6) AS BIGINT) AS rest
   FROM given3 JOIN leaves USING (domain, lang, source)
 ), placed AS (
-  SELECT *, sum(n_tokens * copies) OVER (PARTITION BY domain, lang, source ORDER BY
-    md5('1:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || h) ROWS UNBOUNDED PRECEDING) AS upto
+  SELECT *, CAST(sum(n_tokens * copies) OVER (PARTITION BY domain, lang, source ORDER BY
+    md5('1:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || h) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM items JOIN plan USING (domain, lang, source)
 ), chosen AS (
   SELECT *, unnest(range(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM placed
+), ends AS (
+  SELECT *, rest - (upto - n_tokens * copies) AS taken FROM placed WHERE rest < upto AND rest > upto - n_tokens * copies
 )
-SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, n_tokens
+SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens
 FROM (SELECT *, unnest(range(copies)) AS copy FROM chosen)
+UNION ALL
+SELECT doc_id, domain, lang, source, whole, CAST(least(n_tokens, taken - copy * n_tokens) AS BIGINT)
+FROM (SELECT *, unnest(range(CAST(ceil(taken / n_tokens) AS BIGINT))) AS copy FROM ends)
 """
 
 #: Every query against every other row; sums run from the first component on.
