@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import balance, bayes, closed_loop, drift, grid, hoeffding, learners, metrics, running
+from tidemark.operators import balance, bayes, closed_loop, drift, grid, hoeffding, metrics, running, trees
 from tidemark.functions import text_measures as M
 from tidemark.operators import lexicon as L
 from tidemark.operators import ngrams as N
 from tidemark.operators.running import incremental_features
+from tidemark.operators.tree_model import candidates_of, settings_of
 from tidemark.plans.pipeline import balanced_shards, text_features
 from tidemark.plans.scan import with_position
 from tidemark.plans.staging import new_path, stage
@@ -127,7 +128,7 @@ def model_epochs(spark, d):
     return drift.model_epochs(drift.drift_fixed(*drift_input(spark, d), FIXED))
 
 
-# ---- block-wise learners ---------------------------------------------------------------
+# ---- incremental trees -----------------------------------------------------------------
 
 USER_FEATURES = ["cents_avg_user", "cents_higher_user", "tweet_num_user", "tweet_freq_week_user"]
 
@@ -138,19 +139,26 @@ def _learner_rows(spark, d):
     return with_position(made.select(*columns), ["ts", "review_id"], label="learner-rows")
 
 
-def prequential_block(spark, d):
+def _tree_run(spark, d, model, params, keep=()):
     features = ["cents", "rating", *USER_FEATURES]
-    vectors = learners.as_vectors(_learner_rows(spark, d), features, ["review_id"])
-    spec = learners.model_spec("htc", {"max_depth": 5}, len(features))
-    return learners.prequential_blocks(vectors, spec, keep=["review_id"])
+    return trees.prequential(_learner_rows(spark, d), features, settings_of(model, params, len(features)), keep)
+
+
+def prequential_block(spark, d):
+    """An incremental tree over the whole stream."""
+    made = _tree_run(spark, d, "htc", {"max_depth": 50, "tie_threshold": 0.5, "max_size": 50}, ["review_id"])
+    return made.predictions.drop("shard")
+
+
+def prequential_adaptive(spark, d):
+    """An adaptive tree, whose subtrees are replaced where their errors rise."""
+    made = _tree_run(spark, d, "hatc", {"max_depth": 50, "tie_threshold": 0.5, "max_size": 50}, ["review_id"])
+    return made.predictions.drop("shard")
 
 
 def prequential_forest(spark, d):
-    """The forest, block by block; scores of the whole stream."""
-    features = ["cents", "rating", *USER_FEATURES]
-    vectors = learners.as_vectors(_learner_rows(spark, d), features)
-    spec = learners.model_spec("arfc", {"n_models": 10, "max_features": 3, "lambda_value": 6}, len(features))
-    return metrics.summary(learners.prequential_blocks(vectors, spec))
+    """An adaptive forest; scores of the whole stream."""
+    return metrics.summary(_tree_run(spark, d, "arfc", {"n_models": 10, "max_features": 3, "lambda_value": 6}).predictions.drop("shard"))
 
 
 # ---- closed loop -----------------------------------------------------------------------
@@ -193,9 +201,11 @@ def whole_candidates():
     return [bayes.Candidate(**c) for c in grid.combinations({"var_floor": floors, "features": subsets})]
 
 
-def whole_experiment(spark, d, shards=FEW_SHARDS):
-    """From raw reviews to scores per shard: text stage, running features, balance, shards,
-    null fill, variance selector, drift handling on n-grams of the cleaned text, 160 features."""
+WHOLE_FEATURES = ("rating", "word_count", *TEXT_MEASURES, *[c for s in ENTITIES for c in running_columns(s)])
+
+
+def whole_rows(spark, d, shards):
+    """From raw reviews to balanced shards with all 160 features; and the cleaned texts."""
     docs = texts(spark, d, "documents").select(
         F.col("doc_id").alias("review_id"), F.col("text").alias("review"), M.word_count("text").alias("word_count")
     )
@@ -205,17 +215,48 @@ def whole_experiment(spark, d, shards=FEW_SHARDS):
     source = stage(reviews(spark, d).join(numbers, "doc_id"), "reviews")
     built = stage(incremental_features(source), "features")  # balancing looks at it more than once
     rows = stage(balanced_shards(built, shards), "balanced-shards")
-    cleaned = measured.select("doc_id", F.coalesce("text_preprocessed", F.lit("")).alias("text"))
+    return rows, measured.select("doc_id", F.coalesce("text_preprocessed", F.lit("")).alias("text"))
+
+
+def whole_experiment(spark, d, shards=FEW_SHARDS):
+    """From raw reviews to scores per shard: text stage, running features, balance, shards,
+    null fill, variance selector, drift handling on n-grams of the cleaned text, 160 features."""
+    rows, cleaned = whole_rows(spark, d, shards)
     first = rows.where(F.col("pos") < N.COLD_START).select("shard", "doc_id").join(cleaned, "doc_id")
     vocab = N.vocabulary(first, group=["shard"])
     counts = N.vocabulary_counts(cleaned, vocab.select("term").distinct(), ["doc_id"])
     per_shard = rows.select("shard", "doc_id").distinct().join(counts, "doc_id")
     terms = drift.sparse_terms(per_shard, vocab, ["shard", "doc_id"], ["shard"])
-    features = ["rating", "word_count", *TEXT_MEASURES, *[c for s in ENTITIES for c in running_columns(s)]]
-    walked = closed_loop.walk(rows.join(terms, ["shard", "doc_id"], "left"), vocab, features, whole_candidates())
+    walked = closed_loop.walk(rows.join(terms, ["shard", "doc_id"], "left"), vocab, WHOLE_FEATURES, whole_candidates())
     return metrics.shard_metrics(closed_loop.predictions(stage(walked, "walked")), F.col("triggered"))
 
 
+#: A tree which may grow, of the grid's own values.
+GROWING = {"max_depth": 50, "tie_threshold": 0.5, "max_size": 50, "remove_poor_attrs": True}
+
+
+def tree_experiment(spark, d):
+    """One stream of balanced reviews, all 160 features, a growing tree: scores of the stream."""
+    rows, _ = whole_rows(spark, d, 1)
+    made = trees.prequential(rows, WHOLE_FEATURES, settings_of("htc", GROWING, len(WHOLE_FEATURES)))
+    return metrics.summary(made.predictions.drop("shard"))
+
+
+def shard_tree_experiment(spark, d):
+    """The same in 20 shards, each with a tree of its own: scores per shard and of all."""
+    rows, _ = whole_rows(spark, d, SHARDS)
+    made = trees.prequential(rows, WHOLE_FEATURES, settings_of("htc", GROWING, len(WHOLE_FEATURES)), first=100)
+    return metrics.shard_metrics(made.predictions)
+
+
+def tree_grid_replay(spark, d):
+    """All 72 settings of the trees' grid, tested and trained side by side on 20 shards."""
+    settings = candidates_of("htc", grid.combinations(grid.TREE_RANGES), 2 + len(USER_FEATURES))
+    made = running.entity_features(reviews(spark, d), ["user_id"], "user", ["cents"])
+    rows = balance.split_shards(made.select("review_id", "ts", "label", "cents", "rating", *USER_FEATURES), SHARDS)
+    return trees.replay_grid(rows, ["cents", "rating", *USER_FEATURES], settings, first=100)
+
+
 # ---- SQL -------------------------------------------------------------------------------
 
 
@@ -391,7 +432,11 @@ QUERIES = {
     "drift_log": (drift_log, _DRIFT_SQL),
     "drift_adaptive": (drift_adaptive, None),
     "prequential_block": (prequential_block, None),
+    "prequential_adaptive": (prequential_adaptive, None),
     "prequential_forest": (prequential_forest, None),
+    "tree_experiment": (tree_experiment, None),
+    "shard_tree_experiment": (shard_tree_experiment, None),
+    "tree_grid_replay": (tree_grid_replay, None),
     "drift_experiment": (drift_experiment, None),
     "shard_drift_experiment": (shard_drift_experiment, None),
     "closed_loop_log": (closed_loop_log, None),
