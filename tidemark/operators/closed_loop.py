@@ -73,7 +73,7 @@ class _Sums:
         return int(fake > nofake)
 
 
-class _Grid:
+class CandidateGrid:
     """The candidates as masks over the features, grouped by variance floor."""
 
     def __init__(self, candidates: Sequence[Candidate], features: Sequence[str]):
@@ -95,10 +95,10 @@ class _Grid:
         return int(hits.argmax()), sums
 
 
-class _Walk:
+class ShardWalk:
     """The state of one shard."""
 
-    def __init__(self, shard: int, width: int, n_features: int, grid: _Grid, settings: DriftSettings, to_initial: bool):
+    def __init__(self, shard: int, width: int, n_features: int, grid: CandidateGrid, settings: DriftSettings, to_initial: bool):
         self.shard, self.grid, self.settings, self.to_initial = shard, grid, settings, to_initial
         self.width, self.n_features = width, n_features
         self.sums, self.current = _Sums(n_features), 0
@@ -187,7 +187,7 @@ def walk(
         raise ValueError(f"candidates must use given features, not {sorted(unknown)}")
     widest = vocab.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     width, names = int(widest or 0), [f"_x{k}" for k in range(len(features))]
-    grid = _Grid(candidates, features)
+    grid = CandidateGrid(candidates, features)
     slim = rows.select(
         "shard", "pos", F.coalesce(encode_label("label"), F.lit(0)).alias("_y"), "term_ids", "term_counts",
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(n) for f, n in zip(features, names, strict=True)],
@@ -200,17 +200,17 @@ def walk(
             parts = zip(batch["shard"], batch["pos"], batch["_y"], batch["term_ids"], batch["term_counts"], numbers, strict=True)
             for shard, pos, y, ids, counts, x in parts:
                 if state is None or state.shard != shard:
-                    state = _Walk(int(shard), width, len(features), grid, settings, compare_to == "initial")
+                    state = ShardWalk(int(shard), width, len(features), grid, settings, compare_to == "initial")
                 terms = None if ids is None or not len(ids) else (np.asarray(ids), np.asarray(counts))
                 made.append(state.step(int(pos), x, int(y), terms))
-            yield _frame(made)
+            yield as_frame(made)
 
     # one exchange by shard; within a task the rows of a shard follow each other in order
     placed = slim.repartition("shard").sortWithinPartitions("shard", "pos")
     return placed.mapInPandas(run, WALK)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
+def as_frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=WALK.names)
     for f in WALK.fields:
         if isinstance(f.dataType, (T.IntegerType, T.LongType)):
