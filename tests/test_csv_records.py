@@ -1,0 +1,75 @@
+"""CSV records put together from pieces against the one-task reader."""
+
+import random
+
+import pytest
+
+from tidemark.sources.csv_records import inferred, read_csv_in_parallel, read_records
+from tidemark.sources.tables import read_csv, write_csv
+
+SCHEMA = "id bigint, text string, share double"
+
+
+@pytest.fixture
+def small_pieces(spark):
+    """Files are cut every few bytes."""
+    settings = {"spark.sql.files.maxPartitionBytes": "37", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def rows_of(seed, n):
+    rng = random.Random(seed)
+    pieces = ["a", '"', '""', "\n", ",", "b c", "\n\n", "é", "x" * 60, "'"]
+    return [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))), rng.choice([None, i / 7])) for i in range(n)]
+
+
+def same(a, b):
+    return sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_equals_the_one_task_reader(spark, tmp_path, small_pieces, seed):
+    path = str(tmp_path / "rows")
+    table = spark.createDataFrame(rows_of(seed, 60), SCHEMA)
+    write_csv(table.coalesce(2), path)
+    whole = read_csv(spark, path, table.schema, multi_line=True)
+    got = read_csv_in_parallel(spark, path, table.schema)
+    assert whole.count() == 60 and same(got, whole)
+    found = read_csv_in_parallel(spark, path)
+    assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "string", "double"]
+    assert same(found, whole)
+
+
+@pytest.mark.parametrize("width", range(20, 75, 13))
+def test_breaks_at_every_end_of_a_piece(spark, tmp_path, small_pieces, width):
+    """Line breaks, quotes and a header of two lines just before, at and after each cut."""
+    text = '"id","te\nxt"\n' + "".join(f'{i},"{"q" * (i % 9)}\n""{"\n" * (i % 4)}""{"z" * (width - 20)}"\n' for i in range(14))
+    (tmp_path / "a.csv").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(width))
+    found = read_csv_in_parallel(spark, str(tmp_path))
+    assert found.columns == ["id", "te\nxt"]
+    want = [(i, f'{"q" * (i % 9)}\n"{"\n" * (i % 4)}"{"z" * (width - 20)}') for i in range(14)]
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_odd_files(spark, tmp_path, small_pieces):
+    (tmp_path / "a.csv").write_bytes(b'id,text\r\n1,"one\r\ntwo"\r\n\r\n2,plain\r\n3,"never closed\r\n4,x')
+    (tmp_path / "b.csv").write_text("id,text")
+    (tmp_path / "c.csv").write_text("")
+    records = read_records(spark, str(tmp_path))
+    assert sorted(r.record for r in records.where("not head").collect()) == ['1,"one\r\ntwo"', "2,plain", '3,"never closed\r\n4,x']
+    assert [r.record for r in records.where("head").collect()] == ["id,text"] * 2
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "d.csv").write_text("id,text\n")
+    assert read_csv_in_parallel(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_inferred_types(spark):
+    rows = [("1", "1", "true", "x", None, "9223372036854775808"), ("-2", "1e3", "FALSE", "2", None, "1"), (None, ".5", None, "3", None, "2")]
+    table = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string")
+    assert [f.dataType.simpleString() for f in inferred(table)] == ["bigint", "double", "boolean", "string", "string", "double"]

@@ -25,6 +25,7 @@ from tidemark.registry.common import (
 )
 from tidemark.schemas import REVIEWS as REVIEWS_SCHEMA
 from tidemark.sources import tables
+from tidemark.sources.csv_records import read_csv_in_parallel
 from pyspark.sql import types as T
 
 SHARDS = 20
@@ -47,6 +48,13 @@ def csv_roundtrip(spark, d):
     return tables.read_csv(spark, path, REVIEWS_SCHEMA).select(*_PLAIN, _ymd())
 
 
+def csv_line_breaks(spark, d):
+    """Texts with line breaks and quotes through CSV, read in pieces; types as found in all rows."""
+    path = new_path(spark, "csv-texts")
+    tables.write_csv(table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text"), path)
+    return read_csv_in_parallel(spark, path)
+
+
 def _sharded(spark, d, shards=SHARDS):
     return balance.split_shards(reviews(spark, d), shards)
 
@@ -486,6 +494,7 @@ from cells""",
             from cells""",
         ),
     ),
+    "csv_line_breaks": (csv_line_breaks, "select doc_id, lang, n_chars, text from documents"),
     "running_count": (running_count, _user_sql("review_id, tweet_num_user")),
     "running_fakes": (running_fakes, _user_sql("review_id, fakes")),
     "was_spam": (was_spam, _user_sql("review_id, was_spam_user, was_spam_prior_user")),

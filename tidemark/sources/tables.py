@@ -14,8 +14,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV with header; texts may hold quotes and, with ``multi_line``, line breaks.
 
-    A file with line breaks inside texts cannot be split, so one task reads it whole: ask for
-    it only where texts do have them, and keep such files small.
+    With ``multi_line`` a file cannot be split, so one task reads it whole: for small files.
+    ``csv_records.read_csv_in_parallel`` reads files of any size with line breaks inside texts.
     """
     return (
         spark.read.schema(schema)
@@ -28,7 +28,15 @@ def read_csv(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_shards(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
