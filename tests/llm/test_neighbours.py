@@ -1,6 +1,5 @@
-import math
-
 import functools
+import math
 import operator
 
 import numpy as np
