@@ -144,9 +144,9 @@ def entity_features(
     For each measure ``x``: ``x_avg_<suffix>`` is the running sum over the row number (a
     null or NaN ``x`` has a null mean and adds nothing, but its row counts) and
     ``x_higher_<suffix>`` says that ``x`` is not below that mean (true for a null ``x`` and
-    for a NaN mean, which infinite values of both signs make).  ``activity`` adds the number of reviews, the spam flag,
-    the number of active weeks and reviews per active week.  ``label_safe`` adds
-    ``was_spam_prior_<suffix>``, which looks at earlier rows only.
+    for a NaN mean, which infinite values of both signs make).  ``activity`` adds the number of
+    reviews, the spam flag, the number of active weeks and reviews per active week.
+    ``label_safe`` adds ``was_spam_prior_<suffix>``, which looks at earlier rows only.
 
     ``partition_by`` names the keys to shuffle by, if fewer than all: with ``product_id`` the
     product x rating features reuse the exchange of the product features.
