@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import text_measures as M
 from tidemark.functions import words as W
+from tidemark.operators import lemma_rules as R
 from tidemark.operators import lexicon as L
 from tidemark.operators import ngrams as N
 from tidemark.plans.staging import stage
@@ -48,6 +49,25 @@ def lemma_map(spark, d):
     return _docs(spark, d).select("doc_id", X.lemmatize("text").alias("lemmas"))
 
 
+def _forms(spark, d):
+    """Forms among the words which occur twice or more; the others are left to the rules."""
+    words = _docs(spark, d).select(F.explode(X.tokens("text")).alias("word")).groupBy("word")
+    attested = words.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("word")
+    return stage(R.forms_in(stage(attested, "vocabulary")), "forms")
+
+
+def lemma_rules(spark, d):
+    """Suffix rules learned from the vocabulary of the documents, whose own words are the lemmas."""
+    return R.learn_rules(_forms(spark, d))
+
+
+def lemma_learned(spark, d):
+    """Words of each document under their learned lemmas."""
+    forms = _forms(spark, d)
+    rules = stage(R.learn_rules(forms), "lemma-rules")
+    return R.lemma_counts(_docs(spark, d), rules, R.learn_exceptions(forms, rules), "doc_id")
+
+
 def clean_text(spark, d):
     return _docs(spark, d).select("doc_id", X.clean_text("text").alias("text_preprocessed"))
 
@@ -295,6 +315,25 @@ def _grams_sql(*more: str, select: str) -> str:
 TAIL = """case when k < 1 or x <= 0 then 1.0 when x > 10 * k + 1000 then 0.0 else greatest(0.0, 1 - list_sum(list_transform(range(0, cast(x as bigint) + 400),
   lambda i: exp(-x / 2 + (k / 2.0 + i) * ln(x / 2) - lgamma(k / 2.0 + i + 1))))) end"""
 
+# The lemma of a form is a beginning of the word here, so a rule only cuts.
+_FORMS = (
+    rf"tokens as (select doc_id, unnest(regexp_extract_all(lower(text), '[{_WD}]{{2,}}')) as word from documents)",
+    "vocabulary as materialized (select word from tokens group by word having count(*) > 1)",
+    """heads as (select word, word[:k] as head
+      from (select word, unnest(range(greatest(4, length(word) - 3), length(word))) as k from vocabulary))""",
+    """forms as materialized (select v.word, coalesce(h.lemma, v.word) as lemma from vocabulary v left join (
+      select h.word, max_by(head, length(head)) as lemma from heads h join vocabulary k on k.word = head group by all) h
+      on h.word = v.word)""",
+    f"""ends as (select right(word, k) as suffix, cut from (
+      select word, length(word) - length(lemma) as cut,
+             unnest(range(length(word) - length(lemma), least({R.LONGEST}, length(word)) + 1)) as k from forms))""",
+    "counted as (select suffix, cut, count(*) as support from ends group by all)",
+    """best as materialized (select suffix, arg_min(cut, (-support, cut)) as cut, max(support) as support
+      from counted group by all)""",
+    """rules as materialized (select b.* from best b left join best p on b.suffix <> '' and p.suffix = b.suffix[2:]
+      where p.cut is null or p.cut <> b.cut)""",
+)
+
 QUERIES = {
     "word_count": (
         word_count,
@@ -309,6 +348,21 @@ QUERIES = {
     "strip_symbols": (strip_symbols, f"select doc_id, {_symbols('text')} as stripped from documents"),
     "stopwords": (stopwords, f"select doc_id, {_stop('text')} as kept from documents"),
     "lemma_map": (lemma_map, f"select doc_id, {_lemma('text')} as lemmas from documents"),
+    "lemma_rules": (lemma_rules, with_ctes(*_FORMS, select="select suffix, cut, '' as add, support from rules")),
+    "lemma_learned": (
+        # rules and exceptions together give every form of the table its lemma, other words go by the rules
+        lemma_learned,
+        with_ctes(
+            *_FORMS,
+            f"""rare as (select word, unnest(range(0, least({R.LONGEST}, length(word)) + 1)) as k
+              from (select distinct word from tokens anti join forms using (word)))""",
+            """ruled as (select word, arg_max(cut, k) as cut from rare join rules on suffix = right(word, k) group by word)""",
+            """lemmas as (select word, lemma from forms union all
+              select word, case when cut < length(word) then left(word, length(word) - cut) else word end from ruled)""",
+            select="""select doc_id, coalesce(lemma, word) as lemma, count(*) as times
+              from tokens left join lemmas using (word) group by all""",
+        ),
+    ),
     "clean_text": (
         clean_text,
         with_ctes(
