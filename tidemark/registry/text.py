@@ -10,6 +10,7 @@ from tidemark.functions import words as W
 from tidemark.operators import lemma_rules as R
 from tidemark.operators import lexicon as L
 from tidemark.operators import ngrams as N
+from tidemark.operators import tagger as G
 from tidemark.plans.staging import stage
 from tidemark.registry.common import GRAMS, document_places, table, texts, with_ctes
 
@@ -123,6 +124,24 @@ def pos_share(spark, d):
     return _looked_up(spark, d).select("doc_id", *[f"pos_prop_{t}" for t in W.TAGS])
 
 
+def pos_decoded(spark, d):
+    """Tags by best paths; the chain is learned from the look-up's tags of the same documents.
+
+    ``n_same`` counts the words whose tag is that of the look-up.
+    """
+    lexicon = L.default_lexicon(spark)
+    look_up = L.inline_counts(lexicon)["_tags"]
+    names = F.array(*[F.lit(t) for t in W.TAGS])
+    cut = _docs(spark, d).select("doc_id", X.tokens("text").alias("words"))
+    coded = cut.withColumn("tags", F.transform(look_up(F.col("words")), lambda k: F.get(names, k)))
+    tagged = stage(coded, "tagged")
+    model = G.learn(tagged)
+    decoded = tagged.withColumn("found", G.decode(model, "words"))
+    same = F.filter(F.zip_with("tags", "found", lambda a, b: a == b), lambda x: x)
+    counts = [G.times_found("found", t).alias(f"n_{t}") for t in W.TAGS if t != "punct"]
+    return decoded.select("doc_id", F.size("words").alias("n_words"), F.size(same).alias("n_same"), *counts)
+
+
 def tokens(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(X.tokens("text"), " ").alias("tokens"))
 
@@ -422,6 +441,7 @@ QUERIES = {
             )
         ),
     ),
+    "pos_decoded": (pos_decoded, None),
     "tokens": (
         tokens,
         rf"""select doc_id, coalesce(list_aggregate(regexp_extract_all(lower(text), '[{_WD}]{{2,}}'),
