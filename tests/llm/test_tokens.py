@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.corpus import ROWS, by_key, documents
 from tidemark.llm import perfect_hash, token_shards
-from tidemark.llm.pretokens import encoder, vocabulary_path
+from tidemark.llm.pretokens import LONGEST_PIECE, encoder, vocabulary_path
 from tidemark.llm.token_counts import token_counts
 
 TEXTS = [
@@ -31,6 +31,15 @@ def test_pieces_give_the_library_ids(library):
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == ids
 
 
+def test_tables_keep_no_long_pieces(library):
+    own, rng = encoder(vocabulary_path()), random.Random(6)
+    for text in ["".join(rng.choice("abc0'.,") for _ in range(5_000)), "k" * 300 + " " + "=" * 200, "a" * 64 + " " + "a" * 65]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.count(text) == len(ids)
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == ids
+    assert max(map(len, own.counts)) == max(map(len, own.ids)) == LONGEST_PIECE
+
+
 def test_other_tokenizers_go_through_their_libraries(spark):
     docs = documents(spark)
     for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):

@@ -22,6 +22,9 @@ import numpy as np
 #: Pieces in a worker's table; when it is full it becomes the old table, and a new one begins.
 CACHE_PIECES = 500_000
 
+#: Characters of the longest piece that is kept, so that tables are bounded in bytes; longer ones are encoded each time.
+LONGEST_PIECE = 64
+
 _ENCODERS: dict[tuple, object] = {}
 
 #: Fixed value: the split pattern for which pieces may be encoded one by one.
@@ -58,6 +61,8 @@ class _Table(dict):
         value = self.old.get(piece)
         if value is None:
             value = self.make(piece)
+            if len(piece) > LONGEST_PIECE:
+                return value
         if len(self) >= CACHE_PIECES:
             self.old = dict(self)
             self.clear()

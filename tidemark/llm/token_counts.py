@@ -3,7 +3,7 @@
 First pass: every task counts the pieces (strings between white space, lower-cased) of all
 its texts and hands on its most frequent ones, ``KEEP`` rows at most; these summaries, not
 the pieces, are added up, and the ``TABLE_PIECES`` most frequent get their lengths from the
-tokenizer once.  Second pass: that table (of bounded size, so it may be broadcast) fills the
+tokenizer once.  Pieces of over ``LONGEST_PIECE`` characters are in no table.  Second pass: that table (of bounded size, so it may be broadcast) fills the
 first tier of each worker; misses are encoded once per worker and kept in its own cache.
 The table changes the speed only: every count is the tokenizer's.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import keyed_text
-from tidemark.llm.pretokens import encoder
+from tidemark.llm.pretokens import LONGEST_PIECE, encoder
 
 #: Rows which a task hands on, pieces which it counts at once, and entries of the broadcast table.
 KEEP, COUNTED, TABLE_PIECES = 4096, 400_000, 32_768
@@ -35,7 +35,7 @@ def frequent_lengths(docs: DataFrame, path: str, entries: int = TABLE_PIECES) ->
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if own.is_plain(text):
-                    counts.update(text.lower().split())
+                    counts.update([p for p in text.lower().split() if len(p) <= LONGEST_PIECE])
                     if len(counts) > COUNTED:
                         counts = Counter(dict(counts.most_common(COUNTED // 4)))
         top = counts.most_common(KEEP)
