@@ -43,6 +43,16 @@ def test_recall_against_brute_force(spark, folder, block, queries):
     assert all(list(map(lambda r: (-r.score, r.vec_id), rs)) == sorted((-r.score, r.vec_id) for r in rs) for rs in own.values())
 
 
+def test_several_indexes_in_a_partition(spark, folder, monkeypatch):
+    monkeypatch.setattr(neighbours, "TASKS", 8)
+    monkeypatch.setattr(neighbours, "PARTITIONS", 5)
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    wanted = F.col("vec_id") % 10 == 0
+    few = neighbours.nearest(table, wanted, 5, block=50, queries=2).orderBy("query_id", "rank").collect()
+    monkeypatch.undo()
+    assert few == neighbours.nearest(table, wanted, 5).orderBy("query_id", "rank").collect()
+
+
 def test_unusable_rows_copies_and_lengths(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

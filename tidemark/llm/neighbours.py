@@ -8,8 +8,10 @@ its leaves in order of their distance in the projection and verifies their membe
 original vectors.  For a vector at distance d the squared projected distance over d squared is
 chi-square with ``PLANES`` degrees of freedom, so the walk stops once the next leaf lies so far
 off that a vector as near as the query's k-th best would have been met with probability
-``SURE``.  The stated query set meets all blocks, block by block; the best of each block are
-merged by a top-k window, which cuts in each task first.
+``SURE``.  The stated query set meets all blocks, block by block: an index stays in its task, and
+the queries, a small part of the rows, are sent past it in packs.  Fewer than ``TASKS`` blocks are
+copied until there are about so many tasks; more blocks are never copied.  The best of each block
+are merged by a top-k window, which cuts in each task first.
 
 Equal vectors form one class in a block, with its smallest keys, so a vector with any number
 of copies costs one comparison and ties go to the smaller key.  Rows take no part if they are
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import stage
 
 BLOCK, QUERIES, LEAF, PLANES, SURE, SEED = 16_384, 1024, 64, 8, 0.95, 7
+#: Tasks which a search is spread over at least, and partitions it has at most.
+TASKS, PARTITIONS = 32, 20_000
 #: Leaves which a query looks at between two stopping tests.
 WAVE = 16
 
@@ -228,22 +232,35 @@ def nearest(
     index = _packed(rows, n_blocks, lambda ids, m: BlockIndex(ids, m, k).dump(), "block")
     built = stage(index, "vector-index")
     parts = stage(_packed(asked, n_parts, _dump, "part"), "vector-queries")
-    left = built.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    right = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumnRenamed("data", "asked")
-    pairs = left.join(right, ["dim", "block", "part"]).select("data", "asked")
+    lanes = min(n_parts, max(1, TASKS // n_blocks))  # copies of each index
+    indexes = built.withColumn("part", F.lit(-1)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    packs = parts.withColumn("lane", F.col("part") % lanes).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    place = (F.col("block").cast("bigint") * lanes + F.col("lane")) % PARTITIONS
+    together = (
+        indexes.unionByName(packs)
+        .repartitionById(min(n_blocks * lanes, PARTITIONS), place.cast("int"))
+        .sortWithinPartitions("dim", "block", "lane", "part")
+        .select("dim", "block", "part", "data")
+    )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An index is followed by the packs it is asked for."""
+        index, held = None, None
         for batch in batches:
-            for data, asked_data in zip(batch.column(0), batch.column(1), strict=True):
-                with np.load(io.BytesIO(asked_data.as_py())) as stored:
-                    own, wanted = stored["keys"], stored["vectors"]
-                query, found, score = BlockIndex.load(data.as_py()).search(own, wanted, k)
-                names, marks = ["query_id", "mark", "vec_id", "score"], _digest(wanted)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[query]), pa.array(marks[query]), pa.array(found), pa.array(score)], names=names
-                )
-
-    found = pairs.mapInArrow(search, "query_id bigint, mark bigint, vec_id bigint, score double")
+            for dim, block, part, data in zip(*batch.columns, strict=True):
+                home = dim.as_py(), block.as_py()
+                if part.as_py() < 0:
+                    index, held = BlockIndex.load(data.as_py()), home
+                elif home == held:  # else no row of this length lies in the block
+                    with np.load(io.BytesIO(data.as_py())) as stored:
+                        own, wanted = stored["keys"], stored["vectors"]
+                    query, found, score = index.search(own, wanted, k)
+                    names, marks = ["query_id", "mark", "vec_id", "score"], _digest(wanted)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[query]), pa.array(marks[query]), pa.array(found), pa.array(score)], names=names
+                    )
+
+    found = together.mapInArrow(search, "query_id bigint, mark bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
