@@ -101,9 +101,9 @@ def budgets(
     return {leaf: given[leaf] for leaf in tokens}
 
 
-def _order(seed: int) -> Column:
+def _order(seed: int, whole: str = "whole", key: str = "doc_id", h: str = "h") -> Column:
     """Place of an item in the epoch ``whole``: md5 of seed, epoch, key and text hash."""
-    parts = (F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("h"))
+    parts = (F.lit(str(seed)), F.col(whole).cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(h))
     return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 
@@ -149,13 +149,14 @@ def selection(
     tokens: Column | None = None,
     cut: bool = False,
 ) -> DataFrame:
-    """``doc_id, h, leaf, n_tokens, copies, epochs`` of each selected document.
+    """``doc_id, h, leaf, n_tokens, copies, whole, epochs`` of each selected document.
 
     With ``cut`` also ``part``: tokens of the document, all its copies together, which the leaf
     takes from the epoch after these.
 
     ``path``: the names from the root to a leaf.  ``budget``: all tokens of ``docs`` if not
     given.  ``epochs``: in how many epochs, from 0 on, the document stands in the mix.
+    ``whole``: how many epochs its leaf takes as a whole.
     """
     if cut and tokens is not None:
         raise ValueError("documents are cut at words, so words must be counted")
@@ -184,15 +185,19 @@ def selection(
     extra = extra.withColumns({"epochs": F.when(full, 1).otherwise(0), "part": F.when(full, 0).otherwise(F.col("taken"))}).drop("taken")
     whole = planned.filter("whole > 0").withColumns({"epochs": F.col("whole"), "part": F.lit(0).cast("bigint")})
     sums = [F.sum("epochs").cast("int").alias("epochs"), F.sum("part").alias("part")]
-    both = whole.unionByName(extra).groupBy("leaf", "doc_id", "h", "n_tokens", "copies").agg(*sums)
-    return both.select("doc_id", "h", "leaf", "n_tokens", "copies", "epochs", *(["part"] if cut else []))
+    both = whole.unionByName(extra).groupBy("leaf", "doc_id", "h", "n_tokens", "copies", "whole").agg(*sums)
+    return both.select("doc_id", "h", "leaf", "n_tokens", "copies", "whole", "epochs", *(["part"] if cut else []))
+
+
+def _shares(part: str, n_tokens: str) -> Column:
+    """Tokens of each copy of which ``part`` holds some."""
+    copies = F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col(part) / F.col(n_tokens)))
+    return F.transform(copies, lambda c: F.least(F.col(n_tokens), F.col(part) - (c - 1) * F.col(n_tokens)))
 
 
 def _parts(selected: DataFrame) -> DataFrame:
     """A row for each copy of which ``part`` holds some tokens, with their number as ``taken``."""
-    number = F.ceil(F.col("part") / F.col("n_tokens"))
-    each = selected.filter("part > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), number)))
-    return each.withColumn("taken", F.least("n_tokens", F.col("part") - (F.col("copy") - 1) * F.col("n_tokens")))
+    return selected.filter("part > 0").withColumn("taken", F.explode(_shares("part", "n_tokens")))
 
 
 def mix(selected: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
@@ -206,27 +211,38 @@ def mix(selected: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     return rows.unionByName(_parts(selected).select("doc_id", *names, F.col("epochs").alias("epoch"), F.col("taken").alias("n_tokens")))
 
 
-def mixed_documents(docs: DataFrame, selected: DataFrame, path: list[Column], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` which were selected, once for each epoch, and the first words of those taken in part."""
-    if "part" in selected.columns:
-        selected = stage(selected, "selected")
-    names = F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in path))
-    marked = docs.withColumns(
-        {"__h": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), "__leaf": names}
-    )
-    item = [F.col("doc_id").alias("__key"), F.col("h").alias("__h"), F.col("leaf").alias("__leaf")]
+def _ends(selected: DataFrame, seed: int) -> DataFrame:
+    """A row a leaf: whole epochs, place of the last item taken once more, place and tokens of the item taken in part."""
+    placed = selected.withColumn("place", _order(seed))
+    once_more = F.max(F.when(F.col("epochs") > F.col("whole"), F.col("place")))
+    found = [F.max("whole").alias("whole"), once_more.alias("last")]
+    if "part" not in selected.columns:
+        return placed.groupBy("leaf").agg(*found, F.lit(None).cast("string").alias("at"), F.array().cast("array<bigint>").alias("parts"))
+    cut = F.max(F.when(F.col("part") > 0, F.struct("place", "part", "n_tokens"))).alias("cut")  # an item a leaf
+    ends = placed.groupBy("leaf").agg(*found, cut)
+    return ends.select("leaf", "whole", "last", F.col("cut.place").alias("at"), _shares("cut.part", "cut.n_tokens").alias("parts"))
 
-    def found(chosen: DataFrame) -> DataFrame:
-        same = marked[key].eqNullSafe(chosen["__key"]) & (marked["__h"] == chosen["__h"]) & (marked["__leaf"] == chosen["__leaf"])
-        return marked.join(chosen, same).drop(chosen["__h"], chosen["__leaf"])
 
+def mixed_documents(
+    docs: DataFrame, selected: DataFrame, path: list[Column], key: str = "doc_id", text: str = "text", seed: int = 1
+) -> DataFrame:
+    """The rows of ``docs`` which were selected, once for each epoch, and the first words of those taken in part.
+
+    ``seed`` is that of the selection.  An epoch taken in part is a beginning of its order, so where it ends,
+    a row a leaf, tells for each document whether it is in: texts stay where they are, and only the rows equal
+    to the items which are cut, one a leaf, are exchanged.
+    """
+    own = {"leaf": "__leaf", "whole": "__whole", "last": "__last", "at": "__at", "parts": "__parts"}
+    ends = stage(_ends(selected, seed), "mix-ends").withColumnsRenamed(own)  # MAX_LEAVES rows at most
+    names = F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in path))
+    marked = docs.withColumns({"__h": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), "__leaf": names})
+    placed = marked.join(F.broadcast(ends), "__leaf").withColumn("__place", _order(seed, "__whole", key, "__h"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = selected.filter("epochs > 0").select(*item, F.col("epochs").alias("__epochs"))
-    kept = found(chosen).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*columns)
+    once_more = F.coalesce((F.col("__place") <= F.col("__last")).cast("int"), F.lit(0))
+    times = placed.withColumn("__times", F.col("__whole") + once_more).filter("__times > 0")
+    kept = times.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
     if "part" not in selected.columns:
         return kept
-    # an item a leaf; of rows equal in key, text and leaf any
-    parts = _parts(selected).groupBy("doc_id", "h", "leaf").agg(F.collect_list("taken").alias("all"))
-    cut = F.broadcast(parts.select(*item, F.col("all").alias("__all")))
-    ends = found(cut).dropDuplicates([key, "__h", "__leaf"]).withColumn("__taken", F.explode("__all"))
-    return kept.unionByName(ends.withColumn(text, F.udf(first_words, "string")(F.col(text), "__taken")).select(*columns))
+    # of rows equal in key, text and leaf any
+    cut = placed.filter("__place = __at").dropDuplicates(["__leaf", "__place"]).withColumn("__taken", F.explode("__parts"))
+    return kept.unionByName(cut.withColumn(text, F.udf(first_words, "string")(F.col(text), "__taken")).select(*columns))
