@@ -182,3 +182,25 @@ def test_tail_of_many_degrees(dof, want):
     cube = ((x / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof))
     assert chi2_tail([x], [dof])[0] == pytest.approx(0.5 * math.erfc(cube / math.sqrt(2)), abs=1e-6)
     assert chi2_tail([x], [dof])[0] == pytest.approx(want, abs=3e-3)
+
+
+def test_tail_does_not_hang_on_the_values_beside_it():
+    rng = np.random.default_rng(5)
+    dof = rng.integers(1, 300, 3000)
+    x = dof * rng.uniform(0.2, 2.5, 3000)
+    assert chi2_tail(x, dof).tolist() == [chi2_tail(a, b)[0] for a, b in zip(x, dof)]
+
+
+def test_adaptive_walk_takes_as_many_jobs_for_many_blocks_as_for_few(spark):
+    def jobs(n, group):
+        rows, vocab = frames(spark, [make_stream(n, 4, 9, 40)])
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            settings = drift.DriftSettings(cold_start=20, max_rows=60, min_count=3, block_rows=70)
+            log = logged(drift.drift_adaptive(rows, vocab, settings))[0]
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+        assert len(log) == n - 20
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(1400, "twenty blocks") <= jobs(140, "two blocks")

@@ -45,11 +45,13 @@ def chi2_tail(statistic, dof) -> np.ndarray:
     if series.any():
         xi, ai = xs[series], as_[series]
         term = 1.0 / ai
-        total = term.copy()
+        total, going = term.copy(), np.ones(xi.shape, bool)
         for n in range(1, _steps(ai)):
             term = term * xi / (ai + n)
-            total += term
-            if np.all(term <= total * 1e-16):
+            # A value which has settled stays, so that it does not hang on those beside it.
+            np.add(total, term, out=total, where=going)
+            going &= term > total * 1e-16
+            if not going.any():
                 break
         else:
             raise ArithmeticError("the series of the incomplete gamma function did not settle")
@@ -60,7 +62,7 @@ def chi2_tail(statistic, dof) -> np.ndarray:
         b = xi + 1.0 - ai
         c = np.full(xi.shape, 1.0 / _TINY)
         d = 1.0 / np.where(b == 0, _TINY, b)
-        h = d.copy()
+        h, going = d.copy(), np.ones(xi.shape, bool)
         for n in range(1, _steps(ai)):
             factor = -n * (n - ai)
             b = b + 2.0
@@ -69,8 +71,9 @@ def chi2_tail(statistic, dof) -> np.ndarray:
             c = b + factor / c
             c = np.where(np.abs(c) < _TINY, _TINY, c)
             step = d * c
-            h = h * step
-            if np.all(np.abs(step - 1.0) < 4e-16):
+            np.multiply(h, step, out=h, where=going)
+            going &= ~(np.abs(step - 1.0) < 4e-16)
+            if not going.any():
                 break
         else:
             raise ArithmeticError("the continued fraction of the incomplete gamma function did not settle")

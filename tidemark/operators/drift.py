@@ -4,24 +4,26 @@ Input is one row per position with ``hit`` (1 if the prediction was right) and t
 n-gram counts of the row, ``term_ids`` and ``term_counts``, over a vocabulary of bounded size.  After row ``index`` (1-based) with ``index > cold_start`` the two windows are compared:
 accuracy gap, and chi-square p-value of their n-gram totals.
 
-The work is cut into blocks of ``block_rows`` positions, each with a copy of the rows it may
-look back at.  Inside a block the window totals come from prefix sums in numpy.
+With windows of fixed length the work is cut into blocks of ``block_rows`` positions, each with a
+copy of the rows it may look back at; with adaptive ones a shard is walked in order.  The window
+totals of a block, or of a batch of the walk, come from prefix sums in numpy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.special import chi2_tail
 from tidemark.plans.scan import block_of, with_halo, with_position
-from tidemark.plans.staging import stage
 from tidemark.schemas import DRIFT_LOG
 
 
@@ -68,6 +70,9 @@ def number_terms(vocab: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 #: Rows tested at once: to begin with, and at most.
 _SLICE, _LONGEST_SLICE = 8, 1024
 
+#: Rows of a shard which a walk takes in at once.
+PIECE = 4096
+
 
 class _Block:
     """Prefix sums of one block, halo included; positions are those of the stream."""
@@ -112,90 +117,150 @@ def homogeneity(a: np.ndarray, b: np.ndarray, min_count: int) -> tuple[np.ndarra
     return statistic, chi2_tail(statistic, np.maximum(n_terms - 1, 0)), n_terms
 
 
-_STATE = T.StructType(
-    [
-        T.StructField("static_from", T.LongType()),
-        T.StructField("static_to", T.LongType()),
-        T.StructField("length", T.IntegerType()),
-        T.StructField("static_accuracy", T.DoubleType()),
-        T.StructField("static_terms", T.ArrayType(T.LongType())),
-    ]
-)
+def begun(block, settings: DriftSettings) -> dict:
+    """The state before the first test; the first static window lies at the head of the stream."""
+    cold = settings.cold_start
+    return {
+        "static_from": 0,
+        "static_to": cold,
+        "length": cold,
+        "static_accuracy": float(block.accuracy(0, cold)),
+        "static_terms": block.totals(0, cold),
+    }
 
 
-def _walk(block: _Block, state: dict | None, settings: DriftSettings, log: list | None) -> dict | None:
-    """Carry the state over the block's own rows; ``log`` collects frames of tests if given.
+def tested(block, state: dict, index: np.ndarray, move: int, settings: DriftSettings, stop: bool = False) -> dict:
+    """The tests of the rows ``index`` as columns of the log, and the ``state`` moved on.
 
     The length of the next window hangs on the test before it, but it mostly goes on as it
-    went: so a slice of rows is tested at once as if the last move went on, and the slice is
-    kept up to the first row where the move was another one, or which triggers.
+    went: so the rows are tested at once as if the last ``move`` went on, and kept up to the
+    first where the move was another one, or which moves the static window (``stop``: any trigger).
     """
     cold, most = settings.cold_start, settings.max_rows + 1
-    indexes = block.own[block.own >= cold] + 1
+    path = np.clip(state["length"] + move * np.arange(len(index) + 1), cold, most)
+    length, assumed = path[:-1], path[1:]
+    accuracy = block.accuracy(index - length, index)
+    dynamic = block.totals(index - length, index)
+    static = np.broadcast_to(state["static_terms"], dynamic.shape)
+    statistic, p_value, n_terms = homogeneity(static, dynamic, settings.min_count)
+    gap = np.abs(state["static_accuracy"] - accuracy)
+    following = length.copy()
+    if settings.adaptive:
+        following += (p_value >= settings.p_grow) & (length < most)
+        following -= (p_value <= settings.p_shrink) & (length > cold)
+    triggered = ((gap >= settings.gap) & (p_value <= settings.p_drift)) | (index == cold + 1)
+    # A trigger moves the static window, so what follows has to be tested against it.
+    stops = np.flatnonzero((following != assumed) | (triggered & (settings.adaptive or stop)))
+    last = int(stops[0]) if len(stops) else len(index) - 1
+    columns = {
+        "index": index,
+        "acc_static": np.full(len(index), state["static_accuracy"]),
+        "acc_dynamic": accuracy,
+        "gap": gap,
+        "n_terms": n_terms.astype(np.int32),
+        "statistic": statistic,
+        "p_value": p_value,
+        "window_rows": length.astype(np.int32),
+        "next_rows": following.astype(np.int32),
+        "triggered": triggered.astype(np.int32),
+    }
+    state["length"] = int(following[last])
+    if triggered[last] and settings.adaptive:
+        high = int(index[last])
+        low = high - state["length"]
+        state.update(
+            static_from=low,
+            static_to=high,
+            static_accuracy=float(block.accuracy(low, high)),
+            static_terms=block.totals(low, high),
+        )
+    return {name: values[: last + 1] for name, values in columns.items()}
+
+
+def _walk(block, state: dict | None, settings: DriftSettings, log: list | None) -> dict | None:
+    """Carry the state over the block's own rows; ``log`` collects frames of tests if given."""
+    indexes = block.own[block.own >= settings.cold_start] + 1
     if not len(indexes):
         return state
-    if state is None:
-        # The first static window lies at the head of the stream, hence in this block.
-        state = {
-            "static_from": 0,
-            "static_to": cold,
-            "length": cold,
-            "static_accuracy": float(block.accuracy(0, cold)),
-            "static_terms": block.totals(0, cold),
-        }
-    state = dict(state)
+    state = dict(begun(block, settings) if state is None else state)
     done, size, move = 0, _SLICE, 0
     while done < len(indexes):
         index = indexes[done : done + size]
-        path = np.clip(state["length"] + move * np.arange(len(index) + 1), cold, most)
-        length, assumed = path[:-1], path[1:]
-        accuracy = block.accuracy(index - length, index)
-        dynamic = block.totals(index - length, index)
-        static = np.broadcast_to(state["static_terms"], dynamic.shape)
-        statistic, p_value, n_terms = homogeneity(static, dynamic, settings.min_count)
-        gap = np.abs(state["static_accuracy"] - accuracy)
-        following = length.copy()
-        if settings.adaptive:
-            following += (p_value >= settings.p_grow) & (length < most)
-            following -= (p_value <= settings.p_shrink) & (length > cold)
-        triggered = ((gap >= settings.gap) & (p_value <= settings.p_drift)) | (index == cold + 1)
-        # A trigger moves the static window, so what follows has to be tested against it.
-        stops = np.flatnonzero((following != assumed) | (triggered & settings.adaptive))
-        last = int(stops[0]) if len(stops) else len(index) - 1
-        kept = slice(0, last + 1)
+        found = tested(block, state, index, move, settings)
         if log is not None:
-            log.append(
-                pd.DataFrame(
-                    {
-                        "index": index[kept],
-                        "acc_static": state["static_accuracy"],
-                        "acc_dynamic": accuracy[kept],
-                        "gap": gap[kept],
-                        "n_terms": n_terms[kept].astype(np.int32),
-                        "statistic": statistic[kept],
-                        "p_value": p_value[kept],
-                        "window_rows": length[kept].astype(np.int32),
-                        "next_rows": following[kept].astype(np.int32),
-                        "triggered": triggered[kept].astype(np.int32),
-                    }
-                )
-            )
-        state["length"] = int(following[last])
-        move = int(following[last] - length[last])
-        if triggered[last] and settings.adaptive:
-            high = int(index[last])
-            low = high - state["length"]
-            state.update(
-                static_from=low,
-                static_to=high,
-                static_accuracy=float(block.accuracy(low, high)),
-                static_terms=block.totals(low, high),
-            )
-        done += last + 1
-        size = min(2 * size, _LONGEST_SLICE) if last + 1 == len(index) else _SLICE
+            log.append(pd.DataFrame(found))
+        kept = len(found["index"])
+        move = int(found["next_rows"][-1] - found["window_rows"][-1])
+        done += kept
+        size = min(2 * size, _LONGEST_SLICE) if kept == len(index) else _SLICE
     return state
 
 
+class Window:
+    """Prefix sums over the last rows of a shard, as a ``_Block`` has them, carried along a stream.
+
+    Rows come in batches; of those before a batch as many stay as a test may look back at.
+    """
+
+    def __init__(self, width: int, settings: DriftSettings):
+        self.width, self.reach = width, max(settings.max_rows + 1, settings.cold_start)
+        self.first = self.end = 0
+        self.sizes, self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.terms, self.hits = np.zeros((1, width), np.int64), np.zeros(1, np.int64)
+        self.own = np.zeros(0, np.int64)
+
+    def trim(self) -> int:
+        """Leave the rows which later tests may look back at; their number."""
+        kept = min(self.reach, self.end - self.first)
+        drop = self.end - self.first - kept
+        gone = int(self.sizes[:drop].sum())
+        self.sizes, self.ids, self.counts = self.sizes[drop:], self.ids[gone:], self.counts[gone:]
+        self.hits, self.first = self.hits[drop:] - self.hits[drop], self.first + drop
+        self.terms = self.terms[:0]
+        return kept
+
+    def extend(self, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray, hits: np.ndarray | None = None) -> None:
+        """More rows: how many terms each has, the terms and their counts, and whether it was a hit, if known yet."""
+        kept, more = self.trim(), len(sizes)
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        self.terms = np.zeros((kept + more + 1, self.width), np.int64)
+        self.terms[np.repeat(np.arange(1, kept + more + 1), self.sizes), self.ids] = self.counts
+        np.cumsum(self.terms, axis=0, out=self.terms)
+        self.hits = np.concatenate([self.hits, np.zeros(more, np.int64)])
+        self.own = np.arange(self.end, self.end + more)
+        self.end += more
+        if hits is not None:
+            self.mark(self.end - more, hits)
+
+    def mark(self, pos: int, hits: np.ndarray) -> None:
+        """Whether the rows from ``pos`` on were hits."""
+        at = pos - self.first
+        self.hits[at + 1 : at + 1 + len(hits)] = self.hits[at] + np.cumsum(hits)
+
+    def totals(self, low, high) -> np.ndarray:
+        return self.terms[high - self.first] - self.terms[low - self.first]
+
+    def accuracy(self, low, high):
+        return (self.hits[high - self.first] - self.hits[low - self.first]) / (high - low)
+
+
+def term_lists(ids: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of terms and counts as ``Window.extend`` takes them."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    flat = ids.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False)
+    return sizes.astype(np.int64), *flat
+
+
+def shard_pieces(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A batch sorted by shard in pieces of one shard and at most ``most`` rows."""
+    shards = batch.column("shard").to_numpy(zero_copy_only=False)
+    bounds = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)]
+    for low, high in zip(bounds, bounds[1:]):
+        for at in range(low, high, most):
+            yield int(shards[at]), batch.slice(at, min(most, high - at))
+
+
 def _log_frame(parts: list[pd.DataFrame], shard) -> pd.DataFrame:
     if parts:
         out = pd.concat(parts, ignore_index=True)
@@ -291,105 +356,32 @@ def drift_fixed(rows: DataFrame, vocab: DataFrame, settings: DriftSettings = Dri
     return _paired(blocks, places.join(static, "shard")).applyInPandas(test, DRIFT_LOG)
 
 
-def _state_frame(state: dict | None, shard, block) -> pd.DataFrame:
-    if state is None:
-        names = ["shard", "block", *[f.name for f in _STATE.fields]]
-        return pd.DataFrame({c: pd.Series(dtype=object) for c in names})
-    return pd.DataFrame(
-        {
-            "shard": [shard],
-            "block": [block],
-            **{k: [list(v) if k == "static_terms" else v] for k, v in state.items()},
-        }
-    )
-
-
-def _read_state(frame: pd.DataFrame) -> dict | None:
-    if frame.empty or pd.isna(frame["length"].iloc[0]):
-        return None
-    row = frame.iloc[0]
-    return {
-        "static_from": int(row["static_from"]),
-        "static_to": int(row["static_to"]),
-        "length": int(row["length"]),
-        "static_accuracy": float(row["static_accuracy"]),
-        "static_terms": np.asarray(row["static_terms"], dtype=np.int64),
-    }
-
-
 def drift_adaptive(rows: DataFrame, vocab: DataFrame, settings: DriftSettings = DriftSettings()) -> DataFrame:
     """The same test with a dynamic window which grows and shrinks, and a static window which
-    moves to the last rows at each trigger."""
-    blocks = _blocks(rows, settings).join(_widths(vocab), "shard", "left")
-    return _chained(blocks, settings)
+    moves to the last rows at each trigger.
 
-
-def _chained(blocks: DataFrame, settings: DriftSettings) -> DataFrame:
-    """The log of all blocks.
-
-    Length and static window depend on every earlier test, so the tests of a shard form a
-    chain.  To run a long shard on more than one task, each block starts from a guess: first
-    from the state after block 1, then from the state its predecessor ended with.  Blocks
-    whose starting state changed are run again; when none changed, every block has started
-    from the true state (block 1 has no guess, and the rest follows by induction).  The loop
-    passes one number to the driver per round; states live in a staged table.
+    Length and static window depend on every earlier test, so the tests of a shard form a chain.
+    A task walks its shards in order, batch by batch, and holds the rows a test may look back at.
     """
-    blocks = stage(blocks, "drift-blocks")
-    state_schema = T.StructType(
-        [T.StructField("shard", T.LongType()), T.StructField("block", T.LongType()), *_STATE.fields]
-    )
-    names = state_schema.names
-
-    def carry(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _state_frame(None, *key)
-        width = left["width"].iloc[0]
-        block = _Block(left, int(width) if pd.notna(width) else 0)
-        return _state_frame(_walk(block, _read_state(right), settings, None), *key)
-
-    def tests(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        log: list = []
-        if not (left.empty or right.empty):
-            width = left["width"].iloc[0]
-            block = _Block(left, int(width) if pd.notna(width) else 0)
-            _walk(block, _read_state(right), settings, log)
-        return _log_frame(log, key[0])
-
-    def ends(starts: DataFrame) -> DataFrame:
-        wanted = blocks.join(starts.select("shard", "block"), ["shard", "block"], "left_semi")
-        return _paired(wanted, starts).applyInPandas(carry, state_schema)
-
-    places = blocks.where(~F.col("halo")).select("shard", "block").distinct()
-    given = [F.lit(None).cast(f.dataType).alias(f.name) for f in _STATE.fields]
-    heads = places.where(F.col("block") == 1).select("shard", "block", *given)
-    finished = stage(ends(heads), "drift-ends")
-    later = places.where(F.col("block") > 1)
-    after_first = finished.drop("block")
-    starts = stage(
-        later.join(after_first, "shard").select(*names).unionByName(heads.select(*names)), "drift-starts"
-    )
-    dirty = starts.where(F.col("block") > 1)
-    while dirty.limit(1).count():
-        fresh = ends(dirty)
-        unchanged = finished.join(dirty.select("shard", "block"), ["shard", "block"], "left_anti")
-        finished = stage(unchanged.select(*names).unionByName(fresh.select(*names)), "drift-ends")
-        proper = (
-            finished.withColumn("block", F.col("block") + 1)
-            .join(later, ["shard", "block"], "left_semi")
-            .select(*names)
-        )
-        equal = (F.col("a.shard") == F.col("b.shard")) & (F.col("a.block") == F.col("b.block"))
-        for f in _STATE.fields:
-            equal = equal & F.col(f"a.{f.name}").eqNullSafe(F.col(f"b.{f.name}"))
-        changed = proper.alias("a").join(starts.alias("b"), equal, "left_anti")
-        dirty = stage(changed, "drift-changed")
-        starts = stage(
-            starts.join(dirty.select("shard", "block"), ["shard", "block"], "left_anti")
-            .select(*names)
-            .unionByName(dirty.select(*names)),
-            "drift-starts",
-        )
-    return _paired(blocks, starts).applyInPandas(tests, DRIFT_LOG)
+    slim = rows.select("shard", "pos", F.col("hit").cast("int").alias("hit"), "term_ids", "term_counts")
+    widths = {r["shard"]: r["width"] for r in _widths(vocab).collect()}  # a number a shard
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, window, state = None, None, None
+        for batch in batches:
+            log: list[pd.DataFrame] = []
+            for shard, piece in shard_pieces(batch):
+                if window is None or shard != current:
+                    current, window, state = shard, Window(widths.get(shard, 0), settings), None
+                own: list[pd.DataFrame] = []
+                hits = piece.column("hit").to_numpy(zero_copy_only=False)
+                window.extend(*term_lists(piece.column("term_ids"), piece.column("term_counts")), hits)
+                state = _walk(window, state, settings, own)
+                log += [_log_frame(own, shard)] if own else []
+            if log:
+                yield pa.RecordBatch.from_pandas(pd.concat(log), to_arrow_schema(DRIFT_LOG), preserve_index=False)
+
+    return slim.repartition("shard").sortWithinPartitions("shard", "pos").mapInArrow(walk, DRIFT_LOG)
 
 
 def model_epochs(log: DataFrame) -> DataFrame:
@@ -414,10 +406,15 @@ def model_epochs(log: DataFrame) -> DataFrame:
 
 __all__ = [
     "DriftSettings",
+    "Window",
+    "begun",
     "drift_adaptive",
     "drift_fixed",
     "homogeneity",
     "model_epochs",
     "number_terms",
+    "shard_pieces",
     "sparse_terms",
+    "term_lists",
+    "tested",
 ]
