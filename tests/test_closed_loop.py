@@ -119,3 +119,24 @@ def test_bad_settings_are_refused(spark):
     with pytest.raises(ValueError):
         closed_loop.walk(rows, vocab, ["a"], [Candidate(("a",))], compare_to="other")
     assert closed_loop.walk(rows, vocab, ["a"], [Candidate(("a",))]).count() == 0
+
+
+def walked_in(piece, rows, settings):
+    grid = closed_loop.CandidateGrid(CANDIDATES, FEATURES)
+    walk, out = closed_loop.ShardWalk(0, 4, 3, grid, settings, False), []
+    for low in range(0, len(rows), piece):
+        own = rows[low : low + piece]
+        terms = np.full(len(own), 4), np.tile(np.arange(4), len(own)), np.concatenate([r[5] for r in own])
+        x, y = np.array([r[2:5] for r in own]), np.array([int(r[1] == "fake") for r in own])
+        out += walk.take(np.array([r[0] for r in own]), x, y, terms).to_pylist()
+    return out
+
+
+def test_pieces_do_not_matter_and_rows_are_tested_many_at_once(monkeypatch):
+    calls, real = [], drift.homogeneity
+    monkeypatch.setattr(drift, "homogeneity", lambda a, b, least: (calls.append(len(a)), real(a, b, least))[1])
+    rows = make(2000, 4)
+    whole = walked_in(2000, rows, SETTINGS)
+    assert len(calls) < 1980 / 2 < sum(r["index"] is not None for r in whole) == 1980
+    assert sum(r["retrained"] for r in whole) > 1
+    assert walked_in(1, rows, SETTINGS) == walked_in(700, rows, SETTINGS) == whole

@@ -2,8 +2,9 @@
 
 What a row's prediction is depends on every trigger before it, so a shard is a chain.  The rows
 are dealt by shard and sorted by position by the engine (which spills); a task then reads them
-batch by batch and holds the last ``max_rows + 1`` rows, the window totals and the learner's
-sums, and nothing that grows with the shard.  All shards walk at the same time, and nothing
+batch by batch and holds the last ``max_rows + 1`` rows, prefix sums over them and over a piece of
+a batch, and the learner's sums, and nothing that grows with the shard.  Rows up to the next new
+model are predicted and tested at once in numpy.  All shards walk at the same time, and nothing
 passes through the driver.  The learner is Gaussian naive Bayes on features which vary (the
 running variance selector); its state is a count, mean and sum of squares per class, so a
 retrain is the window's own sums.
@@ -15,18 +16,27 @@ window, unless it is the candidate in force (``compare_to="initial"``: the first
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.functions.labels import encode_label
 from tidemark.operators.bayes import Candidate
-from tidemark.operators.drift import DriftSettings, homogeneity
+from tidemark.operators.drift import (
+    _LONGEST_SLICE,
+    _SLICE,
+    DriftSettings,
+    Window,
+    begun,
+    shard_pieces,
+    term_lists,
+    tested,
+)
 from tidemark.schemas import DRIFT_LOG, LABELS
 
 #: One row per stream row; the columns of the drift log are null where no test was made.
@@ -44,6 +54,10 @@ WALK = T.StructType(
 )
 
 
+#: Rows which are predicted at once: to begin with, and at most; numbers that a step of them may take.
+_AHEAD, _FARTHEST, _NUMBERS = 32, 1024, 1 << 19
+
+
 class _Sums:
     """Count, mean and sum of squared gaps per class, and the range of each feature."""
 
@@ -52,25 +66,50 @@ class _Sums:
         self.mean, self.gaps = np.zeros((2, width)), np.zeros((2, width))
         self.low, self.high = np.full(width, np.inf), np.full(width, -np.inf)
 
-    def learn(self, x: np.ndarray, y: int) -> None:
-        self.n[y] += 1
-        gap = x - self.mean[y]
-        self.mean[y] += gap / self.n[y]
-        self.gaps[y] += gap * (x - self.mean[y])
-        np.minimum(self.low, x, out=self.low)
-        np.maximum(self.high, x, out=self.high)
-
-    def terms(self, x: np.ndarray, floors: np.ndarray) -> np.ndarray:
-        """What each feature adds to the score of a class, for each floor; nothing while it has not varied."""
-        var = np.maximum((self.gaps / self.n[:, None])[None], floors[:, None, None])
-        gap = x - self.mean
-        return np.where(self.low < self.high, -0.5 * np.log(var) - gap * gap / (2 * var), 0.0)
 
-    def predict(self, x: np.ndarray, mask: np.ndarray, floor: float) -> int:
-        if not self.n.all():
-            return 0
-        nofake, fake = np.log(self.n) + (self.terms(x, np.array([floor]))[0] * mask).sum(1)
-        return int(fake > nofake)
+class _Learned:
+    """The sums before each of some rows, and after the last: rows are learned one by one, then
+    whatever looks at the sums does so for all rows at once."""
+
+    def __init__(self, sums: _Sums, x: np.ndarray, y: np.ndarray):
+        self.x = x
+        of = np.zeros((len(y) + 1, 2), np.int64)
+        of[np.arange(1, len(y) + 1), y] = 1
+        of = of.cumsum(axis=0)
+        self.n = sums.n + of
+        self.low = np.minimum.accumulate(np.concatenate([sums.low[None], x]), axis=0)
+        self.high = np.maximum.accumulate(np.concatenate([sums.high[None], x]), axis=0)
+        self.mean, self.gaps = (np.empty((len(y) + 1, 2, x.shape[1])) for _ in range(2))
+        for label in (0, 1):
+            own, n = x[y == label], sums.n[label]
+            mean, gaps = (np.empty((len(own) + 1, x.shape[1])) for _ in range(2))
+            mean[0], gaps[0] = sums.mean[label], sums.gaps[label]
+            for k, row in enumerate(own):
+                n += 1
+                gap = row - mean[k]
+                np.add(mean[k], gap / n, out=mean[k + 1])
+                np.add(gaps[k], gap * (row - mean[k + 1]), out=gaps[k + 1])
+            self.mean[:, label], self.gaps[:, label] = mean[of[:, label]], gaps[of[:, label]]
+
+    def after(self, rows: int) -> _Sums:
+        """The sums once so many rows are learned."""
+        sums = _Sums(self.x.shape[1])
+        for name in ("n", "mean", "gaps", "low", "high"):
+            setattr(sums, name, getattr(self, name)[rows].copy())
+        return sums
+
+    def terms(self, floors: np.ndarray) -> np.ndarray:
+        """What each feature adds to the score of a class, by row and floor; nothing while it has not varied."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            var = np.maximum((self.gaps[:-1] / self.n[:-1, :, None])[:, None], floors[:, None, None])
+            gap = (self.x[:, None] - self.mean[:-1])[:, None]
+            varied = (self.low[:-1] < self.high[:-1])[:, None, None]
+            return np.where(varied, -0.5 * np.log(var) - gap * gap / (2 * var), 0.0)
+
+    def predict(self, mask: np.ndarray, floor: float) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            score = np.log(self.n[:-1]) + (self.terms(np.array([floor]))[:, 0] * mask).sum(axis=2)
+        return ((score[:, 1] > score[:, 0]) & self.n[:-1].all(axis=1)).astype(np.int64)
 
 
 class CandidateGrid:
@@ -81,17 +120,23 @@ class CandidateGrid:
         self.floors = [c.var_floor for c in candidates]
         self.distinct, self.floor_of = np.unique(self.floors, return_inverse=True)
 
-    def replay(self, rows: Sequence[tuple], width: int) -> tuple[int, _Sums]:
-        """The candidate with most hits on ``rows``, and the sums after learning them all."""
-        sums, hits = _Sums(width), np.zeros(len(self.floors), np.int64)
-        for x, y, _, _ in rows:
-            if sums.n.all():
-                score = np.einsum("cw,clw->cl", self.masks, sums.terms(x, self.distinct)[self.floor_of])
-                guess = (np.log(sums.n[1]) + score[:, 1] > np.log(sums.n[0]) + score[:, 0]).astype(int)
-            else:
-                guess = np.zeros(len(self.floors), int)
-            hits += guess == y
-            sums.learn(x, y)
+    def replay(self, x: np.ndarray, y: np.ndarray) -> tuple[int, _Sums]:
+        """The candidate with most hits on the rows, and the sums after learning them all."""
+        sums, hits = _Sums(x.shape[1]), np.zeros(len(self.floors), np.int64)
+        step = max(1, min(_FARTHEST, _NUMBERS // (2 * x.shape[1] * len(self.distinct))))
+        for low in range(0, len(y), step):
+            own = y[low : low + step]
+            learned = _Learned(sums, x[low : low + step], own)
+            terms = learned.terms(self.distinct)
+            with np.errstate(divide="ignore"):
+                logs = np.log(learned.n)
+            for k, both in enumerate(learned.n[:-1].all(axis=1)):
+                if both:
+                    score = np.einsum("cw,clw->cl", self.masks, terms[k][self.floor_of])
+                    hits += (logs[k, 1] + score[:, 1] > logs[k, 0] + score[:, 0]) == own[k]
+                else:
+                    hits += own[k] == 0
+            sums = learned.after(len(own))
         return int(hits.argmax()), sums
 
 
@@ -100,70 +145,85 @@ class ShardWalk:
 
     def __init__(self, shard: int, width: int, n_features: int, grid: CandidateGrid, settings: DriftSettings, to_initial: bool):
         self.shard, self.grid, self.settings, self.to_initial = shard, grid, settings, to_initial
-        self.width, self.n_features = width, n_features
-        self.sums, self.current = _Sums(n_features), 0
-        self.recent: deque = deque(maxlen=settings.max_rows + 2)
-        self.seen, self.length = 0, settings.cold_start
-        self.dynamic, self.hits, self.first = np.zeros(width, np.int64), 0, 0  # rows from ``first`` on
-        self.static, self.static_accuracy = None, 0.0
-
-    def _count(self, row: tuple, sign: int) -> None:
-        _, _, terms, hit = row
-        if terms is not None:
-            self.dynamic[terms[0]] += sign * terms[1]
-        self.hits += sign * hit
-
-    def step(self, pos: int, x: np.ndarray, y: int, terms) -> tuple:
+        self.sums, self.current, self.seen = _Sums(n_features), 0, 0
+        self.window, self.state = Window(width, settings), None
+        #: Features and labels of the rows in the window.
+        self.x, self.y = np.zeros((0, n_features)), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Leave what later rows need."""
+        kept = self.window.trim()
+        self.x, self.y = self.x[len(self.y) - kept :], self.y[len(self.y) - kept :]
+
+    def take(self, pos: np.ndarray, x: np.ndarray, y: np.ndarray, terms: Sequence[np.ndarray]) -> pa.RecordBatch:
+        """Rows of the shard in order, ``terms`` as ``Window.extend`` takes them; their ``WALK`` rows.
+
+        What a row's prediction is hangs on the triggers before it, but few rows bring a new model: rows
+        are predicted and tested at once as if none did, and kept up to the first which does.
+        """
+        self.trim()
+        self.x, self.y = np.concatenate([self.x, x]), np.concatenate([self.y, y])
+        self.window.extend(*terms)
+        low, rows = self.seen, len(y)
+        guess, candidate, from_ = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.full(rows, -1)
+        farthest = max(1, min(_FARTHEST, _NUMBERS // (2 * max(1, x.shape[1]))))
+        at, size, log = 0, min(_AHEAD, farthest), []
+        while at < rows:
+            upto = min(rows, at + size)
+            learned = _Learned(self.sums, x[at:upto], y[at:upto])
+            guess[at:upto] = learned.predict(self.grid.masks[self.current], self.grid.floors[self.current])
+            self.window.mark(low + at, guess[at:upto] == y[at:upto])
+            candidate[at:upto] = self.current
+            renewed = self._test(low + at, low + upto, log)
+            if renewed is None:
+                self.sums, at, size = learned.after(upto - at), upto, min(2 * size, farthest)
+                continue
+            index, self.current, self.sums = renewed
+            at, size = index - low, min(_AHEAD, farthest)
+            candidate[at - 1], from_[at - 1] = self.current, index - self.state["length"]
+        self.seen += rows
+        return self._rows(pos, y, guess, candidate, from_, log)
+
+    def _test(self, low: int, high: int, log: list[dict]) -> tuple[int, int, _Sums] | None:
+        """Test the rows of these positions up to one which brings a new model: its index, candidate and sums."""
         s = self.settings
-        guess = self.sums.predict(x, self.grid.masks[self.current], self.grid.floors[self.current])
-        row = (x, y, terms, int(guess == y))
-        if self.seen >= s.cold_start and self.static is None:
-            self.static, self.static_accuracy = self.dynamic.copy(), self.hits / s.cold_start
-        self.recent.append(row)
-        self.seen += 1
-        self._count(row, 1)
-        index, used = self.seen, self.length
-        if index > used:
-            self._drop(index)  # one row in, one out, unless the window has grown
-        head = (self.shard, pos, LABELS[y], LABELS[guess])
-        if index <= s.cold_start:
-            self.sums.learn(x, y)
-            return (*head, *[None] * 10, 0, self.current, None)
-        accuracy = self.hits / used
-        statistic, p_value, n_terms = (v[0] for v in homogeneity(self.static[None], self.dynamic[None], s.min_count))
-        gap = abs(self.static_accuracy - accuracy)
-        if s.adaptive:
-            if p_value >= s.p_grow and used < s.max_rows + 1:
-                self.length += 1
-            elif p_value <= s.p_shrink and used > s.cold_start:
-                self.length -= 1
-        triggered = (gap >= s.gap and p_value <= s.p_drift) or index == s.cold_start + 1
-        tested = (
-            index, self.static_accuracy, accuracy, gap, int(n_terms), float(statistic), float(p_value),
-            used, self.length, int(triggered),
-        )
-        retrained, train_from = 0, None
-        if triggered:
-            window = [self.recent[-k] for k in range(self.length, 0, -1)]
-            if s.adaptive:
-                self.static = np.zeros(self.width, np.int64)
-                for _, _, t, _ in window:
-                    if t is not None:
-                        self.static[t[0]] += t[1]
-                self.static_accuracy = sum(r[3] for r in window) / len(window)
-            best, sums = self.grid.replay(window, self.n_features)
-            if best != (0 if self.to_initial else self.current):
-                self.current, self.sums = best, sums
-                retrained, train_from = 1, index - self.length
-        if not retrained:
-            self.sums.learn(x, y)
-        return (*head, *tested, retrained, self.current, train_from)
-
-    def _drop(self, index: int) -> None:
-        """Make the totals those of the last ``self.length`` rows."""
-        while index - self.first > self.length:
-            self._count(self.recent[self.first - index], -1)
-            self.first += 1
+        index, move, size = max(low, s.cold_start) + 1, 0, _SLICE
+        while index <= high:
+            if self.state is None:
+                self.state = begun(self.window, s)
+            wanted = np.arange(index, min(index + size, high + 1))
+            found = tested(self.window, self.state, wanted, move, s, stop=True)
+            log.append(found)
+            kept, last = len(found["index"]), int(found["index"][-1])
+            move = int(found["next_rows"][-1] - found["window_rows"][-1])
+            size = min(2 * size, _LONGEST_SLICE) if kept == len(wanted) else _SLICE
+            index = last + 1
+            if found["triggered"][-1]:
+                own = slice(last - self.state["length"] - self.window.first, last - self.window.first)
+                best, sums = self.grid.replay(self.x[own], self.y[own])
+                if best != (0 if self.to_initial else self.current):
+                    return last, best, sums
+        return None
+
+    def _rows(self, pos, y, guess, candidate, from_, log: list[dict]) -> pa.RecordBatch:
+        labels = np.array(LABELS, dtype=object)
+        rows, tests = len(y), sum(len(t["index"]) for t in log)
+        columns = {
+            "shard": np.full(rows, self.shard), "pos": pos, "y": labels[y], "y_pred": labels[guess],
+            "retrained": (from_ >= 0).astype(np.int32), "candidate": candidate,
+        }
+        untested = np.arange(rows) < rows - tests  # the cold start
+        arrays = []
+        for f in WALK.fields:
+            kind = to_arrow_type(f.dataType)
+            if f.name in columns:
+                arrays.append(pa.array(columns[f.name], kind))
+            elif f.name == "train_from":
+                arrays.append(pa.array(from_, kind, mask=from_ < 0))
+            else:
+                values = np.concatenate([np.zeros(rows - tests), *(t[f.name] for t in log)])
+                arrays.append(pa.array(values, pa.float64(), mask=untested, from_pandas=True).cast(kind))
+        return pa.RecordBatch.from_arrays(arrays, names=WALK.names)
 
 
 def walk(
@@ -193,31 +253,19 @@ def walk(
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(n) for f, n in zip(features, names, strict=True)],
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         for batch in batches:
-            numbers, made = batch[names].to_numpy(float), []
-            parts = zip(batch["shard"], batch["pos"], batch["_y"], batch["term_ids"], batch["term_counts"], numbers, strict=True)
-            for shard, pos, y, ids, counts, x in parts:
+            for shard, piece in shard_pieces(batch):
                 if state is None or state.shard != shard:
-                    state = ShardWalk(int(shard), width, len(features), grid, settings, compare_to == "initial")
-                terms = None if ids is None or not len(ids) else (np.asarray(ids), np.asarray(counts))
-                made.append(state.step(int(pos), x, int(y), terms))
-            yield as_frame(made)
+                    state = ShardWalk(shard, width, len(features), grid, settings, compare_to == "initial")
+                x = np.stack([piece.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+                pos, y = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "_y"))
+                yield state.take(pos, x, y.astype(np.int64), term_lists(piece.column("term_ids"), piece.column("term_counts")))
 
     # one exchange by shard; within a task the rows of a shard follow each other in order
     placed = slim.repartition("shard").sortWithinPartitions("shard", "pos")
-    return placed.mapInPandas(run, WALK)
-
-
-def as_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=WALK.names)
-    for f in WALK.fields:
-        if isinstance(f.dataType, (T.IntegerType, T.LongType)):
-            frame[f.name] = frame[f.name].astype("Int64")
-        elif isinstance(f.dataType, T.DoubleType):
-            frame[f.name] = frame[f.name].astype("Float64")
-    return frame
+    return placed.mapInArrow(run, WALK)
 
 
 def predictions(walked: DataFrame) -> DataFrame:

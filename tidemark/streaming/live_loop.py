@@ -21,20 +21,22 @@ out.  Rows which wait for a position that never comes stay in the state.
 from __future__ import annotations
 
 import pickle
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.labels import encode_label
 from tidemark.operators.bayes import Candidate
-from tidemark.operators.closed_loop import WALK, ShardWalk, as_frame, CandidateGrid
-from tidemark.operators.drift import DriftSettings
+from tidemark.operators.closed_loop import WALK, CandidateGrid, ShardWalk
+from tidemark.operators.drift import PIECE, DriftSettings, Window
 from tidemark.operators.ngrams import MAX_DF, MIN_DF
 from tidemark.plans.staging import new_path
 from tidemark.schemas import LABELS
@@ -50,6 +52,18 @@ def fitted_terms(held: Sequence[dict[str, int]], min_df: float, max_df: float) -
     return {t: i for i, t in enumerate(kept)}
 
 
+#: Columns with nulls keep their types.
+_NULLABLE = {pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.float64(): pd.Float64Dtype()}
+
+
+def listed(terms: Sequence[tuple | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms and counts of each row, or nothing, as ``Window.extend`` takes them."""
+    own = [t for t in terms if t is not None]
+    sizes = np.array([0 if t is None else len(t[0]) for t in terms], np.int64)
+    none = np.zeros(0, np.int64)
+    return sizes, np.concatenate([none, *(t[0] for t in own)]).astype(np.int64), np.concatenate([none, *(t[1] for t in own)])
+
+
 class LiveLoop(StatefulProcessor):
     """One shard: rows in order through ``ShardWalk``, those ahead of their turn wait."""
 
@@ -73,20 +87,16 @@ class LiveLoop(StatefulProcessor):
         return walk, held, vocabulary, ahead
 
     def _save(self, walk: ShardWalk, held: list, vocabulary: dict | None, ahead: int) -> None:
+        walk.trim()
         fields = {k: v for k, v in walk.__dict__.items() if k not in ("grid", "settings")}
         self.kept.update((pickle.dumps((fields, held, vocabulary, ahead), protocol=5),))
 
     def _fit(self, walk: ShardWalk, held: list) -> dict[str, int]:
         """The vocabulary, once the cold start is over; the rows before it get their numbers."""
         vocabulary = fitted_terms(held, self.min_df, self.max_df)
-        walk.width, walk.dynamic = len(vocabulary), np.zeros(len(vocabulary), np.int64)
-        rows = []
-        for (x, y, _, hit), counts in zip(walk.recent, held):
-            terms = self._numbered(counts, vocabulary)
-            if terms is not None:
-                walk.dynamic[terms[0]] += terms[1]
-            rows.append((x, y, terms, hit))
-        walk.recent = deque(rows, maxlen=walk.recent.maxlen)
+        hits = np.diff(walk.window.hits)
+        walk.window = Window(len(vocabulary), self.settings)
+        walk.window.extend(*listed([self._numbered(counts, vocabulary) for counts in held]), hits)
         return vocabulary
 
     @staticmethod
@@ -104,44 +114,61 @@ class LiveLoop(StatefulProcessor):
             numbers = frame[names].to_numpy(float)
             terms = frame["grams"] if self.width is None else zip(frame["ids"], frame["counts"])
             given += zip(frame["place"].tolist(), frame["y"].tolist(), terms, numbers)
-        made, late = [], []
+        made, late, ready = [], [], []
 
-        def step(pos, y, terms, x) -> None:
+        def take(part: list) -> None:
+            """Rows whose turn it is, the cold start apart where the vocabulary is made of it."""
             nonlocal vocabulary
+            if not part:
+                return
             if self.width is not None:
-                ids, counts = terms
-                own = None if ids is None or not len(ids) else (np.asarray(ids), np.asarray(counts))
+                own = [None if ids is None or not len(ids) else (ids, counts) for _, _, (ids, counts), _ in part]
             else:
-                counted = dict(Counter(terms if terms is not None else ()))
-                own = None if vocabulary is None else self._numbered(counted, vocabulary)
-            made.append(walk.step(pos, x, y, own))
-            if self.width is None and vocabulary is None:
-                held.append(counted)
-                if walk.seen == self.settings.cold_start:
-                    vocabulary = self._fit(walk, held)
-                    held.clear()
+                counted = [dict(Counter(terms if terms is not None else ())) for _, _, terms, _ in part]
+                if vocabulary is None:
+                    own = [None] * len(part)
+                    held.extend(counted)
+                else:
+                    own = [self._numbered(c, vocabulary) for c in counted]
+            pos, y, x = np.array([r[0] for r in part]), np.array([r[1] for r in part], np.int64), np.array([r[3] for r in part])
+            made.append(walk.take(pos, x.reshape(len(part), len(self.features)), y, listed(own)))
+            if self.width is None and vocabulary is None and walk.seen == self.settings.cold_start:
+                vocabulary = self._fit(walk, held)
+                held.clear()
+
+        def take_ready() -> None:
+            cut = max(0, self.settings.cold_start - walk.seen) if self.width is None and vocabulary is None else 0
+            take(ready[:cut])
+            take(ready[cut:])
+            ready.clear()
 
         for pos, y, terms, x in sorted(given, key=lambda r: r[0]):
-            if pos < walk.seen or (pos > walk.seen and ahead and self.waiting.containsKey((pos,))):
+            turn = walk.seen + len(ready)
+            if pos < turn or (pos > turn and ahead and self.waiting.containsKey((pos,))):
                 late.append((walk.shard, pos, LABELS[y]))
                 continue
-            if pos > walk.seen:
+            if pos > turn:
                 self.waiting.updateValue((pos,), (pickle.dumps((y, terms, x), protocol=5),))
                 ahead += 1
                 continue
-            step(pos, y, terms, x)
-            while ahead and self.waiting.containsKey((walk.seen,)):
-                here = walk.seen
-                y, terms, x = pickle.loads(self.waiting.getValue((here,))[0])
+            ready.append((pos, y, terms, x))
+            while ahead and self.waiting.containsKey((here := walk.seen + len(ready),)):
+                ready.append((here, *pickle.loads(self.waiting.getValue((here,))[0])))
                 self.waiting.removeKey((here,))
                 ahead -= 1
-                step(here, y, terms, x)
+                if len(ready) >= PIECE:
+                    take_ready()
+            if len(ready) >= PIECE:
+                take_ready()
+        take_ready()
         self._save(walk, held, vocabulary, ahead)
-        if made:
-            yield as_frame(made).assign(late=pd.array([0] * len(made), dtype="Int32"))
+        for batch in made:
+            own = batch.to_pandas(types_mapper=_NULLABLE.get)
+            yield own.assign(late=pd.array([0] * len(own), dtype="Int32"))
         if late:
-            empty = [(*r, *[None] * (len(WALK.names) - 3)) for r in late]
-            yield as_frame(empty).assign(late=pd.array([1] * len(late), dtype="Int32"))
+            empty = pa.Table.from_pylist([dict(zip(WALK.names, r)) for r in late], schema=to_arrow_schema(WALK))
+            own = empty.to_pandas(types_mapper=_NULLABLE.get)
+            yield own.assign(late=pd.array([1] * len(late), dtype="Int32"))
 
     def close(self) -> None:
         pass
