@@ -11,6 +11,7 @@ from tidemark.functions.dates import date_to_epoch, date_year, year_week
 from tidemark.functions.labels import decode_label, default_prediction, encode_label
 from tidemark.functions.words import ENGLISH_STOP_WORDS, STOP_WORDS
 from tidemark.operators import lexicon as L
+from tidemark.operators import ngrams as N
 from tidemark.plans import staging
 from tidemark.plans.pipeline import (
     balanced_shards,
@@ -208,3 +209,13 @@ def test_text_features_have_all_measures(spark):
     assert set(TEXT_MEASURES) <= set(made.columns)
     assert all(made.first()[m] is not None for m in TEXT_MEASURES)
     assert made.select(F.col("char_counts")).first()[0] == len("A good place. Not bad!")
+
+
+def test_terms_are_counted_without_being_shuffled(spark):
+    rows = [(1, "a1 b1 a1 b1"), (1, "b1 a1"), (None, "c1"), (2, ""), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = N.term_rows(df, ["doc_id"])
+    exchanges = [x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("term" in x for x in exchanges)
+    got = {(r["doc_id"], r["term"]): r["cnt"] for r in made.collect()}
+    assert got == {(1, "a1"): 3, (1, "b1"): 3, (1, "a1 b1"): 2, (1, "b1 a1"): 2, (None, "c1"): 1}

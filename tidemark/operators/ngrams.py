@@ -16,6 +16,9 @@ COLD_START = 500
 MIN_DF, MAX_DF = 0.1, 0.7
 MIN_COUNT = 6
 
+#: Bytes of text whose terms a task counts: its table of counts is many times as large.
+TASK_BYTES = 8 << 20
+
 
 def _exploded(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     # The words are a column of their own, so that each text is cut into words once.
@@ -26,10 +29,12 @@ def _exploded(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 def term_rows(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """One row per key and different 1- or 2-gram, with its count.
 
-    The terms of a text sit in one task, so the partial aggregate leaves one row per
-    different term before anything is shuffled.
+    The texts are dealt by their keys, so the terms of a key are made where they are counted
+    and never shuffled: they are many times the text.
     """
-    exploded = _exploded(df, keys, text)
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    exploded = _exploded(df.select(*keys, text).repartition(parts, *keys), keys, text)
     return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
