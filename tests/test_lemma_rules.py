@@ -96,3 +96,15 @@ def test_vocabulary_as_forms(spark):
         "hand": "hand", "hands": "hand", "handle": "hand", "handles": "handle", "handled": "handle",
         "by": "by", "bys": "bys", "and": "and",
     }
+
+
+def test_words_of_a_text_are_not_shuffled_to_be_counted(spark):
+    rows = [(1, "cats cat cats"), (1, "cat"), (None, "dogs"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    forms = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("cat", "cat")], "word string, lemma string")
+    rules = R.learn_rules(forms)
+    made = R.lemma_counts(df, rules, R.learn_exceptions(forms, rules), "doc_id")
+    exchanges = [x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("word" in x or "lemma" in x for x in exchanges)
+    got = {(r["doc_id"], r["lemma"]): r["times"] for r in made.collect()}
+    assert got == {(1, "cat"): 4, (None, "dog"): 1}

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokens
+from tidemark.operators.ngrams import dealt_texts
 from tidemark.plans.staging import sized, stage
 
 #: Length of the longest suffix looked at.
@@ -104,16 +105,18 @@ def lemma_counts(
 ) -> DataFrame:
     """``id, lemma, times``: the words of each text under their lemmas.
 
-    Words are counted per text before they are exchanged, and only distinct words meet the rules.
+    Words are counted where their text lies, and only distinct words meet the rules; their lemmas are
+    sent to the counts if they are few.
     """
+    distinct = df.select(F.explode(tokens(text)).alias("word")).distinct()
+    found = stage(lemmas_of(stage(distinct, "words"), rules, exceptions, longest), "lemmas")
     counted = (
-        df.select(id_column, F.explode(tokens(text)).alias("word"))
+        dealt_texts(df, [id_column], text)
+        .select(id_column, F.explode(tokens(text)).alias("word"))
         .groupBy(id_column, "word")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    counted = stage(counted, "word-counts")
-    found = lemmas_of(counted.select("word").distinct(), rules, exceptions, longest)
-    return counted.join(found, "word").groupBy(id_column, "lemma").agg(F.sum("times").alias("times"))
+    return counted.join(sized(found), "word").groupBy(id_column, "lemma").agg(F.sum("times").alias("times"))
 
 
 def forms_in(words: DataFrame, least: int = 4, most: int = 3) -> DataFrame:

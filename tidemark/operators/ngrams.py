@@ -26,15 +26,20 @@ def _exploded(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return words.select(*keys, F.explode(ngrams("_words")).alias("term"))
 
 
+def dealt_texts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """The texts by their keys, a bounded number of bytes a task: what is counted per key then stays there."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return df.select(*keys, text).repartition(parts, *keys)
+
+
 def term_rows(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """One row per key and different 1- or 2-gram, with its count.
 
     The texts are dealt by their keys, so the terms of a key are made where they are counted
     and never shuffled: they are many times the text.
     """
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    exploded = _exploded(df.select(*keys, text).repartition(parts, *keys), keys, text)
+    exploded = _exploded(dealt_texts(df, keys, text), keys, text)
     return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
