@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,32 @@ def chi2_tail(statistic, dof) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def _critical(level: float, most: int) -> np.ndarray:
+    """The statistic whose tail is ``level``, for 0 (there is none) to ``most`` degrees of freedom."""
+    dof = np.arange(1, most + 1)
+    low, high = np.zeros(most), dof + 1.0
+    while (above := chi2_tail(high, dof) > level).any():
+        high = np.where(above, 2 * high, high)
+    while (high - low > 1e-9 * high).any():
+        middle = (low + high) / 2
+        above = chi2_tail(middle, dof) > level
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    return np.concatenate([[np.nan], high])
+
+
+def tail_against(statistic: np.ndarray, dof: np.ndarray, level: float) -> np.ndarray:
+    """The sign of ``chi2_tail(statistic, dof) - level``; the tail itself is reckoned next to the level only."""
+    if not 0 < level < 1 or not len(dof):
+        return np.sign(chi2_tail(statistic, dof) - level)
+    bound = _critical(level, 1 << int(dof.max()).bit_length())[dof]
+    sign = np.sign(bound - statistic)
+    near = ~(np.abs(bound - statistic) > 1e-6 * bound)
+    if near.any():
+        sign[near] = np.sign(chi2_tail(statistic[near], dof[near]) - level)
+    return sign
+
+
 @F.pandas_udf(DoubleType())
 def chi2_tail_column(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(chi2_tail(statistic.to_numpy(float), dof.to_numpy(float)))

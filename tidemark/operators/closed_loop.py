@@ -33,6 +33,7 @@ from tidemark.operators.drift import (
     DriftSettings,
     Window,
     begun,
+    p_values,
     shard_pieces,
     term_lists,
     tested,
@@ -57,6 +58,9 @@ WALK = T.StructType(
 #: Rows which are predicted at once: to begin with, and at most; numbers that a step of them may take.
 _AHEAD, _FARTHEST, _NUMBERS = 32, 1024, 1 << 19
 
+#: Up to so many features are learned one by one as plain numbers, more of them side by side.
+_FEW = 8
+
 
 class _Sums:
     """Count, mean and sum of squared gaps per class, and the range of each feature."""
@@ -84,13 +88,29 @@ class _Learned:
             own, n = x[y == label], sums.n[label]
             mean, gaps = (np.empty((len(own) + 1, x.shape[1])) for _ in range(2))
             mean[0], gaps[0] = sums.mean[label], sums.gaps[label]
-            for k, row in enumerate(own):
-                n += 1
-                gap = row - mean[k]
-                np.add(mean[k], gap / n, out=mean[k + 1])
-                np.add(gaps[k], gap * (row - mean[k + 1]), out=gaps[k + 1])
+            if x.shape[1] <= _FEW:
+                for f in range(x.shape[1]):
+                    mean[1:, f], gaps[1:, f] = self._column(own[:, f].tolist(), float(n), float(mean[0, f]), float(gaps[0, f]))
+            else:
+                for k, row in enumerate(own):
+                    n += 1
+                    gap = row - mean[k]
+                    np.add(mean[k], gap / n, out=mean[k + 1])
+                    np.add(gaps[k], gap * (row - mean[k + 1]), out=gaps[k + 1])
             self.mean[:, label], self.gaps[:, label] = mean[of[:, label]], gaps[of[:, label]]
 
+    @staticmethod
+    def _column(values: list[float], n: float, mean: float, gaps: float) -> tuple[list[float], list[float]]:
+        means, sums = [], []
+        for v in values:
+            n += 1.0
+            gap = v - mean
+            mean += gap / n
+            gaps += gap * (v - mean)
+            means.append(mean)
+            sums.append(gaps)
+        return means, sums
+
     def after(self, rows: int) -> _Sums:
         """The sums once so many rows are learned."""
         sums = _Sums(self.x.shape[1])
@@ -130,12 +150,14 @@ class CandidateGrid:
             terms = learned.terms(self.distinct)
             with np.errstate(divide="ignore"):
                 logs = np.log(learned.n)
-            for k, both in enumerate(learned.n[:-1].all(axis=1)):
-                if both:
-                    score = np.einsum("cw,clw->cl", self.masks, terms[k][self.floor_of])
-                    hits += (logs[k, 1] + score[:, 1] > logs[k, 0] + score[:, 0]) == own[k]
-                else:
-                    hits += own[k] == 0
+            both = np.flatnonzero(learned.n[:-1].all(axis=1))
+            hits += int((own == 0).sum() - (own[both] == 0).sum())  # nothing but the first class before them
+            some = max(1, _NUMBERS // (2 * self.masks.size))
+            for at in range(0, len(both), some):
+                k = both[at : at + some]
+                score = np.einsum("cw,kclw->kcl", self.masks, terms[k][:, self.floor_of])
+                ahead = logs[k, 1, None] + score[:, :, 1] > logs[k, 0, None] + score[:, :, 0]
+                hits += (ahead == own[k, None]).sum(axis=0)
             sums = learned.after(len(own))
         return int(hits.argmax()), sums
 
@@ -208,6 +230,8 @@ class ShardWalk:
     def _rows(self, pos, y, guess, candidate, from_, log: list[dict]) -> pa.RecordBatch:
         labels = np.array(LABELS, dtype=object)
         rows, tests = len(y), sum(len(t["index"]) for t in log)
+        tested_ = {n: np.concatenate([np.zeros(0), *(t[n] for t in log)]) for n in ("statistic", "n_terms")}
+        p_value = p_values(tested_["statistic"], tested_["n_terms"].astype(np.int64))
         columns = {
             "shard": np.full(rows, self.shard), "pos": pos, "y": labels[y], "y_pred": labels[guess],
             "retrained": (from_ >= 0).astype(np.int32), "candidate": candidate,
@@ -221,7 +245,8 @@ class ShardWalk:
             elif f.name == "train_from":
                 arrays.append(pa.array(from_, kind, mask=from_ < 0))
             else:
-                values = np.concatenate([np.zeros(rows - tests), *(t[f.name] for t in log)])
+                own = [p_value] if f.name == "p_value" else [t[f.name] for t in log]
+                values = np.concatenate([np.zeros(rows - tests), *own])
                 arrays.append(pa.array(values, pa.float64(), mask=untested, from_pandas=True).cast(kind))
         return pa.RecordBatch.from_arrays(arrays, names=WALK.names)
 

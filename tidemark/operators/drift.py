@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.functions.special import chi2_tail
+from tidemark.functions.special import chi2_tail, tail_against
 from tidemark.plans.scan import block_of, with_halo, with_position
 from tidemark.schemas import DRIFT_LOG
 
@@ -102,6 +102,16 @@ class _Block:
 
 def homogeneity(a: np.ndarray, b: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chi-square statistic, p-value and number of usable terms of row pairs ``a``, ``b``."""
+    statistic, n_terms = compared(a, b, min_count)
+    return statistic, p_values(statistic, n_terms), n_terms
+
+
+def p_values(statistic: np.ndarray, n_terms: np.ndarray) -> np.ndarray:
+    return chi2_tail(statistic, np.maximum(n_terms - 1, 0))
+
+
+def compared(a: np.ndarray, b: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chi-square statistic and number of usable terms of row pairs ``a``, ``b``."""
     usable = np.minimum(a, b) >= min_count
     a = np.where(usable, a, 0).astype(float)
     b = np.where(usable, b, 0).astype(float)
@@ -113,8 +123,7 @@ def homogeneity(a: np.ndarray, b: np.ndarray, min_count: int) -> tuple[np.ndarra
         gap = np.abs(a - ea)
         gap = np.where(n_terms[:, None] == 2, gap - np.minimum(0.5, gap), gap)
         part = gap * gap / ea + gap * gap / eb
-    statistic = np.where(usable, part, 0.0).sum(axis=1)
-    return statistic, chi2_tail(statistic, np.maximum(n_terms - 1, 0)), n_terms
+    return np.where(usable, part, 0.0).sum(axis=1), n_terms
 
 
 def begun(block, settings: DriftSettings) -> dict:
@@ -135,6 +144,8 @@ def tested(block, state: dict, index: np.ndarray, move: int, settings: DriftSett
     The length of the next window hangs on the test before it, but it mostly goes on as it
     went: so the rows are tested at once as if the last ``move`` went on, and kept up to the
     first where the move was another one, or which moves the static window (``stop``: any trigger).
+    On which side of its bounds a p-value lies is told here; ``p_values`` of all kept rows are reckoned
+    at once, by the caller.
     """
     cold, most = settings.cold_start, settings.max_rows + 1
     path = np.clip(state["length"] + move * np.arange(len(index) + 1), cold, most)
@@ -142,13 +153,14 @@ def tested(block, state: dict, index: np.ndarray, move: int, settings: DriftSett
     accuracy = block.accuracy(index - length, index)
     dynamic = block.totals(index - length, index)
     static = np.broadcast_to(state["static_terms"], dynamic.shape)
-    statistic, p_value, n_terms = homogeneity(static, dynamic, settings.min_count)
+    statistic, n_terms = compared(static, dynamic, settings.min_count)
+    dof = np.maximum(n_terms - 1, 0)
     gap = np.abs(state["static_accuracy"] - accuracy)
     following = length.copy()
     if settings.adaptive:
-        following += (p_value >= settings.p_grow) & (length < most)
-        following -= (p_value <= settings.p_shrink) & (length > cold)
-    triggered = ((gap >= settings.gap) & (p_value <= settings.p_drift)) | (index == cold + 1)
+        following += (tail_against(statistic, dof, settings.p_grow) >= 0) & (length < most)
+        following -= (tail_against(statistic, dof, settings.p_shrink) <= 0) & (length > cold)
+    triggered = ((gap >= settings.gap) & (tail_against(statistic, dof, settings.p_drift) <= 0)) | (index == cold + 1)
     # A trigger moves the static window, so what follows has to be tested against it.
     stops = np.flatnonzero((following != assumed) | (triggered & (settings.adaptive or stop)))
     last = int(stops[0]) if len(stops) else len(index) - 1
@@ -159,7 +171,6 @@ def tested(block, state: dict, index: np.ndarray, move: int, settings: DriftSett
         "gap": gap,
         "n_terms": n_terms.astype(np.int32),
         "statistic": statistic,
-        "p_value": p_value,
         "window_rows": length.astype(np.int32),
         "next_rows": following.astype(np.int32),
         "triggered": triggered.astype(np.int32),
@@ -264,6 +275,7 @@ def shard_pieces(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[tuple[int
 def _log_frame(parts: list[pd.DataFrame], shard) -> pd.DataFrame:
     if parts:
         out = pd.concat(parts, ignore_index=True)
+        out["p_value"] = p_values(out["statistic"].to_numpy(), out["n_terms"].to_numpy())
     else:
         out = pd.DataFrame({c: pd.Series(dtype=object) for c in _LOG_COLUMNS})
     out.insert(0, "shard", shard)
@@ -408,11 +420,13 @@ __all__ = [
     "DriftSettings",
     "Window",
     "begun",
+    "compared",
     "drift_adaptive",
     "drift_fixed",
     "homogeneity",
     "model_epochs",
     "number_terms",
+    "p_values",
     "shard_pieces",
     "sparse_terms",
     "term_lists",

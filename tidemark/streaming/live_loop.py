@@ -3,8 +3,8 @@
 The state of a shard is what ``operators.closed_loop`` holds of it: the last ``max_rows + 1`` rows
 with their hits and terms, the totals of the dynamic and the static window, the adaptive length,
 the candidate in force and the learner's sums.  It is as large as a window, whatever has passed.
-Rows are taken in the order of their positions; a row ahead of its turn waits in the state under
-its position, one whose position has passed (late, or sent twice) changes nothing and comes out
+Rows are taken in the order of their positions; rows ahead of their turn wait in the state, many
+to a part, one whose position has passed (late, or sent twice) changes nothing and comes out
 marked ``late``.  So what comes out hangs neither on the cut into micro-batches nor on the order
 inside them, and equals the batch walk over the same rows.
 
@@ -40,6 +40,7 @@ from tidemark.operators.drift import PIECE, DriftSettings, Window
 from tidemark.operators.ngrams import MAX_DF, MIN_DF
 from tidemark.plans.staging import new_path
 from tidemark.schemas import LABELS
+from tidemark.streaming.source import state_partitions
 
 #: The batch walk's columns, and whether the row came too late to be used.
 LIVE = T.StructType([*WALK.fields, T.StructField("late", T.IntegerType())])
@@ -64,8 +65,40 @@ def listed(terms: Sequence[tuple | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     return sizes, np.concatenate([none, *(t[0] for t in own)]).astype(np.int64), np.concatenate([none, *(t[1] for t in own)])
 
 
+#: Rows of a shard: positions, labels, terms as they come, features.
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+#: Rows of a waiting part: a call to the state costs as much as many rows.
+PART = 4096
+
+
+def _picked(rows: Rows, at: np.ndarray | slice) -> Rows:
+    return tuple(column[at] for column in rows)
+
+
+def _in_order(parts: Sequence[Rows]) -> Rows:
+    """Rows by position; of one position those which came first are first."""
+    rows = tuple(np.concatenate(columns) for columns in zip(*parts))
+    return _picked(rows, np.argsort(rows[0], kind="stable"))
+
+
+def _runs(pos: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of each run of neighbouring positions."""
+    ends = np.flatnonzero(np.diff(pos) != 1)
+    return list(zip(pos[np.concatenate([[0], ends + 1])].tolist(), pos[np.concatenate([ends, [len(pos) - 1]])].tolist()))
+
+
+def _within(pos: np.ndarray, runs: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Which positions lie in one of the runs; these share none."""
+    if not runs:
+        return np.zeros(len(pos), bool)
+    first, last = (np.array(c) for c in zip(*sorted(runs)))
+    at = np.searchsorted(first, pos, side="right") - 1
+    return (at >= 0) & (pos <= last[np.maximum(at, 0)])
+
+
 class LiveLoop(StatefulProcessor):
-    """One shard: rows in order through ``ShardWalk``, those ahead of their turn wait."""
+    """One shard: rows in order through ``ShardWalk``, those ahead of their turn wait in parts."""
 
     def __init__(self, features, candidates, settings, to_initial, width, min_df, max_df):
         self.features, self.candidates, self.settings, self.to_initial = features, candidates, settings, to_initial
@@ -74,22 +107,22 @@ class LiveLoop(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         blob = T.StructType([T.StructField("blob", T.BinaryType())])
         self.kept = handle.getValueState("walk", blob)
-        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("pos", T.LongType())]), blob)
+        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("part", T.LongType())]), blob)
         self.grid = CandidateGrid(self.candidates, self.features)
 
-    def _load(self, shard: int) -> tuple[ShardWalk, list, dict | None, int]:
-        """The walk, term counts of rows before the vocabulary, the vocabulary, rows waiting."""
+    def _load(self, shard: int) -> tuple[ShardWalk, list, dict | None, dict[int, list[tuple[int, int]]]]:
+        """The walk, term counts of rows before the vocabulary, the vocabulary, positions of the parts which wait."""
         walk = ShardWalk(shard, self.width or 0, len(self.features), self.grid, self.settings, self.to_initial)
         if not self.kept.exists():
-            return walk, [], None, 0
-        fields, held, vocabulary, ahead = pickle.loads(self.kept.get()[0])
+            return walk, [], None, {}
+        fields, held, vocabulary, parts = pickle.loads(self.kept.get()[0])
         walk.__dict__.update(fields)
-        return walk, held, vocabulary, ahead
+        return walk, held, vocabulary, parts
 
-    def _save(self, walk: ShardWalk, held: list, vocabulary: dict | None, ahead: int) -> None:
+    def _save(self, walk: ShardWalk, held: list, vocabulary: dict | None, parts: dict) -> None:
         walk.trim()
         fields = {k: v for k, v in walk.__dict__.items() if k not in ("grid", "settings")}
-        self.kept.update((pickle.dumps((fields, held, vocabulary, ahead), protocol=5),))
+        self.kept.update((pickle.dumps((fields, held, vocabulary, parts), protocol=5),))
 
     def _fit(self, walk: ShardWalk, held: list) -> dict[str, int]:
         """The vocabulary, once the cold start is over; the rows before it get their numbers."""
@@ -105,63 +138,65 @@ class LiveLoop(StatefulProcessor):
         return tuple(np.array(c, np.int64) for c in zip(*own)) if own else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        walk, held, vocabulary, ahead = self._load(int(key[0]))
+        walk, held, vocabulary, parts = self._load(int(key[0]))
         names = [f"x{k}" for k in range(len(self.features))]
         given = []
         for frame in rows:
             if frame.empty:
                 continue
-            numbers = frame[names].to_numpy(float)
-            terms = frame["grams"] if self.width is None else zip(frame["ids"], frame["counts"])
-            given += zip(frame["place"].tolist(), frame["y"].tolist(), terms, numbers)
-        made, late, ready = [], [], []
-
-        def take(part: list) -> None:
-            """Rows whose turn it is, the cold start apart where the vocabulary is made of it."""
-            nonlocal vocabulary
-            if not part:
-                return
+            terms = np.empty(len(frame), object)
+            terms[:] = list(frame["grams"] if self.width is None else zip(frame["ids"], frame["counts"]))
+            given.append((frame["place"].to_numpy(np.int64), frame["y"].to_numpy(np.int64), terms, frame[names].to_numpy(float)))
+        if not given:
+            return
+        pool = _in_order(given)
+        again = np.concatenate([[False], pool[0][1:] == pool[0][:-1]])
+        again |= (pool[0] < walk.seen) | _within(pool[0], [p for runs in parts.values() for p in runs])
+        late = [(walk.shard, int(pos), LABELS[y]) for pos, y in zip(pool[0][again], pool[1][again])]
+        pool, made = _picked(pool, ~again), []
+
+        def take(part: Rows) -> None:
+            """Rows whose turn it is."""
+            pos, y, terms, x = part
             if self.width is not None:
-                own = [None if ids is None or not len(ids) else (ids, counts) for _, _, (ids, counts), _ in part]
+                own = [None if ids is None or not len(ids) else (ids, counts) for ids, counts in terms]
             else:
-                counted = [dict(Counter(terms if terms is not None else ())) for _, _, terms, _ in part]
+                counted = [dict(Counter(t if t is not None else ())) for t in terms]
                 if vocabulary is None:
-                    own = [None] * len(part)
+                    own = [None] * len(pos)
                     held.extend(counted)
                 else:
                     own = [self._numbered(c, vocabulary) for c in counted]
-            pos, y, x = np.array([r[0] for r in part]), np.array([r[1] for r in part], np.int64), np.array([r[3] for r in part])
-            made.append(walk.take(pos, x.reshape(len(part), len(self.features)), y, listed(own)))
-            if self.width is None and vocabulary is None and walk.seen == self.settings.cold_start:
-                vocabulary = self._fit(walk, held)
-                held.clear()
-
-        def take_ready() -> None:
-            cut = max(0, self.settings.cold_start - walk.seen) if self.width is None and vocabulary is None else 0
-            take(ready[:cut])
-            take(ready[cut:])
-            ready.clear()
-
-        for pos, y, terms, x in sorted(given, key=lambda r: r[0]):
-            turn = walk.seen + len(ready)
-            if pos < turn or (pos > turn and ahead and self.waiting.containsKey((pos,))):
-                late.append((walk.shard, pos, LABELS[y]))
-                continue
-            if pos > turn:
-                self.waiting.updateValue((pos,), (pickle.dumps((y, terms, x), protocol=5),))
-                ahead += 1
-                continue
-            ready.append((pos, y, terms, x))
-            while ahead and self.waiting.containsKey((here := walk.seen + len(ready),)):
-                ready.append((here, *pickle.loads(self.waiting.getValue((here,))[0])))
-                self.waiting.removeKey((here,))
-                ahead -= 1
-                if len(ready) >= PIECE:
-                    take_ready()
-            if len(ready) >= PIECE:
-                take_ready()
-        take_ready()
-        self._save(walk, held, vocabulary, ahead)
+            made.append(walk.take(pos, x.reshape(len(pos), len(self.features)), y, listed(own)))
+
+        while True:
+            ready = int((pool[0] == walk.seen + np.arange(len(pool[0]))).cumprod().sum())
+            part = _picked(pool, slice(0, ready))
+            pool = _picked(pool, slice(ready, None))
+            while len(part[0]):
+                # the cold start is taken apart where the vocabulary is made of it
+                cold = max(0, self.settings.cold_start - walk.seen) if self.width is None and vocabulary is None else 0
+                size = min(cold, PIECE) or PIECE
+                take(_picked(part, slice(0, size)))
+                part = _picked(part, slice(size, None))
+                if self.width is None and vocabulary is None and walk.seen == self.settings.cold_start:
+                    vocabulary = self._fit(walk, held)
+                    held.clear()
+            due = [n for n, runs in parts.items() if runs[0][0] == walk.seen]
+            if not due:
+                break
+            waited = [pickle.loads(self.waiting.getValue((n,))[0]) for n in due]
+            for n in due:
+                self.waiting.removeKey((n,))
+                parts.pop(n)
+            pool = _in_order([pool, *waited])
+        number = max(parts, default=-1) + 1
+        for at in range(0, len(pool[0]), PART):
+            own = _picked(pool, slice(at, at + PART))
+            self.waiting.updateValue((number,), (pickle.dumps(own, protocol=5),))
+            parts[number] = _runs(own[0])
+            number += 1
+        self._save(walk, held, vocabulary, parts)
         for batch in made:
             own = batch.to_pandas(types_mapper=_NULLABLE.get)
             yield own.assign(late=pd.array([0] * len(own), dtype="Int32"))
@@ -214,13 +249,14 @@ def once(folder: str) -> Callable[[DataFrame, int], None]:
 
 def run_to_end(walked: DataFrame, folder: str, checkpoint: str) -> None:
     """Take in what the source holds now; a later call with the same folders goes on from there."""
-    query = (
+    writer = (
         walked.writeStream.foreachBatch(once(folder))
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    with state_partitions(walked.sparkSession):
+        query = writer.start()
     try:
         query.awaitTermination()
     finally:
